@@ -84,7 +84,7 @@ def histogram_width(df: DataFrame, key: Sequence[str], col: str, width: float) -
     cnt = df.filter(F.col(col).isNotNull()).groupBy(*key, (F.floor(F.col(col) / width) * width).alias("bucket")).agg(
         F.count(F.lit(1)).alias("count"))
     rng = cnt.groupBy(*key).agg((F.min("bucket") / width).cast("long").alias("_a"), (F.max("bucket") / width).cast("long").alias("_b"))
-    grid = rng.select(*key, (F.explode(F.sequence("_a", "_b")) * width).alias("bucket"))
+    grid = rng.select(*key, F.explode(F.transform(F.sequence("_a", "_b"), lambda i: i * width)).alias("bucket"))
     return grid.join(cnt, [*key, "bucket"], "left").na.fill(0, ["count"])
 
 

@@ -1,0 +1,6 @@
+"""Registered queries over the stored tables."""
+
+
+def all_queries():
+    from . import basics, indicator_queries, position_queries, registry, signal_queries, stream_queries, whatif_queries  # noqa: F401
+    return registry
