@@ -40,7 +40,7 @@ def _null_cells(keys, unit="hour"):
     rows = []
     for k in keys:
         t, outs = q.indicator(k, I.clamp(k, {}))
-        rows += [f"SELECT symbol, count(*) AS rows, '{o}' AS output, round(avg(CASE WHEN "{o}" IS NULL THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS null_fraction FROM {t} GROUP BY symbol" for o in outs]
+        rows += [f"""SELECT symbol, count(*) AS rows, '{o}' AS output, round(avg(CASE WHEN "{o}" IS NULL THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS null_fraction FROM {t} GROUP BY symbol""" for o in outs]
     return f"WITH RECURSIVE {bars_cte(unit)}, {', '.join(q.ctes)} {' UNION ALL '.join(rows)}"
 
 
