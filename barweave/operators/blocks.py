@@ -124,39 +124,61 @@ def running(df: DataFrame, key: Sequence[str], specs: dict[str, tuple[str, Colum
 
 
 def running_latch(df: DataFrame, key: Sequence[str], on: str, off: str, out: str = "state",
-                  size: int = BLOCK, rn: str = "rn") -> DataFrame:
+                  size: int = BLOCK, rn: str = "rn", hold: str | None = None) -> DataFrame:
     """Two-state automaton: ``on`` alone sets, ``off`` alone clears, both together toggle.
 
     Every row acts on the state as one of {keep, set, clear, toggle}; these compose, so a
     block is summarised by "last forced value + parity of the toggles after it".  Adds
-    ``out`` (0/1 after the row) and ``<out>_before``.  ``df`` is read twice.
+    ``out`` (0/1 after the row) and ``<out>_before``; with ``hold`` also ``<out>_held``, the
+    value of that column at the latest switch-on.  The switch-ons of a block are known for
+    both possible states at its start, so the held value needs no second pass.  ``df`` is
+    read twice (rows and block summaries).
     """
     e, x = F.coalesce(F.col(on), F.lit(False)), F.coalesce(F.col(off), F.lit(False))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = df.withColumn(BLK, block_of(F.col(rn), size))
-    w = block_window(key, rn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bw = block_window(key, rn)
     d = d.withColumns({"_set": F.when(e & ~x, 1).when(~e & x, 0), "_tog": (e & x).cast("int")})
-    d = d.withColumns({"_g": F.count("_set").over(w),
-                       "_base": F.last("_set", ignorenulls=True).over(w)})
-    seg = span(key, BLK, "_g").orderBy(rn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_par", F.sum("_tog").over(seg) % 2)
+    d = d.withColumns({"_base": F.last("_set", ignorenulls=True).over(upto(bw)),
+                       "_tc": F.sum("_tog").over(upto(bw))})
+    d = d.withColumn("_par", F.col("_tc") - F.coalesce(F.last(F.when(F.col("_set").isNotNull(), F.col("_tc")), ignorenulls=True).over(upto(bw)), F.lit(0)))
+
+    def after(start: Column) -> Column:
+        return (F.coalesce(F.col("_base"), start) + F.col("_par")) % 2
+
+    def switched_on(now: Column, start: Column) -> Column:
+        # before a toggle the state was the opposite; a set counts if the row before was off
+        prev = F.coalesce(F.lag(now).over(bw), start)
+        return (now == 1) & (prev == 0)
+
+    d = d.withColumns({"_s0": after(F.lit(0)), "_s1": after(F.lit(1))})
+    if hold:
+        d = d.withColumns({f"_h{h}": F.when(switched_on(F.col(f"_s{h}"), F.lit(h)), F.col(hold)) for h in (0, 1)})
     ends = d.groupBy(*key, BLK).agg(
-        F.max_by(F.struct((F.col("_base") + F.col("_par")).alias("v"), "_par"), rn).alias("_e"))
-    bw = span(key).orderBy(BLK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = ends.withColumns({"_v": F.col("_e.v") % 2,
-                             "_bg": F.count("_e.v").over(bw)})
-    ends = ends.withColumn("_lastv", F.last("_v", ignorenulls=True).over(bw))
-    bseg = span(key, "_bg").orderBy(BLK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flips = F.sum(F.when(F.col("_v").isNull(), F.col("_e._par")).otherwise(0)).over(bseg)
-    ends = ends.withColumn("_out", (F.coalesce("_lastv", F.lit(0)) + flips) % 2)
-    heads = ends.select(*key, (F.col(BLK) + 1).alias(BLK), F.col("_out").alias("_in"))
-    d = d.join(heads, [*key, BLK], "left")
-    start = F.coalesce("_in", F.lit(0))
-    d = d.withColumn(out, ((F.coalesce("_base", start) + F.col("_par")) % 2).cast("int"))
-    before = (F.when(e & x, 1 - F.col(out))
-               .when(F.col("_set").isNull(), F.col(out))
-               .otherwise(F.coalesce(F.lag(out).over(block_window(key, rn)), start)))
-    return (d.withColumn(f"{out}_before", before.cast("int"))
-             .drop(BLK, "_set", "_tog", "_g", "_base", "_par", "_in"))
+        F.max_by(F.struct("_s0", "_s1"), rn).alias("_e"),
+        *([F.max_by(f"_h{h}", F.when(F.col(f"_h{h}").isNotNull(), F.col(rn))).alias(f"_k{h}") for h in (0, 1)] if hold else []))
+    # At block level the map is again keep / set / clear / toggle.
+    over = upto(span(key).orderBy(BLK))
+    ends = ends.withColumns({"_v": F.when(F.col("_e._s0") == F.col("_e._s1"), F.col("_e._s0")),
+                             "_f": F.when(F.col("_e._s0") > F.col("_e._s1"), 1).otherwise(0)})
+    ends = ends.withColumns({"_fc": F.sum("_f").over(over), "_lv": F.last("_v", ignorenulls=True).over(over)})
+    ends = ends.withColumn("_fp", F.col("_fc") - F.coalesce(F.last(F.when(F.col("_v").isNotNull(), F.col("_fc")), ignorenulls=True).over(over), F.lit(0)))
+    ends = ends.withColumn("_o", (F.coalesce("_lv", F.lit(0)) + F.col("_fp")) % 2)
+    seq = span(key).orderBy(BLK)
+    ends = ends.withColumn("_in", F.coalesce(F.lag("_o").over(seq), F.lit(0)))
+    cols = [*key, BLK, "_in"]
+    if hold:
+        ends = ends.withColumn("_k", F.when(F.col("_in") == 1, F.col("_k1")).otherwise(F.col("_k0")))
+        ends = ends.withColumn("_kin", F.last("_k", ignorenulls=True).over(seq.rowsBetween(Window.unboundedPreceding, -1)))
+        cols.append("_kin")
+    d = d.join(ends.select(*cols), [*key, BLK])
+    now = F.when(F.col("_in") == 1, F.col("_s1")).otherwise(F.col("_s0")).cast("int")
+    d = d.withColumn(out, now)
+    res = {f"{out}_before": F.coalesce(F.lag(out).over(bw), F.col("_in")).cast("int")}
+    if hold:
+        own = F.when(F.col("_in") == 1, F.col("_h1")).otherwise(F.col("_h0"))
+        res[f"{out}_held"] = F.coalesce(F.last(own, ignorenulls=True).over(upto(bw)), F.col("_kin"))
+    return d.withColumns(res).select(*df.columns, out, *res)
 
 
 Fold = Callable[["object", list], tuple["object", list]]

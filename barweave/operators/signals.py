@@ -173,14 +173,14 @@ def signals_from_masks(flags: DataFrame, key: Sequence[str], invest: float = 100
                        size: int = BLOCK, staged: bool = False) -> DataFrame:
     """Long-only latch over ``entry``/``exit``: buy when flat, sell everything when long."""
     d = flags if staged else stage(flags)
-    d = running_latch(d, key, "entry", "exit", "state", size)
+    d = running_latch(d, key, "entry", "exit", "state", size, hold="close")
     buy = (F.col("state_before") == 0) & (F.col("state") == 1)
     sell = (F.col("state_before") == 1) & (F.col("state") == 0)
     d = d.withColumn("signal", F.when(buy, BUY).when(sell, SELL).otherwise(HOLD))
-    d = running(d, key, {"_entry": ("last", F.when(F.col("signal") == BUY, F.col("close")))}, size)
-    q = F.when(F.col("signal") != HOLD, order_qty(F.col("_entry"), invest, qty)).otherwise(0.0)
-    pnl = F.when(F.col("signal") == SELL, F.round((F.col("close") - F.col("_entry")) / F.col("_entry") * 100, 2))
-    return d.withColumns({"quantity": q, "pnl_pct": pnl}).drop("state", "state_before", "_entry", "entry", "exit")
+    px = F.col("state_held")
+    q = F.when(F.col("signal") != HOLD, order_qty(px, invest, qty)).otherwise(0.0)
+    pnl = F.when(F.col("signal") == SELL, F.round((F.col("close") - px) / px * 100, 2))
+    return d.withColumns({"quantity": q, "pnl_pct": pnl}).drop("state", "state_before", "state_held", "entry", "exit")
 
 
 def _sl_tp_fold(sl: float, tp: float):

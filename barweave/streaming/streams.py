@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,20 +127,45 @@ def stream_ledger(src: DataFrame, fee: float = 0.0) -> DataFrame:
     return src.groupBy("account").applyInPandasWithState(_ledger_step(fee), LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_upsert(src: DataFrame, path: str, checkpoint: str, nk: Sequence[str] = ("symbol", "ts", "source")):
-    """Each micro-batch is merged into versioned parquet snapshots; the newest one is current.
+def stream_upsert(src: DataFrame, path: str, checkpoint: str, nk: Sequence[str] = ("symbol", "ts", "source"), bucket: str = "ts"):
+    """Merge each micro-batch into a parquet table, rewriting only the days it touches.
 
-    A snapshot is named by its batch id, so a replayed batch overwrites its own output and the
-    merge stays exactly-once.
+    Rows live under ``day=<date>/v=<version>``; a batch writes a new version of its days and
+    readers take the newest version of each day (``current``).  A replayed batch merges the
+    same keys again, so the result does not change.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id > 0:
-            batch = upsert_bars(spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}"), batch, nk)
-        batch.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        schema = batch.schema
+        d = batch.withColumn("day", F.to_date(bucket))
+        days = d.select("day").distinct()
+        stored = _versions(spark, path, schema)
+        top = 0
+        if stored is not None:
+            top = stored.agg(F.max("v")).first()[0] or 0
+            d = upsert_bars(_newest(stored.join(F.broadcast(days), "day", "left_semi")).select(*schema.names, "day"), d, nk)
+        d.withColumn("v", F.lit(top + 1)).write.mode("append").partitionBy("day", "v").parquet(path)
     return src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    full = T.StructType([*schema.fields, T.StructField("day", T.DateType()), T.StructField("v", T.IntegerType())])
+    try:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException:
+        return None
+
+
+def _newest(stored: DataFrame) -> DataFrame:
+    """Rows of the newest version of each day; versions come from the partition columns."""
+    last = stored.groupBy("day").agg(F.max("v").alias("v"))
+    return stored.join(F.broadcast(last), ["day", "v"], "left_semi")
+
+
+def current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return _newest(_versions(spark, path, schema)).select(*schema.names)
+
+
 def drain(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a streaming plan over what is available into parquet and return that table."""
     q = df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
