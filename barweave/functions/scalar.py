@@ -209,7 +209,7 @@ def search_symbols(df: DataFrame, q: str, n: int = 20, symbol: str = "symbol", l
 
 def asset_list(dim: DataFrame, lots: DataFrame) -> DataFrame:
     """Symbols with label, lot size (1 where none is listed) and fund flag."""
-    return dim.join(F.broadcast(lots), "symbol", "left").select("symbol", "label", F.coalesce("lot_size", F.lit(1)).alias("lot_size"),
+    return dim.join(lots, "symbol", "left").select("symbol", "label", F.coalesce("lot_size", F.lit(1)).alias("lot_size"),
                                                               F.upper("label").contains("ETF").alias("is_etf"))
 
 

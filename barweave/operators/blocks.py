@@ -258,33 +258,41 @@ def chained_fold(df: DataFrame, key: Sequence[str], fold: Fold, start: list[floa
 
 
 def exact_percentiles(df: DataFrame, key: Sequence[str], col: str, ps: dict[str, float],
-                      splits: int = 64) -> DataFrame:
+                      splits: int = 64, fine: int = 256) -> DataFrame:
     """Exact linear-interpolated percentiles per key without gathering a key in one task.
 
-    Approximate splits (a mergeable sketch) cut the value range into near-equal buckets;
-    counting equal values first removes ties, bucket counts give each row its rank, and only
-    the two ranks next to each percentile are kept.
+    Equal values are counted first.  Splits of a mergeable sketch cut the value range into
+    near-equal parts and each part is cut again evenly, which gives up to ``splits * fine``
+    ordered buckets per key.  Bucket counts locate the two ranks next to each percentile;
+    only rows of those buckets are ranked, the rest is dropped before the ranking.
     """
-    vals = df.filter(F.col(col).isNotNull()).groupBy(*key, F.col(col).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
+    key = list(key)
+    good = F.col(col).isNotNull() & ~F.isnan(col)
+    vals = df.filter(good).groupBy(*key, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     cuts = [i / splits for i in range(1, splits)]
-    sk = df.groupBy(*key).agg(F.approx_percentile(col, cuts, 1000).alias("_s"),
-                              F.count(col).alias("_total"))
-    v = vals.join(sk, list(key)).withColumn(
-        "_b", F.size(F.filter("_s", lambda s: s <= F.col("_v"))))
-    cnt = v.groupBy(*key, "_b").agg(F.sum("_n").alias("_bn"))
-    off = cnt.select(*key, "_b", F.coalesce(F.sum("_bn").over(
-        span(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    sk = df.filter(good).groupBy(*key).agg(
+        F.approx_percentile(F.col(col).cast("double"), cuts, 1000).alias("_s"), F.min(F.col(col).cast("double")).alias("_min"),
+        F.max(F.col(col).cast("double")).alias("_max"), F.count(F.lit(1)).alias("_total"))
+    v = vals.join(sk, key).withColumn("_c", F.size(F.filter("_s", lambda s: s <= F.col("_v"))))
+    lo = F.coalesce(F.get("_s", F.col("_c") - 1), F.col("_min"))
+    hi = F.coalesce(F.get("_s", F.col("_c")), F.col("_max"))
+    part = F.when(hi > lo, F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor((F.col("_v") - lo) / F.nullif(hi - lo, F.lit(0.0)) * fine)))).otherwise(0)
+    v = v.withColumn("_b", (F.col("_c") * fine + part).cast("long")).drop("_s", "_min", "_max", "_c")
+    upto = span(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cnt = v.groupBy(*key, "_b").agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_t"))
+    cnt = cnt.withColumn("_end", F.sum("_bn").over(upto))
+    need = [f(F.lit(float(p)) * (F.col("_t") - 1)) for p in ps.values() for f in (F.floor, F.ceil)]
+    wanted = F.lit(False)
+    for q in need:
+        wanted = wanted | ((q >= F.col("_end") - F.col("_bn")) & (q < F.col("_end")))
+    cnt = cnt.filter(wanted).select(*key, "_b", (F.col("_end") - F.col("_bn")).alias("_o"))
+    v = v.join(cnt, [*key, "_b"])
     w = span(key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = (v.withColumn("_cum", F.sum("_n").over(w)).join(off, [*key, "_b"])
-          .withColumns({"_hi": F.col("_cum") + F.col("_o") - 1,
-                        "_lo": F.col("_cum") + F.col("_o") - F.col("_n")}))
+    v = v.withColumn("_top", F.sum("_n").over(w) + F.col("_o"))
     aggs = []
     for name, p in ps.items():
         pos = F.lit(float(p)) * (F.col("_total") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        a = F.max(F.when((F.col("_lo") <= lo) & (lo <= F.col("_hi")), F.col("_v")))
-        b = F.max(F.when((F.col("_lo") <= hi) & (hi <= F.col("_hi")), F.col("_v")))
-        frac = F.max(pos - F.floor(pos))
-        aggs.append((a + (b - a) * frac).alias(name))
+        pick = lambda q: F.max(F.when((q >= F.col("_top") - F.col("_n")) & (q < F.col("_top")), F.col("_v")))
+        a, b = pick(F.floor(pos)), pick(F.ceil(pos))
+        aggs.append((a + (b - a) * F.max(pos - F.floor(pos))).alias(name))
     return v.groupBy(*key).agg(*aggs)

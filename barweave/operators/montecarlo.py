@@ -14,7 +14,7 @@ from .blocks import BLOCK, exact_percentiles, index_rows, running, span
 
 
 def resample_trades(trades: DataFrame, key: Sequence[str], runs: int, capital: float = 10_000.0, skip: float = 0.1,
-                    seed: int = 7, size: int = BLOCK, buckets: int = 64) -> DataFrame:
+                    seed: int = 7, size: int = BLOCK, bucket_rows: int = 2048) -> DataFrame:
     """Drop a share of the trades, shuffle the rest, rebuild equity floored at zero; one row per run.
 
     The shuffle is the order of a per-trade draw.  Positions in that order are counted by
@@ -30,9 +30,10 @@ def resample_trades(trades: DataFrame, key: Sequence[str], runs: int, capital: f
     d = (trades.select(*key, "trade_no", "pnl").join(n, key)
          .withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(runs)))))
     d = d.withColumn("u", uniform(f"{seed}drop", *key, "run_id", "trade_no"))
-    d = index_rows(stage(d), k2, ["u", "trade_no"], [F.floor(F.col("u") * buckets)], out="pick").filter("pick <= keep")
+    cuts = F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows))
+    d = index_rows(stage(d), k2, ["u", "trade_no"], [F.floor(F.col("u") * cuts)], out="pick").filter("pick <= keep")
     d = d.withColumn("v", uniform(f"{seed}mix", *key, "run_id", "trade_no"))
-    d = stage(index_rows(stage(d), k2, ["v", "trade_no"], [F.floor(F.col("v") * buckets)]))
+    d = stage(index_rows(stage(d), k2, ["v", "trade_no"], [F.floor(F.col("v") * cuts)]))
     d = running(d, k2, {"_s": ("sum", "pnl")}, size)
     d = d.withColumn("_s", F.round(F.lit(capital) + F.col("_s"), 8))
     d = running(stage(d), k2, {"_m": ("min", "_s")}, size)
@@ -49,19 +50,22 @@ def resample_trades(trades: DataFrame, key: Sequence[str], runs: int, capital: f
                     F.round(sharpe, 4).alias("sharpe"), F.round("_f", 2).alias("final_equity"), "num_trades")
 
 
+TAILS = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
+
+
 def run_percentiles(runs: DataFrame, key: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """p5, p50, p95, worst and best per metric (long form).  Runs per key are a chosen number."""
+    """p5, p50, p95, worst and best per metric (long form)."""
     items = ", ".join(f"'{m}', cast(`{m}` as double)" for m in metrics)
     d = runs.selectExpr(*key, f"stack({len(metrics)}, {items}) as (metric, v)")
-    a = d.groupBy(*key, "metric").agg(F.count("v").alias("runs"), F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("_p"),
-                                      F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    return a.select(*key, "metric", "runs", *[F.round(F.col("_p")[i], 4).alias(n) for i, n in enumerate(("p5", "p50", "p95"))],
+    a = d.groupBy(*key, "metric").agg(F.count("v").alias("runs"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    a = a.join(exact_percentiles(d, [*key, "metric"], "v", TAILS), [*key, "metric"])
+    return a.select(*key, "metric", "runs", *[F.round(n, 4).alias(n) for n in TAILS],
                     F.round("_lo", 4).alias("worst"), F.round("_hi", 4).alias("best"))
 
 
 def cvar_ruin(runs: DataFrame, key: Sequence[str], capital: float = 10_000.0) -> DataFrame:
     """Mean of the returns at or below the 5 % quantile, and the share of runs losing half."""
-    q = runs.groupBy(*key).agg(F.percentile("return_pct", F.lit(0.05)).alias("_q"))
+    q = exact_percentiles(runs, key, "return_pct", {"_q": 0.05})
     d = runs.join(q, list(key))
     return d.groupBy(*key).agg(F.round(F.avg(F.when(F.col("return_pct") <= F.col("_q"), F.col("return_pct"))), 4).alias("cvar_5"),
                                F.round(F.avg((F.col("final_equity") < capital * 0.5).cast("double")), 4).alias("prob_ruin"))
@@ -69,14 +73,17 @@ def cvar_ruin(runs: DataFrame, key: Sequence[str], capital: float = 10_000.0) ->
 
 def representative_run(runs: DataFrame, key: Sequence[str]) -> DataFrame:
     """Run whose return is closest to the median, the first one on ties."""
-    q = runs.groupBy(*key).agg(F.percentile("return_pct", F.lit(0.5)).alias("p50"))
+    q = exact_percentiles(runs, key, "return_pct", {"p50": 0.5})
     d = runs.join(q, list(key))
     return d.groupBy(*key).agg(F.min_by("run_id", F.struct(F.round(F.abs(F.col("return_pct") - F.col("p50")), 9).alias("d"), F.col("run_id").alias("r"))).alias("run_id"),
                                F.first("p50").alias("p50"))
 
 
 def equity_fan(equity: DataFrame, key: Sequence[str], path: str = "run_id") -> DataFrame:
-    """p5/p50/p95 over all runs per bar, up to the end of the shortest run."""
+    """p5/p50/p95 over all runs per bar, up to the end of the shortest run.
+
+    A group is one bar of one key over its runs, whose number is a parameter of the analysis.
+    """
     key = list(key)
     short = equity.groupBy(*key, path).agg(F.max("rn").alias("_l")).groupBy(*key).agg(F.min("_l").alias("_l"))
     d = equity.join(short, key).filter(F.col("rn") <= F.col("_l"))
@@ -103,7 +110,7 @@ def sample_paths(paths: DataFrame, key: Sequence[str], max_paths: int = 100, max
     ids = shape.select(*key, F.explode(even_indices(F.col("_np").cast("long"), max_paths)).alias("_i")).select(*key, (F.col("_i") + 1).cast("int").alias(path))
     pts = shape.select(*key, F.explode(even_indices(F.col("_ns").cast("long"), max_points)).alias("_i")).select(*key, (F.col("_i") + 1).cast("int").alias(step))
     first = paths.filter(F.col(step) == 1).select(*key, path, F.col(value).alias("_v0"))
-    d = paths.join(F.broadcast(ids), [*key, path], "left_semi").join(F.broadcast(pts), [*key, step], "left_semi")
+    d = paths.join(ids, [*key, path], "left_semi").join(pts, [*key, step], "left_semi")
     return d.join(first, [*key, path]).select(*key, path, step, F.round(F.col(value) / F.col("_v0") * 100, 4).alias("pct"))
 
 
@@ -129,11 +136,10 @@ def robustness(runs: DataFrame, key: Sequence[str], capital: float = 10_000.0, w
     with fewer than two runs has no score.
     """
     key = list(key)
-    a = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("runs"), F.percentile("return_pct", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("_p"),
-                               F.avg((F.col("return_pct") > -20).cast("double")).alias("_alive"))
-    a = a.join(cvar_ruin(runs, key, capital), key)
+    a = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("runs"), F.avg((F.col("return_pct") > -20).cast("double")).alias("_alive"))
+    a = a.join(exact_percentiles(runs, key, "return_pct", TAILS), key).join(cvar_ruin(runs, key, capital), key)
     a = a.join(wfe.select(*key, "wfe"), key, "left") if wfe is not None else a.withColumn("wfe", F.lit(None).cast("double"))
-    p5, p50, p95 = (F.col("_p")[i] for i in range(3))
+    p5, p50, p95 = (F.col(n) for n in TAILS)
     a = a.withColumns({
         "survival": 60 * F.col("_alive") + 0.4 * clip((p50 + 100) / 150 * 100),
         "stability": 0.5 * F.when(p5 > 0, 100.0).otherwise(F.greatest(F.lit(0.0), (p5 + 50) / 50 * 50)) + 0.5 * F.greatest(F.lit(0.0), 100 - F.abs(p95 - p5)),
@@ -157,7 +163,8 @@ def robustness(runs: DataFrame, key: Sequence[str], capital: float = 10_000.0, w
 def scenario_verdict(runs: DataFrame, base: DataFrame, key: Sequence[str], soft: float = -5.0, hard: float = -20.0) -> DataFrame:
     """Change of the median return against the baseline, with adjustable cut-offs."""
     key = list(key)
-    s = runs.groupBy(*key, "scenario").agg(F.percentile("return_pct", F.lit(0.5)).alias("_m"), F.min("return_pct").alias("_w"), F.count(F.lit(1)).alias("runs"))
+    s = runs.groupBy(*key, "scenario").agg(F.min("return_pct").alias("_w"), F.count(F.lit(1)).alias("runs"))
+    s = s.join(exact_percentiles(runs, [*key, "scenario"], "return_pct", {"_m": 0.5}), [*key, "scenario"])
     d = s.join(base.select(*key, F.col("return_pct").alias("_b")), key)
     delta = F.col("_m") - F.col("_b")
     return d.select(*key, "scenario", "runs", F.round("_b", 2).alias("baseline_pct"), F.round("_m", 2).alias("median_pct"), F.round("_w", 2).alias("worst_pct"),
@@ -166,10 +173,11 @@ def scenario_verdict(runs: DataFrame, base: DataFrame, key: Sequence[str], soft:
 
 def path_summary(runs: DataFrame, key: Sequence[str]) -> DataFrame:
     """Return quantiles, means and the share of profitable paths."""
-    a = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n_paths"), F.percentile("return_pct", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("_p"),
-                               F.avg("return_pct").alias("_m"), F.avg((F.col("return_pct") > 0).cast("double")).alias("_up"),
+    key = list(key)
+    a = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n_paths"), F.avg("return_pct").alias("_m"), F.avg((F.col("return_pct") > 0).cast("double")).alias("_up"),
                                F.avg("sharpe").alias("_s"), F.avg("max_dd_pct").alias("_d"))
-    return a.select(*key, "n_paths", *[F.round(F.col("_p")[i], 2).alias(n) for i, n in enumerate(("return_p5", "return_p50", "return_p95"))],
+    a = a.join(exact_percentiles(runs, key, "return_pct", TAILS), key)
+    return a.select(*key, "n_paths", *[F.round(n, 2).alias(f"return_{n}") for n in TAILS],
                     F.round("_m", 2).alias("mean_return"), F.round(F.col("_up") * 100, 1).alias("prob_profit_pct"),
                     F.round("_s", 3).alias("mean_sharpe"), F.round("_d", 2).alias("mean_max_dd"))
 

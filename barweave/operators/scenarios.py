@@ -41,14 +41,19 @@ PRESETS = {
 }
 
 
-def scenarios(spark: SparkSession, extra_outliers: int = 0, overrides: dict[str, float] | None = None) -> DataFrame:
-    """Scenario dimension (17 rows), with optional overrides of any field."""
+def scenario_rows(extra_outliers: int = 0, overrides: dict[str, float] | None = None) -> list[tuple]:
     base = {**dict.fromkeys(FIELDS, 0.0), "wick": 1.0, "slip_mult": 1.0, "spread_mult": 1.0, "direction": "down"}
     rows = []
     for name, given in PRESETS.items():
         v = {**base, **given, **(overrides or {})}
         v["outliers"] = v["outliers"] + extra_outliers
         rows.append((name, *[v[f] if f == "direction" else float(v[f]) for f in FIELDS]))
+    return rows
+
+
+def scenarios(spark: SparkSession, extra_outliers: int = 0, overrides: dict[str, float] | None = None) -> DataFrame:
+    """Scenario dimension (17 rows), with optional overrides of any field."""
+    rows = scenario_rows(extra_outliers, overrides)
     return spark.createDataFrame(rows, "scenario string, " + ", ".join(f"{f} {'string' if f == 'direction' else 'double'}" for f in FIELDS))
 
 
@@ -97,11 +102,12 @@ def _seg(s: Column, e: Column, pct: Column, up: bool, persist: bool) -> Column:
 def plan_runs(bars: DataFrame, spark: SparkSession, runs: int, severity: float = 1.0, seed: int = 7,
               names: Sequence[str] | None = None, extra_outliers: int = 0) -> DataFrame:
     """One row per (symbol, scenario, run) with everything the run draws."""
-    dim = scenarios(spark, extra_outliers)
-    if names:
-        dim = dim.filter(F.col("scenario").isin(*names))
     ids = ["symbol", "scenario", "run_id"]
-    d = series_shape(bars).join(F.broadcast(dim)).withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    # the fixed scenario rows are a literal array: each series fans out without a join
+    dim = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("scenario", *FIELDS), row)])
+                    for row in scenario_rows(extra_outliers) if not names or row[0] in names])
+    d = series_shape(bars).withColumn("_d", F.explode(dim)).select("symbol", "n", "bpd", "_d.*")
+    d = d.withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(runs))))
     d = shock_window(run_severity(d, severity, seed, runs, ids), seed, ids)
     c, sev, name = F.col, F.col("severity"), F.col("scenario")
     shock = c("depth") * sev

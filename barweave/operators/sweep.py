@@ -52,20 +52,26 @@ def ma_cross_flags(bars: DataFrame, key: Sequence[str], grid: DataFrame, kind: s
     """Crossing flags for every (key, parameter set).
 
     Averages are computed once per distinct length and shared by all parameter sets; the grid
-    (bounded by its guard) is broadcast, and each bar fans out to narrow flag rows.
+    is bounded by its guard and becomes one literal array, so each bar fans out to narrow flag
+    rows without a join.
     """
-    lengths = sorted({int(v) for r in grid.select("fast", "slow").distinct().limit(MAX_GRID + 1).collect() for v in r})
+    sets = grid.select("param_id", "fast", "slow").limit(MAX_GRID + 1).collect()
+    if len(sets) > MAX_GRID:
+        raise ValueError(f"more than {MAX_GRID} parameter sets")
+    lengths = sorted({int(v) for _, f, s in sets for v in (f, s)})
     p = open_panel(bars, key, [use(kind, f"_{n}", length=n) for n in lengths], extra=1, size=size)
     both = []
     for n in lengths:
         cur = F.col(f"{kind}_{n}")
         both.append((n, cur, p.put(f"_was_{n}", p.lag(cur))))
-    p.put("_ma", F.map_from_arrays(F.array(*[F.lit(n) for n, _, _ in both]), F.array(*[F.struct(c.alias("now"), w.alias("was")) for _, c, w in both])))
-    d = p.close().select(*key, "rn", "ts", "close", "_ma").join(F.broadcast(grid.select("param_id", "fast", "slow")))
-    f, s = F.col("_ma")[F.col("fast").cast("int")], F.col("_ma")[F.col("slow").cast("int")]
-    was, now = f["was"] - s["was"], f["now"] - s["now"]
-    return d.select(*key, "param_id", "rn", "ts", "close", F.coalesce((was <= 0) & (now > 0), F.lit(False)).alias("entry"),
-                    F.coalesce((was >= 0) & (now < 0), F.lit(False)).alias("exit"))
+    ma = {n: (cur, was) for n, cur, was in both}
+    rows = []
+    for pid, fast, slow in sets:
+        (f, fw), (s, sw) = ma[int(fast)], ma[int(slow)]
+        was, now = fw - sw, f - s
+        rows.append(F.struct(F.lit(pid).alias("param_id"), F.coalesce((was <= 0) & (now > 0), F.lit(False)).alias("entry"),
+                             F.coalesce((was >= 0) & (now < 0), F.lit(False)).alias("exit")))
+    return p.close().select(*key, "rn", "ts", "close", F.explode(F.array(*rows)).alias("_r")).select(*key, "_r.param_id", "rn", "ts", "close", "_r.entry", "_r.exit")
 
 
 def sweep(bars: DataFrame, grid: DataFrame, key: Sequence[str], kind: str = "sma", capital: float = 100_000.0,
@@ -94,7 +100,7 @@ def composite_score(runs: DataFrame, valid: Column | None = None) -> DataFrame:
     ok = (F.col("num_trades") > 0) if valid is None else valid
     val = {m: F.abs(F.col(m)) if m == "max_drawdown_pct" else F.col(m) for m in BATCH_WEIGHTS}
     rng = runs.filter(ok).agg(*[F.min(c).alias(f"_lo_{m}") for m, c in val.items()], *[F.max(c).alias(f"_hi_{m}") for m, c in val.items()])
-    d = runs.join(F.broadcast(rng))
+    d = runs.withColumn("_one", F.lit(1)).join(F.broadcast(rng.withColumn("_one", F.lit(1))), "_one").drop("_one")   # one row
     total = F.lit(0.0)
     for m, c in val.items():
         width = F.col(f"_hi_{m}") - F.col(f"_lo_{m}")
@@ -121,7 +127,8 @@ def compare_runs(runs: DataFrame, jobs: DataFrame, ids: DataFrame, metrics: Sequ
     """Selected runs with their jobs; the best value of each metric is flagged."""
     d = runs.join(ids, "run_id", "left_semi").join(jobs, "run_id", "left")
     best = d.agg(*[F.max(m).alias(f"_b_{m}") for m in metrics])
-    return d.join(F.broadcast(best)).withColumns({f"best_{m}": F.col(m) == F.col(f"_b_{m}") for m in metrics}).drop(*[f"_b_{m}" for m in metrics])
+    d = d.withColumn("_one", F.lit(1)).join(F.broadcast(best.withColumn("_one", F.lit(1))), "_one").drop("_one")   # one row
+    return d.withColumns({f"best_{m}": F.col(m) == F.col(f"_b_{m}") for m in metrics}).drop(*[f"_b_{m}" for m in metrics])
 
 
 def column_ranges(runs: DataFrame, cols: Sequence[str]) -> DataFrame:

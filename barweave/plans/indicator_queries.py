@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import indicators as I
-from ..sources.tables import event_bars
+from ..sources.tables import event_bars, event_ticks
 from .oracle import Sql
 from .registry import OVER, bars_cte, fin, query, r, rx
 
@@ -57,12 +57,13 @@ def _(s, d):
     return I.compute_all(event_bars(s, d), ["symbol"], [I.use(k) for k in WINDOW_KEYS])
 
 
-@query("missing_outputs", f"WITH RECURSIVE {bars_cte()} SELECT * FROM (VALUES ('ema', 'ema'), ('rsi', 'rsi')) v(key, output) WHERE (SELECT count(*) FROM bars) > 0")
+@query("missing_outputs", "SELECT DISTINCT event_type AS symbol, key, output FROM events, (VALUES ('ema', 'ema'), ('rsi', 'rsi')) v(key, output)")
 def _(s, d):
     have = I.compute_all(event_bars(s, d), ["symbol"], [I.use("sma"), I.use("macd")])
     cat = I.catalog(s).filter(F.col("key").isin("sma", "macd", "ema", "rsi"))
-    n = have.agg(F.count(F.lit(1)).alias("_n"))
-    return I.missing_outputs(have, cat).join(F.broadcast(n)).filter("_n > 0").select("key", "output")
+    # one row per series and missing output
+    return event_ticks(s, d).select(F.col("event_type").alias("symbol")).distinct().withColumn("_k", F.lit(1)).join(
+        I.missing_outputs(have, cat).withColumn("_k", F.lit(1)), "_k").select("symbol", "key", "output")
 
 
 def _block(sql_cols, src="bars"):

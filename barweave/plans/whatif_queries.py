@@ -347,13 +347,14 @@ def _(s, d):
 @query("param_grid", "WITH k AS (SELECT DISTINCT event_type AS symbol FROM events), a AS (SELECT unnest([3, 5, 8]) AS fast), b AS (SELECT unnest([10, 20, 40, 80]) AS slow) SELECT symbol, CAST(fast AS BIGINT) AS fast, CAST(slow AS BIGINT) AS slow FROM k, a, b")
 def _(s, d):
     g = W.param_grid(s, fast=[3, 5, 8], slow=[10, 20, 40, 80])
-    return event_ticks(s, d).select(F.col("event_type").alias("symbol")).distinct().join(F.broadcast(g)).select("symbol", "fast", "slow")
+    one = F.lit(1).alias("_k")
+    return event_ticks(s, d).select(F.col("event_type").alias("symbol"), one).distinct().join(F.broadcast(g.select("fast", "slow", one)), "_k").select("symbol", "fast", "slow")
 
 
 @query("preset_grids", "SELECT event_type AS symbol, strategy, count(*) AS events, k AS combos FROM events, (VALUES ('GRID', 24), ('DCA', 108), ('PLA', 81)) v(strategy, k) GROUP BY 1, 2, k")
 def _(s, d):
     g = W.preset_grids(s).groupBy("strategy").agg(F.countDistinct("param_id").cast("int").alias("combos"))
-    return event_ticks(s, d).groupBy(F.col("event_type").alias("symbol")).agg(F.count(F.lit(1)).alias("events")).join(F.broadcast(g)).select("symbol", "strategy", "events", "combos")
+    return event_ticks(s, d).groupBy(F.col("event_type").alias("symbol")).agg(F.count(F.lit(1)).alias("events")).withColumn("_k", F.lit(1)).join(F.broadcast(g.withColumn("_k", F.lit(1))), "_k").select("symbol", "strategy", "events", "combos")
 
 
 PRUNS = """pr AS MATERIALIZED (SELECT l_partkey AS run_id, 'S' || (l_partkey % 7) AS symbol, CASE l_partkey % 3 WHEN 0 THEN 'GRID' WHEN 1 THEN 'DCA' ELSE 'PLA' END AS strategy, avg(l_discount) * 60 - 2 AS sharpe_ratio, avg(l_extendedprice) / 997 - 40 AS total_return_pct, avg(l_tax) * 40 - 1 AS sortino_ratio,

@@ -143,7 +143,7 @@ def stream_upsert(src: DataFrame, path: str, checkpoint: str, nk: Sequence[str]
         top = 0
         if stored is not None:
             top = stored.agg(F.max("v")).first()[0] or 0
-            d = upsert_bars(_newest(stored.join(F.broadcast(days), "day", "left_semi")).select(*schema.names, "day"), d, nk)
+            d = upsert_bars(_newest(stored.join(days, "day", "left_semi")).select(*schema.names, "day"), d, nk)
         d.withColumn("v", F.lit(top + 1)).write.mode("append").partitionBy("day", "v").parquet(path)
     return src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -159,7 +159,7 @@ def _versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 def _newest(stored: DataFrame) -> DataFrame:
     """Rows of the newest version of each day; versions come from the partition columns."""
     last = stored.groupBy("day").agg(F.max("v").alias("v"))
-    return stored.join(F.broadcast(last), ["day", "v"], "left_semi")
+    return stored.join(last, ["day", "v"], "left_semi")
 
 
 def current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
