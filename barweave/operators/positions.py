@@ -152,43 +152,50 @@ def running_affine(df: DataFrame, key: Sequence[str], a: str, bs: Sequence[str],
     Results are named ``<b>_y``.  ``df`` is read twice per level.
     """
     key, bs = list(key), list(bs)
-    d = df.select(*key, rn, a, *bs).withColumn(BLK, block_of(F.col(rn), size))
     kf = [df.schema[k] for k in key]
     dbl = lambda n: T.StructField(n, T.DoubleType())
+    ins = [f"_in_{b}" for b in bs]
     whole = T.StructType([*kf, T.StructField(BLK, T.LongType()), dbl(a), *[dbl(b) for b in bs]])
     rows = T.StructType([*kf, T.StructField(rn, T.LongType()), *[dbl(f"{b}_y") for b in bs]])
+    d = df.select(*key, rn, a, *bs).withColumn(BLK, block_of(F.col(rn), size))
 
-    def scan(pdf, y0):
+    def walk(batches, summary):
+        """Rows arrive sorted by block and position; a block may span two batches."""
         import numpy as np
-        f, x = pdf[a].to_numpy(dtype=float), pdf[bs].to_numpy(dtype=float)
-        out, y = np.empty_like(x), np.asarray(y0, dtype=float)
-        for i in range(len(f)):
-            y = f[i] * y + x[i]
-            out[i] = y
-        return out
-
-    def reduce_block(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values(rn)
-        end = scan(pdf, [0.0] * len(bs))[-1]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, BLK: [pdf[BLK].iloc[0]],
-                             a: [float(pdf[a].prod())], **{b: [v] for b, v in zip(bs, end)}})
-
-    def fill(pdf):
         import pandas as pd
-        pdf = pdf.sort_values(rn)
-        y = scan(pdf, [pdf[f"_in_{b}"].iloc[0] if f"_in_{b}" in pdf else 0.0 for b in bs])
-        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in key}, rn: pdf[rn].to_numpy(),
-                             **{f"{b}_y": y[:, i] for i, b in enumerate(bs)}})
+        here, prod, y = None, 1.0, None
+        for pdf in batches:
+            ids = list(zip(*[pdf[k] for k in key], pdf[BLK]))
+            f, x = pdf[a].to_numpy(dtype=float), pdf[bs].to_numpy(dtype=float)
+            start = pdf[ins].to_numpy(dtype=float) if not summary else None
+            out, ends = np.empty_like(x), []
+            for i, b in enumerate(ids):
+                if b != here:
+                    if summary and here is not None:
+                        ends.append((*here, prod, *y))
+                    here, prod = b, 1.0
+                    y = [0.0] * len(bs) if summary else list(start[i])
+                prod *= f[i]
+                y = [f[i] * v + w for v, w in zip(y, x[i])]
+                out[i] = y
+            if summary:
+                yield pd.DataFrame(ends, columns=[c.name for c in whole.fields])
+            else:
+                yield pd.DataFrame({**{k: pdf[k] for k in key}, rn: pdf[rn], **{f"{b}_y": out[:, j] for j, b in enumerate(bs)}})
+        if summary and here is not None:
+            yield pd.DataFrame([(*here, prod, *y)], columns=[c.name for c in whole.fields])
+
+    def sorted_blocks(t):
+        return t.repartition(*key, BLK).sortWithinPartitions(*key, BLK, rn)
 
     if levels == 0:
-        return df.join(d.groupBy(*key).applyInPandas(fill, rows), [*key, rn])
-    ends = stage(d.groupBy(*key, BLK).applyInPandas(reduce_block, whole))
+        last = d.withColumns({BLK: F.lit(0).cast("long"), **{c: F.lit(0.0) for c in ins}})
+        return df.join(sorted_blocks(last).mapInPandas(lambda it: walk(it, False), rows), [*key, rn])
+    ends = stage(sorted_blocks(d).mapInPandas(lambda it: walk(it, True), whole))
     carried = running_affine(ends.withColumn(rn, F.col(BLK) + 1), key, a, bs, size, rn, levels - 1)
-    heads = carried.select(*key, (F.col(BLK) + 1).alias(BLK), *[F.col(f"{b}_y").alias(f"_in_{b}") for b in bs])
-    filled = (d.join(heads, [*key, BLK], "left").na.fill(0.0, [f"_in_{b}" for b in bs])
-              .groupBy(*key, BLK).applyInPandas(fill, rows))
-    return df.join(filled, [*key, rn])
+    heads = carried.select(*key, (F.col(BLK) + 1).alias(BLK), *[F.col(f"{b}_y").alias(c) for b, c in zip(bs, ins)])
+    filled = d.join(heads, [*key, BLK], "left").na.fill(0.0, ins)
+    return df.join(sorted_blocks(filled).mapInPandas(lambda it: walk(it, False), rows), [*key, rn])
 
 
 def wacb_ledger(fills: DataFrame, key: Sequence[str], fee: float = 0.0, size: int = BLOCK) -> DataFrame:

@@ -416,7 +416,7 @@ def _(s, d):
 
 
 @query("quality_report", CLEANQ + f"""SELECT symbol, rows, {rx('greatest(0.0, 100 - CASE WHEN gaps > 0 THEN least(20.0, gaps / rows * 200.0) ELSE 0 END - CASE WHEN outliers > 0 THEN least(10.0, outliers * 2.0) ELSE 0 END)', 'score')}, true AS passed,
-   CASE WHEN gaps > 0 THEN gaps || ' gaps' ELSE '' END || CASE WHEN gaps > 0 AND outliers > 0 THEN '; ' ELSE '' END || CASE WHEN outliers > 0 THEN outliers || ' extreme returns' ELSE '' END AS warnings, {rx('cm', 'close_mean')}, c0 AS close_min, c1 AS close_max, vt AS volume_total FROM k""")
+   CASE WHEN gaps > 0 THEN gaps || ' gaps' ELSE '' END || CASE WHEN gaps > 0 AND outliers > 0 THEN '; ' ELSE '' END || CASE WHEN outliers > 0 THEN outliers || ' extreme returns' ELSE '' END AS warnings, {rx('cm', 'close_mean')}, {rx('c0', 'close_min')}, {rx('c1', 'close_max')}, vt AS volume_total FROM k""")
 def _(s, d):
     q = quality.quality_report(event_bars(s, d), ["symbol"], z=3.0)
     return fin(q, "symbol", "rows", "score", "passed", F.array_join("warnings", "; ").alias("warnings"), "close_mean", "close_min", "close_max", "volume_total")

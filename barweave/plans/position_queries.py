@@ -343,8 +343,9 @@ def _(s, d):
     return V.tag_oos(raw_bars(s, d), F.lit("2024-01-22").cast("timestamp_ntz")).select("symbol", "ts", "sample")
 
 
-FOLDS = f"""{daily_cte()}, c AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol), k AS (SELECT unnest(range(0, 200)) AS fold),
-   folds AS (SELECT symbol, fold, fold * 63 AS train_start, fold * 63 + 252 AS test_start, fold * 63 + 315 AS test_end FROM c, k WHERE fold * 63 + 315 <= n)"""
+FOLDS = f"""{daily_cte()}, c AS (SELECT symbol, n, CASE WHEN sh THEN floor(n * 0.60::DOUBLE)::BIGINT ELSE 252 END AS win, CASE WHEN sh THEN greatest(1, floor(n * 0.20::DOUBLE))::BIGINT ELSE 63 END AS st
+     FROM (SELECT symbol, count(*) AS n, count(*) < 315 OR (count(*) - 252) // 63 < 2 AS sh FROM bars GROUP BY symbol)), k AS (SELECT unnest(range(0, 2000)) AS fold),
+   folds AS (SELECT symbol, fold, fold * st AS train_start, fold * st + win AS test_start, fold * st + win + st AS test_end FROM c, k WHERE fold * st + win + st <= n)"""
 
 
 @query("make_folds", f"WITH {FOLDS} SELECT * FROM folds")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import signals as G
 from ..operators.presets import preset_flags
-from ..session import checkpoint_root, stage
+from ..session import stage, stage_folder
 from ..sources import bars as B
 from ..sources.tables import event_bars, fills, raw_bars, table
 from ..streaming import streams as S
@@ -19,7 +19,7 @@ from .signal_queries import K, SMA_SIGNALS
 
 
 def scratch(s) -> str:
-    return f"{checkpoint_root(s)}/stream-{uuid.uuid4().hex}"
+    return f"{stage_folder(s)}/stream-{uuid.uuid4().hex}"
 
 
 def source(s, d, name):

@@ -28,12 +28,24 @@ def build_session(app: str = "barweave", master: str | None = None, **conf: str)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where the setting is missing, a temporary folder serves local sessions (tests); on a
+    cluster a machine-local folder would be lost with its machine, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="barweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="barweave-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def stage_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/barweave/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -43,6 +55,12 @@ def stage(df: DataFrame) -> DataFrame:
     to their rows).  The copy survives lost executors, keeps column pruning and filter
     pushdown for the later stages, and gives the optimizer real sizes for its join choices.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{stage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete everything this application staged; results that still read it become invalid."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
