@@ -91,14 +91,17 @@ def _merge(kind: str, a: Column, b: Column) -> Column:
         return F.least(a, b)
     if kind == "max":
         return F.greatest(a, b)
-    if kind == "last":
+    if kind in ("last", "prev"):
         return F.coalesce(b, a)
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
 
 
 def running(df: DataFrame, key: Sequence[str], specs: dict[str, tuple[str, Column | str]],
             size: int = BLOCK, rn: str = "rn") -> DataFrame:
-    """Running ``sum|min|max|count|last`` (last non-null) over the whole history of a key.
+    """Running ``sum|min|max|count|last|prev`` over the whole history of a key.
+
+    ``last`` is the latest non-null value, ``prev`` the value of the row before; ``max`` of a
+    struct carries the position of an extreme along with its value.
 
     ``df`` is read twice (rows and block summaries): pass a scan or a staged table.
     """
@@ -112,6 +115,10 @@ def running(df: DataFrame, key: Sequence[str], specs: dict[str, tuple[str, Colum
             tot.append(F.max_by(c, F.when(c.isNotNull(), F.col(rn))).alias(f"_t_{out}"))
             carry.append(F.last(f"_t_{out}", ignorenulls=True).over(before).alias(f"_c_{out}"))
             local[out] = F.last(c, ignorenulls=True).over(w)
+        elif kind == "prev":
+            tot.append(F.max_by(c, rn).alias(f"_t_{out}"))
+            carry.append(F.last(f"_t_{out}").over(before).alias(f"_c_{out}"))
+            local[out] = F.lag(c).over(block_window(key, rn))
         else:
             tot.append(_AGG[kind](c).alias(f"_t_{out}"))
             again = F.sum if kind == "count" else _AGG[kind]

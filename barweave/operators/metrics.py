@@ -37,16 +37,21 @@ def with_returns(equity: DataFrame, key: Sequence[str], col: str = "equity", out
     return close_blocks(d.withColumn(out, (F.col(col) - prev) / F.nullif(prev, F.lit(0.0)))).drop("_r1")
 
 
-def return_metrics(equity: DataFrame, cpd: DataFrame, key: Sequence[str]) -> DataFrame:
-    a = equity.groupBy(*key).agg(F.min_by("equity", "rn").alias("_first"), F.max_by("equity", "rn").alias("_last"),
-                                 F.count(F.lit(1)).alias("_n")).join(cpd, list(key))
+def return_aggs() -> list[Column]:
+    return [F.min_by("equity", "rn").alias("_first"), F.max_by("equity", "rn").alias("_last"), F.count(F.lit(1)).alias("_n")]
+
+
+def return_columns() -> dict[str, Column]:
+    """Total, annualised and final values from the aggregates and bars per day."""
     days = F.greatest(F.col("_n") / F.col("cpd"), F.lit(1.0))
     growth = F.col("_last") / F.nullif(F.col("_first"), F.lit(0.0))
-    return a.select(*key, "cpd", (F.col("_last") - F.col("_first")).alias("total_return_usd"),
-                    (growth - 1).alias("_tr"),
-                    F.when(F.col("_first") > 0, F.pow(F.greatest(growth, F.lit(0.0)), F.lit(DAYS) / days) - 1)
-                    .otherwise(0.0).alias("_ann"), F.col("_last").alias("final_equity"),
-                    F.col("_first").alias("initial_capital"))
+    return {"total_return_usd": F.col("_last") - F.col("_first"), "_tr": growth - 1,
+            "_ann": F.when(F.col("_first") > 0, F.pow(F.greatest(growth, F.lit(0.0)), F.lit(DAYS) / days) - 1).otherwise(0.0),
+            "final_equity": F.col("_last"), "initial_capital": F.col("_first")}
+
+
+def return_metrics(equity: DataFrame, cpd: DataFrame, key: Sequence[str]) -> DataFrame:
+    return equity.groupBy(*key).agg(*return_aggs()).join(cpd, list(key)).select(*key, "cpd", *[c.alias(n) for n, c in return_columns().items()])
 
 
 def risk_aggs(r: Column) -> list[Column]:
@@ -70,17 +75,23 @@ def risk_metrics(equity: DataFrame, cpd: DataFrame, key: Sequence[str], size: in
 
 
 def drawdowns(equity: DataFrame, key: Sequence[str], size: int = BLOCK) -> DataFrame:
-    """Running peak and drawdown (<= 0) of every row.  ``equity`` is read twice."""
-    d = running(equity.withColumn("_r1", F.col("rn") + 1), key, {"peak": ("max", "equity")}, size, "_r1")
-    return d.withColumn("drawdown", F.coalesce((F.col("equity") - F.col("peak")) / F.nullif(F.col("peak"), F.lit(0.0)),
-                                               F.lit(0.0)))
+    """Running peak, drawdown (<= 0), rows since the peak and return of every row.
 
+    The running maximum of (equity, position) carries where the latest peak was, so the
+    length of a stretch below it needs no second pass.  ``equity`` is read twice.
+    """
+    d = running(equity.withColumn("_r1", F.col("rn") + 1), key,
+                {"_pk": ("max", F.struct("equity", "_r1")), "_pe": ("prev", "equity")}, size, "_r1")
+    peak = F.col("_pk.equity")
+    return d.withColumns({
+        "peak": peak, "below": F.col("_r1") - F.col("_pk._r1"),
+        "drawdown": F.coalesce((F.col("equity") - peak) / F.nullif(peak, F.lit(0.0)), F.lit(0.0)),
+        "ret": (F.col("equity") - F.col("_pe")) / F.nullif(F.col("_pe"), F.lit(0.0))}).drop("_pk", "_pe", "_r1")
 
-def dd_duration(dd: DataFrame, key: Sequence[str], size: int = BLOCK) -> DataFrame:
-    """Longest stretch below the peak: rows between two peaks share a running peak count."""
-    d = running(dd, key, {"_isle": ("sum", F.when(F.col("drawdown") < 0, 0).otherwise(1))}, size, "_r1")
-    runs = d.filter("drawdown < 0").groupBy(*key, "_isle").agg(F.count(F.lit(1)).alias("_len"))
-    return runs.groupBy(*key).agg(F.max("_len").alias("max_dd_duration_candles"))
+
+def dd_duration(dd: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Longest stretch below the peak, in rows."""
+    return dd.groupBy(*key).agg(F.max("below").alias("max_dd_duration_candles"))
 
 
 def calmar(ann: Column, max_dd: Column) -> Column:
@@ -112,22 +123,20 @@ TRADE_FIELDS = ["num_trades", "win_rate", "profit_factor", "avg_trade_pnl", "bes
 
 
 def performance(equity: DataFrame, trades: DataFrame | None, key: Sequence[str], size: int = BLOCK) -> DataFrame:
-    """All scalar metrics, one row per key.  ``equity`` should be staged: it is read several times."""
+    """All scalar metrics, one row per key, from one pass with one running scan.
+
+    ``equity`` should be staged: it is read twice.
+    """
     key = list(key)
-    cpd = candles_per_day(equity, key)
-    dd = drawdowns(equity, key, size)
-    mdd = dd.groupBy(*key).agg(F.min("drawdown").alias("_mdd"))
-    m = (return_metrics(equity, cpd, key).join(risk_metrics(equity, cpd, key, size), key).join(mdd, key)
-         .join(dd_duration(dd, key, size), key, "left"))
-    m = m.select(*key, F.round("total_return_usd", 4).alias("total_return_usd"),
-                 F.round(F.col("_tr") * 100, 4).alias("total_return_pct"),
-                 F.round(F.col("_ann") * 100, 4).alias("annualised_return_pct"),
-                 F.round("final_equity", 4).alias("final_equity"), F.round("initial_capital", 4).alias("initial_capital"),
-                 F.round("sharpe_ratio", 4).alias("sharpe_ratio"), F.round("sortino_ratio", 4).alias("sortino_ratio"),
-                 F.round(calmar(F.col("_ann"), F.col("_mdd")), 4).alias("calmar_ratio"),
-                 F.round(F.col("_vol") * 100, 4).alias("volatility_pct"),
-                 F.round(F.col("_mdd") * 100, 4).alias("max_drawdown_pct"),
-                 F.coalesce("max_dd_duration_candles", F.lit(0)).alias("max_dd_duration_candles"))
+    a = drawdowns(equity, key, size).groupBy(*key).agg(
+        *return_aggs(), *risk_aggs(F.col("ret")), F.min("drawdown").alias("_mdd"), F.max("below").alias("max_dd_duration_candles"))
+    m = a.join(candles_per_day(equity, key), key).withColumns({**return_columns(), **risk_ratios(F.col("cpd"))})
+    pct = lambda c: F.round(F.col(c) * 100, 4)
+    m = m.select(*key, F.round("total_return_usd", 4).alias("total_return_usd"), pct("_tr").alias("total_return_pct"),
+                 pct("_ann").alias("annualised_return_pct"), F.round("final_equity", 4).alias("final_equity"),
+                 F.round("initial_capital", 4).alias("initial_capital"), F.round("sharpe_ratio", 4).alias("sharpe_ratio"),
+                 F.round("sortino_ratio", 4).alias("sortino_ratio"), F.round(calmar(F.col("_ann"), F.col("_mdd")), 4).alias("calmar_ratio"),
+                 pct("_vol").alias("volatility_pct"), pct("_mdd").alias("max_drawdown_pct"), "max_dd_duration_candles")
     if trades is None:
         return m
     return m.join(trade_stats(trades, key), key, "left").na.fill(0, TRADE_FIELDS)
@@ -161,15 +170,13 @@ def score_breakdown(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def rolling_risk(equity: DataFrame, key: Sequence[str], n: int = 30, size: int = BLOCK) -> DataFrame:
     """Sharpe over the last <= n returns and the running drawdown."""
-    d = drawdowns(equity, key, size)
-    o = open_blocks(d, n + 1, size, "_r1")
-    prev = F.lag("equity").over(block_window(key, "_r1"))
-    o = o.withColumn("_ret", (F.col("equity") - prev) / F.nullif(prev, F.lit(0.0)))
+    d = drawdowns(equity, key, size).withColumn("_r1", F.col("rn") + 1)
+    o = open_blocks(d, n, size, "_r1")
     w = block_window(key, "_r1").rowsBetween(-(n - 1), Window.currentRow)
-    sd = F.stddev_pop("_ret").over(w)
-    o = o.withColumn("rolling_sharpe", F.when(sd > TINY, F.avg("_ret").over(w) / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(DAYS)))
-                     .when(F.count("_ret").over(w) > 0, 0.0))
-    return close_blocks(o).drop("_ret", "_r1", "peak")
+    sd = F.stddev_pop("ret").over(w)
+    o = o.withColumn("rolling_sharpe", F.when(sd > TINY, F.avg("ret").over(w) / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.lit(DAYS)))
+                     .when(F.count("ret").over(w) > 0, 0.0))
+    return close_blocks(o).drop("ret", "_r1", "peak", "below")
 
 
 def monthly_pnl(trades: DataFrame, key: Sequence[str]) -> DataFrame:
