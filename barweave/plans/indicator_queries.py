@@ -51,10 +51,22 @@ def _(s, d):
     return fin(I.coverage_report(b, [o for k in keys for o in I.REGISTRY[k].outputs]))
 
 
-@query("indicators_one_pass")
+WINDOW_OUTPUTS = [o for k in WINDOW_KEYS for o in I.REGISTRY[k].outputs]
+
+
+def _all_sql():
+    q, parts = Sql(), {}
+    for k in WINDOW_KEYS:
+        t, outs = q.indicator(k, I.clamp(k, {}))
+        parts.update({f'"{o}"': (t, f'"{o}"') for o in outs})
+    j = q.join(parts, keep="b.ts, ")
+    return f"WITH RECURSIVE {bars_cte()}, {', '.join(q.ctes)} SELECT symbol, ts, {r(*WINDOW_OUTPUTS)} FROM {j}"
+
+
+@query("indicators_one_pass", _all_sql())
 def _(s, d):
     """All window-class indicators in one shuffle and one sort."""
-    return I.compute_all(event_bars(s, d), ["symbol"], [I.use(k) for k in WINDOW_KEYS])
+    return fin(I.compute_all(event_bars(s, d), ["symbol"], [I.use(k) for k in WINDOW_KEYS]), "symbol", "ts", *WINDOW_OUTPUTS)
 
 
 @query("missing_outputs", "SELECT DISTINCT event_type AS symbol, key, output FROM events, (VALUES ('ema', 'ema'), ('rsi', 'rsi')) v(key, output)")

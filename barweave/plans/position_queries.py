@@ -369,14 +369,31 @@ def small_grid(s):
     return W.param_grid(s, fast=[3, 5], slow=[10, 20])
 
 
-@query("walk_forward")
+def walk_sql(window: int, step: int) -> str:
+    """Every symbol, fold, part and parameter set as one series, then the single-strategy SQL."""
+    grid = [(1, 3, 10), (2, 3, 20), (3, 5, 10), (4, 5, 20)]
+    ma = lambda n: f"({roll('avg', 'close', n)})"
+    dec = lambda c: f"CAST(round(CAST({c} AS DECIMAL(18, 4)), 3) AS DOUBLE)"
+    return f"""WITH RECURSIVE {daily_cte('b0')}, c AS (SELECT symbol, n, CASE WHEN sh THEN floor(n * 0.60::DOUBLE)::BIGINT ELSE {window} END AS win, CASE WHEN sh THEN greatest(1, floor(n * 0.20::DOUBLE))::BIGINT ELSE {step} END AS st
+       FROM (SELECT symbol, count(*) AS n, count(*) < {window + step} OR (count(*) - {window}) // {step} < 2 AS sh FROM b0 GROUP BY symbol)), k AS (SELECT unnest(range(0, 200)) AS fold),
+     f AS (SELECT symbol, fold, fold * st AS a, fold * st + win AS b, fold * st + win + st AS e FROM c, k WHERE fold * st + win + st <= n),
+     segs AS (SELECT b0.symbol || '|' || fold || '|' || CASE WHEN rn - 1 < b THEN 'train' ELSE 'test' END AS symbol, ts, open, high, low, close, volume, CASE WHEN rn - 1 < b THEN rn - a ELSE rn - b END AS rn FROM b0 JOIN f ON f.symbol = b0.symbol AND rn - 1 >= a AND rn - 1 < e),
+     bars AS MATERIALIZED (SELECT symbol || '|' || pid AS symbol, ts, open, high, low, close, volume, rn, f, s FROM segs, (VALUES {', '.join(map(str, grid))}) g(pid, f, s)),
+     sm AS MATERIALIZED (SELECT symbol, rn, ts, close, CASE f WHEN 3 THEN {ma(3)} ELSE {ma(5)} END - CASE s WHEN 10 THEN {ma(10)} ELSE {ma(20)} END AS dd FROM bars),
+     flg AS MATERIALIZED (SELECT symbol, rn, ts, close, coalesce(lag(dd) OVER ({OVER}) <= 0 AND dd > 0, false) AS entry, coalesce(lag(dd) OVER ({OVER}) >= 0 AND dd < 0, false) AS "exit" FROM sm), {', '.join(latch_tail('flg')[0])}{TRADES[len(SMA_SIGNALS):]}{PERF[len(SMA_SIGNALS):]}, ts AS ({TS}),
+     m AS MATERIALIZED (SELECT split_part(symbol, '|', 1) AS sym, CAST(split_part(symbol, '|', 2) AS BIGINT) AS fold, split_part(symbol, '|', 3) AS part, CAST(split_part(symbol, '|', 4) AS BIGINT) AS pid, sharpe_ratio, total_return_pct, max_drawdown_pct, coalesce(num_trades, 0) AS num_trades, coalesce(win_rate, 0.0) AS win_rate FROM perf LEFT JOIN ts USING (symbol)),
+     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sym, fold ORDER BY sharpe_ratio DESC, pid) AS k FROM m WHERE part = 'train') WHERE k = 1),
+     walk AS (SELECT b.sym AS symbol, b.fold, b.pid AS param_id, {dec('b.sharpe_ratio')} AS train_sharpe, {dec('t.total_return_pct')} AS return_pct, {dec('t.sharpe_ratio')} AS sharpe, {dec('t.max_drawdown_pct')} AS max_dd_pct, t.num_trades, t.win_rate FROM best b JOIN m t ON t.sym = b.sym AND t.fold = b.fold AND t.pid = b.pid AND t.part = 'test') """
+
+
+@query("walk_forward", walk_sql(500, 250) + "SELECT * FROM walk")
 def _(s, d):
     return V.walk_forward(order_bars(s, d), small_grid(s), K, 500, 250)
 
 
-@query("wfe")
+@query("wfe", walk_sql(800, 400) + f"SELECT symbol, count(*) AS folds, {rx('avg(train_sharpe)', 'mean_is')}, {rx('avg(sharpe)', 'mean_oos')}, CASE WHEN avg(train_sharpe) > 0.05 THEN round(least(greatest(avg(sharpe) / avg(train_sharpe), 0.0), 2.0), 4) END AS wfe FROM walk GROUP BY symbol")
 def _(s, d):
-    return V.wfe(V.walk_forward(order_bars(s, d), small_grid(s), K, 800, 400), K)
+    return fin(V.wfe(V.walk_forward(order_bars(s, d), small_grid(s), K, 800, 400), K))
 
 
 @query("stitch_equity", f"""WITH {FOLDS}, seg AS (SELECT f.symbol, f.fold, b.rn - f.test_start AS rn, b.ts, b.close AS equity FROM bars b JOIN folds f ON f.symbol = b.symbol AND b.rn >= f.test_start AND b.rn <= f.test_end),
