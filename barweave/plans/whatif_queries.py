@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.draws import normal, uniform
@@ -117,10 +119,15 @@ def _(s, d):
     return fin(X.apply_scenario(b, X.plan_runs(b, s, 2, names=["vol_spike", "liquidity_drought"])), "symbol", "scenario", "run_id", "ts", "close")
 
 
-@query("scenario_mean_reverting")
+@query("scenario_mean_reverting", f"""WITH RECURSIVE {bars_cte()}, {runs_cte(2)}, z AS MATERIALIZED (SELECT b.symbol, scenario, run_id, rn, shock, start, {NORM('7chop', 'symbol', 'scenario', 'run_id', 'rn')} * shock / 100 AS z FROM (SELECT symbol, rn FROM bars) b JOIN runs USING (symbol)
+     WHERE scenario IN ('whipsaw_chop', 'range_bound') AND rn - 1 >= start AND rn - 1 < fin),
+   a(symbol, scenario, run_id, rn, r) AS (SELECT symbol, scenario, run_id, rn, z FROM z WHERE rn - 1 = start UNION ALL SELECT z.symbol, z.scenario, z.run_id, z.rn, z.z - 0.5 * a.r FROM a JOIN z ON z.symbol = a.symbol AND z.scenario = a.scenario AND z.run_id = a.run_id AND z.rn = a.rn + 1),
+   sd AS (SELECT symbol, scenario, run_id, stddev_pop(r) AS sd FROM a GROUP BY 1, 2, 3),
+   f AS (SELECT a.symbol, a.scenario, a.run_id, a.rn, exp(CASE WHEN sd > 1e-12 THEN r * (shock / 100) / sd ELSE r END) AS m FROM a JOIN sd USING (symbol, scenario, run_id) JOIN z USING (symbol, scenario, run_id, rn))
+   SELECT b.symbol, q.scenario, q.run_id, b.ts, {rx('greatest(b.close * coalesce(m, 1.0), 1e-6)', 'close')} FROM bars b JOIN runs q ON q.symbol = b.symbol AND q.scenario IN ('whipsaw_chop', 'range_bound') LEFT JOIN f ON f.symbol = b.symbol AND f.scenario = q.scenario AND f.run_id = q.run_id AND f.rn = b.rn""")
 def _(s, d):
     b = event_bars(s, d)
-    return X.apply_scenario(b, X.plan_runs(b, s, 2, names=["whipsaw_chop", "range_bound"]))
+    return fin(X.apply_scenario(b, X.plan_runs(b, s, 2, names=["whipsaw_chop", "range_bound"])), "symbol", "scenario", "run_id", "ts", "close")
 
 
 @query("scenario_gaps_outliers")
@@ -147,15 +154,19 @@ def _(s, d):
 
 # ------------------------------------------------------------------ resampling
 
-BOOT = f"""{bars_cte()}, rat AS MATERIALIZED (SELECT symbol, rn - 2 AS idx, close / lag(close) OVER ({OVER}) AS rr, high / close AS rh, low / close AS rl, open / lag(close) OVER ({OVER}) AS ro, volume AS v, rn FROM bars),
+def boot_cte(n_paths: int, horizon: int) -> str:
+    return f"""{bars_cte()}, rat AS MATERIALIZED (SELECT symbol, rn - 2 AS idx, close / lag(close) OVER ({OVER}) AS rr, high / close AS rh, low / close AS rl, open / lag(close) OVER ({OVER}) AS ro, volume AS v, rn FROM bars),
    base AS (SELECT symbol, max(rn) - 1 AS m, last(close ORDER BY rn) AS last FROM bars GROUP BY symbol),
-   ids AS (SELECT symbol, m, last, path_id::INTEGER AS path_id, b, k, floor({u01('7bb', 'symbol', 'path_id', 'b')} * m)::BIGINT AS st FROM base, (SELECT unnest(range(1, 21)) AS path_id), (SELECT unnest(range(0, 3)) AS b), (SELECT unnest(range(0, 20)) AS k)),
-   j AS (SELECT i.symbol, path_id, last, (b * 20 + k + 1)::INTEGER AS step, rr, rh, rl, ro, v FROM ids i JOIN rat r ON r.symbol = i.symbol AND r.idx = (st + k) % m AND r.rn > 1 WHERE b * 20 + k + 1 <= 50),
+   ids AS (SELECT symbol, m, last, path_id::INTEGER AS path_id, b, k, floor({u01('7bb', 'symbol', 'path_id', 'b')} * m)::BIGINT AS st FROM base, (SELECT unnest(range(1, {n_paths + 1})) AS path_id), (SELECT unnest(range(0, {-(-horizon // 20)})) AS b), (SELECT unnest(range(0, 20)) AS k)),
+   j AS (SELECT i.symbol, path_id, last, (b * 20 + k + 1)::INTEGER AS step, rr, rh, rl, ro, v FROM ids i JOIN rat r ON r.symbol = i.symbol AND r.idx = (st + k) % m AND r.rn > 1 WHERE b * 20 + k + 1 <= {horizon}),
    c AS (SELECT *, greatest(last * exp(sum(ln(rr)) OVER (PARTITION BY symbol, path_id ORDER BY step)), 1e-10) AS close FROM j),
    o AS (SELECT *, greatest(coalesce(lag(close) OVER (PARTITION BY symbol, path_id ORDER BY step), last) * ro, 1e-10) AS open FROM c),
    paths AS MATERIALIZED (SELECT symbol, path_id, step, open, greatest(close * rh, open, close) AS high, greatest(least(close * rl, open, close), 1e-10) AS low, close, v AS volume FROM o)"""
 
 
+BOOT = boot_cte(20, 50)
+
+
 def boot(s, d, paths=20, horizon=50):
     return X.block_bootstrap(event_bars(s, d), paths, horizon)
 
@@ -218,7 +229,11 @@ def _(s, d):
     return C.compare_methods({"bootstrap": p, "halved": p.withColumn("return_pct", F.col("return_pct") / 2)}, K)
 
 
-@query("crisis_overlay")
+@query("crisis_overlay", f"""WITH {re.sub(r'\bbars\b', 'hist', boot_cte(10, 60))}, bars AS MATERIALIZED (SELECT symbol || '#' || path_id AS symbol, TIMESTAMP '1970-01-01' + to_days(step) AS ts, step::BIGINT AS rn, 60::BIGINT AS n, open, high, low, close FROM paths), {runs_cte(2)},
+   x AS (SELECT b.symbol, rn, greatest(open * f, 1e-6) AS open, greatest(close * f, 1e-6) AS close FROM (SELECT b.*, {drift_sql('(rn - 1)')} AS f FROM (SELECT symbol, rn, open, close FROM bars) b JOIN runs USING (symbol) WHERE scenario = 'covid_crash' AND run_id = 1) b),
+   y AS (SELECT *, close / lag(close) OVER w - 1 AS rt, close / max(close) OVER w - 1 AS dw FROM x WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+   pruns AS (SELECT split_part(symbol, '#', 1) AS symbol, round(last(close ORDER BY rn) / first(open ORDER BY rn) * 100 - 100, 4) AS return_pct, round(min(dw) * 100, 4) AS max_dd_pct, round(avg(rt) / stddev_pop(rt) * sqrt(252), 4) AS sharpe FROM y GROUP BY y.symbol)
+   SELECT symbol, {SUMMARY} FROM pruns GROUP BY symbol""")
 def _(s, d):
     o = X.crisis_overlay(boot(s, d, 10, 60), s, "covid_crash")
     return C.path_summary(C.path_performance(o, K), K)
