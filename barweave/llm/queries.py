@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .packing import op8_packing
+from .repetition import OP6_SQL, op6_repetition
+from .resample import op10_resample
 from .token_files import op2_token_files
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op6_repetition": op6_repetition,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op10_resample": op10_resample,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op6_repetition": OP6_SQL}
