@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import OP4_SQL, op4_mixing
 from .packing import op8_packing
 from .repetition import OP6_SQL, op6_repetition
 from .resample import op10_resample
@@ -10,9 +11,10 @@ from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op4_mixing": op4_mixing,
     "op6_repetition": op6_repetition,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op10_resample": op10_resample,
 }
-ORACLE = {"op6_repetition": OP6_SQL}
+ORACLE = {"op4_mixing": OP4_SQL, "op6_repetition": OP6_SQL}
