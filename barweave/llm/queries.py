@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .minhash import OP5_SQL, op5_minhash
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op8_packing
 from .repetition import OP6_SQL, op6_repetition
@@ -12,9 +13,10 @@ from .toxicity import op7_toxicity
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_mixing": op4_mixing,
+    "op5_minhash": op5_minhash,
     "op6_repetition": op6_repetition,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op10_resample": op10_resample,
 }
-ORACLE = {"op4_mixing": OP4_SQL, "op6_repetition": OP6_SQL}
+ORACLE = {"op5_minhash": OP5_SQL, "op4_mixing": OP4_SQL, "op6_repetition": OP6_SQL}
