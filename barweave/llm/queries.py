@@ -5,6 +5,7 @@ from __future__ import annotations
 from .minhash import OP5_SQL, op5_minhash
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op8_packing
+from .pii import op9_surrogates
 from .repetition import OP6_SQL, op6_repetition
 from .resample import op10_resample
 from .token_files import op2_token_files
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_repetition": op6_repetition,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_surrogates": op9_surrogates,
     "op10_resample": op10_resample,
 }
 ORACLE = {"op5_minhash": OP5_SQL, "op4_mixing": OP4_SQL, "op6_repetition": OP6_SQL}
