@@ -11,13 +11,24 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import numpy as np
 
 _LOADED: dict[str, "Encoder"] = {}
 _BLANK_BEFORE_CUT = re.compile(r"\s[ \n]")
 BATCH_CHARS = 1 << 21
-DISTINCT = 400_000
+DISTINCT = 700_000
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 def encoder(path: str) -> "Encoder":
@@ -59,6 +70,23 @@ class Encoder:
         self.flat = np.zeros(0, dtype=np.uint32)
         self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
+    def _piece_ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces; a piece of Latin letters is one pre-token and goes straight to the library's merge model."""
+        merge, out, rest = self.tokenizer.model.tokenize, [], []
+        bare, blank = self.style == "bare", "" if self.style == "bare" else " ".translate(_BYTE_LETTERS)
+        for i, piece in enumerate(pieces):
+            if self.style and piece.isalpha() and max(piece) <= "\u00ff":
+                word = piece.lower() if bare else piece       # letter by letter here, and in normal form C already
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                out.append([t.id for t in merge(blank + word)])
+            else:
+                out.append(None)
+                rest.append(i)
+        for i, ids in zip(rest, self._whole([self._spell(pieces[i]) for i in rest])):
+            out[i] = ids
+        return out
+
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -78,21 +106,22 @@ class Encoder:
     def _learn(self) -> None:
         """Encode the waiting pieces; a word with one point or comma behind it is the word's ids and the mark's."""
         known = len(self.starts)
-        look, alone = self.pieces.__getitem__, "\r" if self.style == "prefixed" else ""
+        look, bare_mark = self.pieces.__getitem__, "\r" if self.style == "prefixed" else ""
         marked, at = {}, 0
         while at < len(self.waiting):                 # looking up a base may add to the list
             piece = self.waiting[at]
             if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
-                marked[known + at] = (look(piece[:-1]), look(alone + piece[-1]))
+                marked[known + at] = (look(piece[:-1]), look(bare_mark + piece[-1]))
             at += 1
-        plain = [p for i, p in enumerate(self.waiting) if known + i not in marked]
-        new = dict(zip((known + i for i in range(at) if known + i not in marked), self._whole([self._spell(p) for p in plain])))
+        alone = [i for i in range(at) if known + i not in marked]
+        new = dict(zip((known + i for i in alone), self._piece_ids([self.waiting[i] for i in alone])))
         for k, (base, mark) in marked.items():
             new[k] = self._ids(base, new) + self._ids(mark, new)
-        size = np.array([len(new[known + i]) for i in range(at)], dtype=np.int64)
+        found = [new[known + i] for i in range(at)]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=at)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
         self.sizes = np.concatenate([self.sizes, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((t for i in range(at) for t in new[known + i]), dtype=np.uint32, count=int(size.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(size.sum()))])
         self.waiting.clear()
 
     def _ids(self, number: int, new: dict) -> list[int]:
