@@ -134,14 +134,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, scratch: Scratch, id_col: st
         if partial:
             yield _batch(part, seq + len(packer.ready), [partial], True)
 
-    def join(key, batches):
-        pieces = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["part"], r["offset"]))
+    def join(key, table):                             # at most FAN_IN partial windows
+        import pyarrow as pa
+        pieces = sorted(table.to_pylist(), key=lambda r: (r["part"], r["offset"]))
         group = key[0].as_py()
         full, partial = join_pieces([(r["doc_id"], r["start"], r["length"], r["doc_tokens"], np.frombuffer(r["ids"], "<u4")) for r in pieces], size)
-        if full:
-            yield _batch(group, 0, full, False)
-        if partial:
-            yield _batch(group, len(full), [partial], True)
+        made = [_batch(group, 0, full, False)] if full else []
+        return pa.Table.from_batches(made + ([_batch(group, len(full), [partial], True)] if partial else []))
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     level = scratch.keep(chosen.mapInArrow(place, _PIECE), "pieces")
