@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .warc import op1_warc
 from .minhash import OP5_SQL, op5_minhash
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op8_packing
@@ -12,6 +13,7 @@ from .token_files import op2_token_files
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_token_files": op2_token_files,
     "op4_mixing": op4_mixing,
     "op5_minhash": op5_minhash,
