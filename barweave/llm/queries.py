@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .warc import op1_warc
+from .embeddings import OP3_SQL, op3_embeddings
 from .minhash import OP5_SQL, op5_minhash
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op8_packing
@@ -15,6 +16,7 @@ from .toxicity import op7_toxicity
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_files": op2_token_files,
+    "op3_embeddings": op3_embeddings,
     "op4_mixing": op4_mixing,
     "op5_minhash": op5_minhash,
     "op6_repetition": op6_repetition,
@@ -23,4 +25,4 @@ QUERIES = {
     "op9_surrogates": op9_surrogates,
     "op10_resample": op10_resample,
 }
-ORACLE = {"op5_minhash": OP5_SQL, "op4_mixing": OP4_SQL, "op6_repetition": OP6_SQL}
+ORACLE = {"op3_embeddings": OP3_SQL, "op5_minhash": OP5_SQL, "op4_mixing": OP4_SQL, "op6_repetition": OP6_SQL}
