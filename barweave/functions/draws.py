@@ -22,16 +22,17 @@ def normal(seed: int | str, *ids: Column | str) -> Column:
 
 
 def distinct_positions(seed: int | str, count: Column, size: Column, *ids: Column | str) -> Column:
-    """``count`` different positions in [0, size), drawn one after the other.
+    """``count`` different positions in [0, size), or all of them if there are fewer.
 
-    Works on the one row that describes a run, so the rows of the run need no ranking.  Small
-    ranges are shuffled whole; in large ones repeated draws are skipped.
+    Draw j falls among the ``size - j`` positions not yet taken: counted from below, it moves up by
+    one past every earlier position at or under it.  Works on the one row that describes a run, so
+    the rows of the run need no ranking.
     """
-    few = F.least(count, size)
-    small = F.transform(
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(F.least(size, F.lit(256)) - 1, F.lit(0))),
-                                 lambda i: F.struct(uniform(f"{seed}s", *ids, i).alias("u"), i.cast("long").alias("i")))),
-        lambda s: s["i"])
-    large = F.array_distinct(F.transform(F.sequence(F.lit(1), 8 * count + 32),
-                                         lambda j: F.floor(uniform(f"{seed}l", *ids, j) * size).cast("long")))
-    return F.slice(F.when(size <= 256, small).otherwise(large), 1, few)
+    few = F.least(count.cast("long"), size.cast("long"))
+
+    def place(taken: Column, j: Column) -> Column:
+        free = F.floor(uniform(f"{seed}d", *ids, j) * (size - j + 1)).cast("long")
+        return F.concat(taken, F.array(F.aggregate(F.array_sort(taken), free, lambda at, t: F.when(t <= at, at + 1).otherwise(at))))
+
+    steps = F.when(few >= 1, F.sequence(F.lit(1).cast("long"), few)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(steps, F.array().cast("array<bigint>"), place)

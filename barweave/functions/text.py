@@ -12,10 +12,15 @@ CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
 MARK = "\n...[truncated]"
 
 
-def clean_text(c: Column | str, limit: int = 12_000) -> Column:
-    """Remove control characters; texts above ``limit`` characters are cut and marked."""
+def clean_text(c: Column | str, limit: int | None = None) -> Column:
+    """Remove control characters; only if a ``limit`` is given, longer texts are cut and marked."""
     t = F.regexp_replace(F.col(c) if isinstance(c, str) else c, CONTROL, "")
-    return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit(MARK))).otherwise(t)
+    return t if limit is None else F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit(MARK))).otherwise(t)
+
+
+def over_limit(c: Column | str, limit: int = 12_000) -> Column:
+    """Is the cleaned text longer than a reader of ``limit`` characters takes?"""
+    return F.length(clean_text(c)) > limit
 
 
 def words(c: Column | str) -> Column:

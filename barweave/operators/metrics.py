@@ -223,7 +223,7 @@ def metric_diff(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     delta = F.col("improved") - F.col("original")
     sign = F.when(F.col("metric").isin([m for m, s in DIRECTION.items() if s < 0]), -1).otherwise(1)
     return d.withColumns({"delta": F.round(delta, 4), "pct_change": F.round(delta / F.nullif(F.abs("original"), F.lit(0.0)) * 100, 2),
-                          "better": F.when(delta == 0, F.lit(None)).otherwise(delta * sign > 0)})
+                          "better": delta * sign > 0})
 
 
 def buy_hold_verdict(bars: DataFrame, metrics: DataFrame, key: Sequence[str]) -> DataFrame:

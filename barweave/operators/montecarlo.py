@@ -23,7 +23,7 @@ def resample_trades(trades: DataFrame, key: Sequence[str], runs: int, capital: f
     """
     key = list(key)
     n = trades.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("entry_time").alias("_t0"), F.max("exit_time").alias("_t1"))
-    n = n.filter("n >= 3").withColumn("keep", F.greatest(F.lit(1), (F.col("n") - F.rint(F.col("n") * skip))).cast("long"))
+    n = n.filter("n >= 3").withColumn("keep", F.greatest(F.lit(1), F.rint(F.col("n") * (1 - skip))).cast("long"))
     days = F.greatest((seconds(F.col("_t1")) - seconds(F.col("_t0"))) / 86400.0, F.lit(1.0))
     n = n.withColumn("per_year", F.greatest(F.lit(1.0), F.col("n") / days * 365.0))
     k2 = [*key, "run_id"]
@@ -79,16 +79,16 @@ def representative_run(runs: DataFrame, key: Sequence[str]) -> DataFrame:
                                F.first("p50").alias("p50"))
 
 
-def equity_fan(equity: DataFrame, key: Sequence[str], path: str = "run_id") -> DataFrame:
-    """p5/p50/p95 over all runs per bar, up to the end of the shortest run.
-
-    A group is one bar of one key over its runs, whose number is a parameter of the analysis.
-    """
+def equity_fan(equity: DataFrame, key: Sequence[str], path: str = "run_id", common: bool = False) -> DataFrame:
+    """p5/p50/p95 over the runs of each bar and how many runs reach it; with ``common`` only bars that all runs reach."""
     key = list(key)
-    short = equity.groupBy(*key, path).agg(F.max("rn").alias("_l")).groupBy(*key).agg(F.min("_l").alias("_l"))
-    d = equity.join(short, key).filter(F.col("rn") <= F.col("_l"))
-    a = d.groupBy(*key, "rn").agg(F.percentile("equity", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("_p"))
-    return a.select(*key, "rn", *[F.round(F.col("_p")[i], 4).alias(n) for i, n in enumerate(("p5", "p50", "p95"))])
+    if common:
+        short = equity.groupBy(*key, path).agg(F.max("rn").alias("_l")).groupBy(*key).agg(F.min("_l").alias("_l"))
+        equity = stage(equity.join(short, key).filter(F.col("rn") <= F.col("_l")).drop("_l"))
+    bar = [*key, "rn"]
+    runs = equity.groupBy(*bar).agg(F.count("equity").alias("runs"))
+    a = runs.join(exact_percentiles(equity, bar, "equity", TAILS, splits=8, fine=8), bar)
+    return a.select(*bar, "runs", *[F.round(n, 4).alias(n) for n in TAILS])
 
 
 def even_indices(n: Column, k: int) -> Column:
@@ -98,9 +98,9 @@ def even_indices(n: Column, k: int) -> Column:
         F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.rint(i * (n - 1) / (m - 1)).cast("long"))))
 
 
-def sample_paths(paths: DataFrame, key: Sequence[str], max_paths: int = 100, max_points: int = 200, path: str = "path_id",
+def sample_paths(paths: DataFrame, key: Sequence[str], max_paths: int, max_points: int, path: str = "path_id",
                  step: str = "step", value: str = "close") -> DataFrame:
-    """Evenly spaced paths and points, as percent of the first point of the path.
+    """Evenly spaced paths and points, as change in percent from the first point of the path.
 
     Indices are made on one row per key and turn into a semi-join, so the paths themselves
     are only filtered.
@@ -111,7 +111,7 @@ def sample_paths(paths: DataFrame, key: Sequence[str], max_paths: int = 100, max
     pts = shape.select(*key, F.explode(even_indices(F.col("_ns").cast("long"), max_points)).alias("_i")).select(*key, (F.col("_i") + 1).cast("int").alias(step))
     first = paths.filter(F.col(step) == 1).select(*key, path, F.col(value).alias("_v0"))
     d = paths.join(ids, [*key, path], "left_semi").join(pts, [*key, step], "left_semi")
-    return d.join(first, [*key, path]).select(*key, path, step, F.round(F.col(value) / F.col("_v0") * 100, 4).alias("pct"))
+    return d.join(first, [*key, path]).select(*key, path, step, F.round((F.col(value) / F.col("_v0") - 1) * 100, 3).alias("pct"))
 
 
 def path_delta(equity: DataFrame, baseline: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
 from ..sources.bars import seconds
-from .blocks import BLK, BLOCK, block_of, block_window, close_blocks, open_blocks, running
+from .blocks import BLK, BLOCK, block_of, block_window, close_blocks, index_rows, open_blocks, running, span
 
 # Indian transaction-cost rates (2024) per market and side.
 STT_RATES = {"equity_delivery_buy": 0.001, "equity_delivery_sell": 0.001, "equity_intraday_sell": 0.00025,
@@ -84,34 +84,78 @@ def apply_lots(signals: DataFrame, lot: Column | int) -> DataFrame:
 
 # ------------------------------------------------------------------ round trips and equity
 
+def holdings(signals: DataFrame, key: Sequence[str], size: int = BLOCK) -> DataFrame:
+    """Each bar with ``bought``, ``sold`` (capped at what is held), ``held_before`` and ``held``.
+
+    Holdings are a running sum floored at zero: the sum minus its running minimum.  Both run inside
+    blocks in one sort; a block is summed up as (sum, smallest prefix), and those rows are scanned.
+    """
+    key = list(key)
+    q = F.coalesce("quantity", F.lit(0.0))
+    move = F.when(F.col("signal") == "BUY", q).when(F.col("signal") == "SELL", -q).otherwise(0.0)
+    d = signals.select(*key, "rn", "ts", "close", "signal", move.alias("_d")).withColumn(BLK, block_of(F.col("rn"), size))
+    w = block_window(key)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_s", F.sum("_d").over(upto)).withColumns({"_m": F.min("_s").over(upto), "_mb": F.min("_s").over(before)})
+    ends = d.groupBy(*key, BLK).agg(F.max_by("_s", "rn").alias("_sum"), F.min("_m").alias("_low"))
+    earlier = span(key).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    heads = ends.withColumn("_c", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+    heads = heads.withColumn("_f", F.least(F.lit(0.0), F.coalesce(F.min(F.col("_c") + F.col("_low")).over(earlier), F.lit(0.0)))).select(*key, BLK, "_c", "_f")
+    d = d.join(heads, [*key, BLK])
+    total = F.col("_c") + F.col("_s")
+    was = total - F.col("_d") - F.least("_f", F.coalesce(F.col("_c") + F.col("_mb"), F.col("_f")))
+    d = d.withColumn("held_before", F.when(was > 1e-10, was).otherwise(0.0))
+    d = d.withColumns({"bought": F.greatest(F.col("_d"), F.lit(0.0)), "sold": F.least(F.greatest(-F.col("_d"), F.lit(0.0)), "held_before")})
+    left = F.col("held_before") + F.col("bought") - F.col("sold")
+    return d.withColumn("held", F.when(left > 1e-10, left).otherwise(0.0)).select(*key, "rn", "ts", "close", "signal", "bought", "sold", "held_before", "held")
+
+
 def round_trips(signals: DataFrame, key: Sequence[str], slippage: float = 0.001, fee: float = 0.001,
                 size: int = BLOCK) -> DataFrame:
-    """Pair each BUY with the SELL that follows; an open position closes on the last bar.
+    """One trade per realised sale against the weighted-average entry; what is held at the end closes on the last bar.
 
-    BUY and SELL alternate, so both carry the same running BUY count and meet in one hash
-    aggregation -- no ordering of a whole key.  ``signals`` is read more than once.
+    Buys may repeat and sales may be partial; a sale is capped at the holding.  A stretch from flat to
+    flat without a buy after a sale has one average, a plain aggregate of its buys; only stretches
+    that mix them follow the ledger's recurrence.  Entry time is the first buy of the stretch, fees
+    are those of the sale and its share of the entry fees.
     """
     key = list(key)
-    buy = F.col("signal") == "BUY"
-    d = running(signals.select(*key, "rn", "ts", "close", "signal", "quantity"), key,
-                {"trade_no": ("sum", F.when(buy, 1).otherwise(0))}, size)
-    ev = d.filter(F.col("signal") != "HOLD")
-    t = ev.groupBy(*key, "trade_no").agg(
-        F.max(F.when(buy, F.col("ts"))).alias("entry_time"), F.max(F.when(buy, F.col("close"))).alias("_e"),
-        F.max(F.when(buy, F.col("quantity"))).alias("quantity"),
-        F.max(F.when(~buy, F.col("ts"))).alias("_xt"), F.max(F.when(~buy, F.col("close"))).alias("_x"))
-    last = signals.groupBy(*key).agg(F.max("ts").alias("_lt"), F.max_by("close", "rn").alias("_lc"))
-    t = t.filter(F.col("entry_time").isNotNull()).join(last, key)
-    return trade_pnl(t.withColumns({"exit_time": F.coalesce("_xt", "_lt"), "open_end": F.col("_xt").isNull(),
-                                    "_x": F.coalesce("_x", "_lc")}), key, slippage, fee)
+    h = stage(holdings(signals, key, size))
+    last = h.groupBy(*key).agg(F.max_by(F.struct("rn", "ts", "close", "held"), "rn").alias("z")).filter("z.held > 0")
+    close = last.select(*key, (F.col("z.rn") + 1).alias("rn"), "z.ts", "z.close", F.lit("SELL").alias("signal"), F.lit(0.0).alias("bought"),
+                        F.col("z.held").alias("sold"), F.col("z.held").alias("held_before"), F.lit(0.0).alias("held"), F.lit(True).alias("open_end"))
+    ev = h.filter("bought > 0 or sold > 0").withColumn("open_end", F.lit(False)).unionByName(close)
+    ev = stage(index_rows(ev, key, ["rn"], [block_of(F.col("rn"), size)], out="en"))
+    opens = (F.col("bought") > 0) & (F.col("held_before") <= 0)
+    ev = running(ev, key, {"cycle": ("sum", F.when(opens, 1).otherwise(0)), "trade_no": ("sum", F.when(F.col("sold") > 0, 1).otherwise(0))}, size, rn="en")
+    value = F.col("bought") * F.col("close") * (1 + slippage)
+    ev = stage(ev.withColumns({"_cost": value, "_fee": simple_fee(value, fee), "_a": F.when(F.col("bought") > 0, F.when(F.col("held_before") > 0, 1.0).otherwise(0.0)).otherwise(F.col("held") / F.col("held_before"))}))
+    cyc = [*key, "cycle"]
+    c = ev.groupBy(*cyc).agg(F.sum("_cost").alias("cost"), F.sum("_fee").alias("entry_fees"), F.sum("bought").alias("qty"), F.min("ts").alias("entry_time"),
+                             F.coalesce(F.max(F.when(F.col("bought") > 0, F.col("en"))) > F.min(F.when(F.col("sold") > 0, F.col("en"))), F.lit(False)).alias("mixed"))
+    c = stage(c)
+    sales = ev.filter("sold > 0").join(c, cyc)
+    plain = sales.filter("not mixed").withColumns({"_e": F.col("cost") / F.col("qty"), "_ef": F.col("entry_fees") / F.col("qty") * F.col("sold")})
+    cols = [*key, "trade_no", "entry_time", F.col("ts").alias("exit_time"), F.col("close").alias("_x"), F.col("sold").alias("quantity"), "_e", "_ef", "open_end"]
+    t = plain.select(*cols)
+    mixed = c.filter("mixed")
+    if not mixed.isEmpty():
+        m = ev.join(mixed.select(*cyc, "entry_time"), cyc)
+        m = stage(index_rows(m, key, ["en"], [block_of(F.col("en"), size)], out="mn"))
+        y = running_affine(m, key, "_a", ["_cost", "_fee"], size, rn="mn")
+        y = stage(y.select(*key, "mn", "trade_no", "entry_time", "ts", "close", "sold", "held_before", "open_end", "_cost_y", "_fee_y"))
+        before = y.select(*key, (F.col("mn") + 1).alias("mn"), F.col("_cost_y").alias("_cb"), F.col("_fee_y").alias("_fb"))
+        y = y.filter("sold > 0").drop("_cost_y", "_fee_y").join(before, [*key, "mn"])
+        y = y.withColumns({"_e": F.col("_cb") / F.col("held_before"), "_ef": F.col("_fb") * F.col("sold") / F.col("held_before")})
+        t = t.unionByName(y.select(*cols))
+    return trade_pnl(t, key, slippage, fee)
 
 
 def trade_pnl(t: DataFrame, key: Sequence[str], slippage: float, fee: float) -> DataFrame:
-    """Slipped prices, fees on both legs, profit and its share of the entry value."""
-    entry, exit_ = F.col("_e") * (1 + slippage), F.col("_x") * (1 - slippage)
+    """Slipped exit, fees of the exit and the entry's share, profit and its share of the entry value; ``_e`` is the slipped entry."""
     q = F.col("quantity")
-    fees = simple_fee(entry * q, fee) + simple_fee(exit_ * q, fee)
-    d = t.withColumns({"entry_price": entry, "exit_price": exit_, "fees": fees})
+    d = t.withColumns({"entry_price": F.col("_e"), "exit_price": F.col("_x") * (1 - slippage)})
+    d = d.withColumn("fees", F.col("_ef") + simple_fee(F.col("exit_price") * q, fee))
     d = d.withColumn("pnl", (F.col("exit_price") - F.col("entry_price")) * q - F.col("fees"))
     return d.select(*key, "trade_no", "entry_time", "entry_price", "exit_time", "exit_price", "quantity", "pnl",
                     (F.col("pnl") / (F.col("entry_price") * q)).alias("pnl_pct"), "fees",
@@ -120,20 +164,17 @@ def trade_pnl(t: DataFrame, key: Sequence[str], slippage: float, fee: float) ->
 
 def equity_curve(signals: DataFrame, key: Sequence[str], capital: float = 10_000.0, slippage: float = 0.001,
                  fee: float = 0.001, size: int = BLOCK) -> DataFrame:
-    """Mark-to-market equity per bar; row 0 is the starting capital, the last row is realised."""
+    """Mark-to-market equity per bar; row 0 is the starting capital, the last row is realised; sales are capped at the holding."""
     key = list(key)
-    buy, sell = F.col("signal") == "BUY", F.col("signal") == "SELL"
-    gross = F.col("quantity") * slip(F.col("close"), F.col("signal"), slippage)
-    flow = F.when(buy, -(gross + simple_fee(gross, fee))).when(sell, gross - simple_fee(gross, fee)).otherwise(0.0)
-    move = F.when(buy, F.col("quantity")).when(sell, -F.col("quantity")).otherwise(0.0)
-    d = running(signals.select(*key, "rn", "ts", "close", "signal", "quantity"), key,
-                {"_cash": ("sum", flow), "_pos": ("sum", move)}, size)
-    last = signals.groupBy(*key).agg(F.max("rn").alias("_n"), F.min("ts").alias("_t0"))
-    d = d.join(last, key)
-    exit_ = F.col("_pos") * F.col("close") * (1 - slippage)
-    open_ = F.abs(F.col("_pos")) > 1e-9
+    d = stage(holdings(signals, key, size))
+    bought, sold = F.col("bought") * F.col("close") * (1 + slippage), F.col("sold") * F.col("close") * (1 - slippage)
+    flow = F.when(F.col("bought") > 0, -(bought + simple_fee(bought, fee))).when(F.col("sold") > 0, sold - simple_fee(sold, fee)).otherwise(0.0)
+    last = d.groupBy(*key).agg(F.max("rn").alias("_n"), F.min("ts").alias("_t0"))
+    d = running(d, key, {"_cash": ("sum", flow)}, size).join(last, key)
+    exit_ = F.col("held") * F.col("close") * (1 - slippage)
+    open_ = F.col("held") > 1e-9
     value = F.when(open_ & (F.col("rn") == F.col("_n")), exit_ - simple_fee(exit_, fee)).when(
-        open_, F.col("_pos") * F.col("close")).otherwise(0.0)
+        open_, F.col("held") * F.col("close")).otherwise(0.0)
     # Rounded far below a cent: a flat stretch must not show last-bit noise as returns.
     rows = d.select(*key, "rn", "ts", F.round(F.lit(capital) + F.col("_cash") + value, 8).alias("equity"))
     head = last.select(*key, F.lit(0).cast("long").alias("rn"), F.col("_t0").alias("ts"),

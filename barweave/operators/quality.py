@@ -48,7 +48,7 @@ def checks(bars: DataFrame, key: Sequence[str], gap: float = 3.0, z: float = 5.0
                F.count_if((c["low"] > c["open"]) | (c["low"] > c["close"])).alias("low_above_body"),
                # positions follow time, so equal neighbours are exactly the duplicates
                F.count_if(F.col("_gap") == 0).alias("dup_ts")]
-    counts += [F.count_if(c[n].isNull()).alias(f"null_{n}") for n in OHLCV]
+    counts += [F.count_if(c[n].isNull() | F.isnan(c[n])).alias(f"null_{n}") for n in OHLCV]
     counts += [F.count_if(F.abs(c[n]) == float("inf")).alias(f"inf_{n}") for n in OHLCV]
     counts += [F.median("_gap").alias("_mg"), F.avg("_ret").alias("_mr"), F.stddev_samp("_ret").alias("_sr"),
                F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.avg("close").alias("close_mean"),

@@ -241,7 +241,8 @@ def bar_ratios(bars: DataFrame, key: Sequence[str] = ("symbol",), size: int = BL
     pc = F.lag("close").over(block_window(key))
     prev = F.when(pc != 0, pc).otherwise(1e-10)
     cur = F.when(F.col("close") != 0, F.col("close")).otherwise(1e-10)
-    o = o.withColumns({"r_ret": F.col("close") / prev, "r_high": F.col("high") / cur, "r_low": F.col("low") / cur,
+    # a close of zero is floored in its own ratio and in the next one, so the two floors cancel
+    o = o.withColumns({"r_ret": F.greatest(F.col("close"), F.lit(1e-10)) / prev, "r_high": F.col("high") / cur, "r_low": F.col("low") / cur,
                        "r_open": F.col("open") / prev, "_has": pc.isNotNull()})
     return close_blocks(o).filter("_has").select(*key, (F.col("rn") - 2).alias("idx"), "r_ret", "r_high", "r_low", "r_open", F.col("volume").alias("vol"))
 

@@ -15,7 +15,7 @@ from .metrics import performance
 from .positions import equity_curve, round_trips
 from .signals import cross_above, cross_below, flags_from, signals_from_masks
 
-MAX_GRID = 200
+BATCH = 100          # parameter sets per plan
 
 # Sweep ranges of the three classic strategies.
 GRID_RANGES = {"num_levels": [3, 5, 7, 10], "spacing": ["linear", "exponential"], "invest": [200.0, 500.0, 1000.0]}
@@ -27,12 +27,10 @@ PLA_RANGES = {"ema": [(9, 21), (12, 26), (20, 50)],
               "exit": [("crossover", 5.0), ("take_profit", 5.0), ("take_profit", 10.0)]}
 
 
-def param_grid(spark: SparkSession, limit: int = MAX_GRID, **ranges: Sequence) -> DataFrame:
-    """Cartesian product of parameter ranges, at most ``limit`` combinations."""
+def param_grid(spark: SparkSession, **ranges: Sequence) -> DataFrame:
+    """Cartesian product of parameter ranges."""
     names = list(ranges)
     combos = list(itertools.product(*ranges.values()))
-    if len(combos) > limit:
-        raise ValueError(f"{len(combos)} combinations exceed the limit of {limit}")
     return spark.createDataFrame([(i, *c) for i, c in enumerate(combos, 1)], ["param_id", *names])
 
 
@@ -51,13 +49,18 @@ def preset_grids(spark: SparkSession) -> DataFrame:
 def ma_cross_flags(bars: DataFrame, key: Sequence[str], grid: DataFrame, kind: str = "sma", size: int = BLOCK) -> DataFrame:
     """Crossing flags for every (key, parameter set).
 
-    Averages are computed once per distinct length and shared by all parameter sets; the grid
-    is bounded by its guard and becomes one literal array, so each bar fans out to narrow flag
-    rows without a join.
+    Averages are computed once per distinct length and shared by the parameter sets of a batch;
+    a batch becomes one literal array, so each bar fans out to narrow flag rows without a join.
     """
-    sets = grid.select("param_id", "fast", "slow").limit(MAX_GRID + 1).collect()
-    if len(sets) > MAX_GRID:
-        raise ValueError(f"more than {MAX_GRID} parameter sets")
+    sets = sorted(grid.select("param_id", "fast", "slow").collect(), key=lambda r: (r["fast"], r["slow"], r["param_id"]))
+    out = None
+    for lo in range(0, len(sets), BATCH):
+        part = _batch_flags(bars, key, sets[lo:lo + BATCH], kind, size)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else _batch_flags(bars, key, [(0, 1, 1)], kind, size).filter(F.lit(False))
+
+
+def _batch_flags(bars: DataFrame, key: Sequence[str], sets: Sequence, kind: str, size: int) -> DataFrame:
     lengths = sorted({int(v) for _, f, s in sets for v in (f, s)})
     p = open_panel(bars, key, [use(kind, f"_{n}", length=n) for n in lengths], extra=1, size=size)
     both = []
@@ -149,16 +152,16 @@ def cached_outcomes(new: DataFrame, log: DataFrame, key: str = "cache_key", newe
     return new.join(last, key, "left")
 
 
-def plateau(rounds: DataFrame, key: Sequence[str], eps: float = 0.02, limit: int = 5) -> DataFrame:
+def plateau(rounds: DataFrame, key: Sequence[str], eps: float = 0.02, limit: int | None = None) -> DataFrame:
     """Best round (first on ties) among those that would have run, and where progress stopped.
 
-    A history has at most ``limit`` rounds that count, so its window is bounded.
+    All rounds up to the plateau count; rounds after a ``limit`` only if one is given.
     """
     key = list(key)
     w = span(key).orderBy("round")
-    d = rounds.filter(F.col("round") <= limit).withColumn("_gain", F.col("score") - F.lag("score").over(w))
+    d = (rounds if limit is None else rounds.filter(F.col("round") <= limit)).withColumn("_gain", F.col("score") - F.lag("score").over(w))
     stop = d.groupBy(*key).agg(F.min(F.when((F.col("round") >= 2) & (F.col("_gain") < eps), F.col("round"))).alias("plateau_round"))
-    d = d.join(stop, key).filter(F.col("round") <= F.coalesce("plateau_round", F.lit(limit)))
+    d = d.join(stop, key).filter(F.col("plateau_round").isNull() | (F.col("round") <= F.col("plateau_round")))
     return d.groupBy(*key).agg(F.min_by("round", F.struct((-F.col("score")).alias("s"), "round")).alias("best_round"),
                                F.max("score").alias("best_score"), F.max("plateau_round").alias("plateau_round"), F.max("round").alias("rounds_run"))
 

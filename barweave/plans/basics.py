@@ -334,9 +334,9 @@ def _(s, d):
     return event_ticks(s, d).select("event_id", F.get_json_object("props", "$.k").cast("double").alias("k"))
 
 
-@query("clean_text", """SELECT doc_id, CASE WHEN length(t) > 12000 THEN substr(t, 1, 12000) || chr(10) || '...[truncated]' ELSE t END AS cleaned FROM (SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS t FROM documents)""")
+@query("clean_text", """SELECT doc_id, t AS cleaned, length(t) AS length, length(t) > 12000 AS over_limit FROM (SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS t FROM documents)""")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", X.clean_text("text").alias("cleaned"))
+    return table(s, d, "documents").select("doc_id", X.clean_text("text").alias("cleaned")).select("doc_id", "cleaned", F.length("cleaned").cast("long").alias("length"), X.over_limit("cleaned").alias("over_limit"))
 
 
 def rep_sql(n):
@@ -345,12 +345,12 @@ def rep_sql(n):
     return f"(len(w) >= {4 * n} AND floor(({run}) / {n}) >= 4 AND floor(({run}) / {n}) * {n} / len(w) >= 0.6)"
 
 
-# every third text is put into a loop, the others stay as they are
-@query("repetition_loop", f"""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat(substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 14) || ' ', 6) || substr(text, 1, 40) ELSE text END AS t FROM documents),
+# every third text is repeated whole, the others stay as they are
+@query("repetition_loop", f"""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat(text || ' ', 5) ELSE text END AS t FROM documents),
    k AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS w FROM q)
    SELECT doc_id, CASE WHEN len(w) < 8 THEN false ELSE {' OR '.join(rep_sql(n) for n in range(1, 7))} END AS looping FROM k""")
 def _(s, d):
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.concat(F.substring(F.regexp_replace("text", "\\s+", " "), 1, 14), F.lit(" ")), F.lit(6)), F.substring("text", 1, 40))).otherwise(F.col("text"))
+    t = F.when(F.col("doc_id") % 3 == 0, F.repeat(F.concat("text", F.lit(" ")), 5)).otherwise(F.col("text"))
     return table(s, d, "documents").select("doc_id", X.words(t).alias("w")).select("doc_id", X.is_repetition_loop(F.col("w")).alias("looping"))
 
 
@@ -510,6 +510,6 @@ def _(s, d):
     return usage.events_page(event_ticks(s, d).select("event_id", "ts", "event_type"), F.col("event_type") == "click", 50, 100, [F.desc("ts")])
 
 
-@query("api_latency", f"SELECT event_type, count(k) AS calls, {rx('avg(k)', 'avg_value')}, min(k) AS min_value, max(k) AS max_value FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1")
+@query("api_latency", f"SELECT event_type, count(k) AS calls, {rx('avg(k)', 'avg_value')}, min(k) AS min_value, max(k) AS max_value, {rx('quantile_cont(k, 0.5)', 'p50')}, {rx('quantile_cont(k, 0.95)', 'p95')} FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1")
 def _(s, d):
-    return fin(usage.api_latency(event_ticks(s, d), ["event_type"]).drop("p50", "p95"))
+    return fin(usage.api_latency(event_ticks(s, d), ["event_type"]))

@@ -14,7 +14,7 @@ from ..operators.presets import preset_flags
 from ..session import stage
 from ..sources.tables import event_bars, fills, order_bars, raw_bars
 from .oracle import Sql, lag, latch_tail, roll
-from .registry import OVER, bars_cte, daily_cte, fin, query, r, rx, secs
+from .registry import ORACLE, OVER, bars_cte, daily_cte, fin, query, r, rx, secs
 from .signal_queries import K, SMA_SIGNALS, flags_sql, params_of
 
 CAP = 100_000.0
@@ -39,6 +39,52 @@ def _(s, d):
     return fin(P.round_trips(signals(s, d), K), "symbol", "trade_no", "entry_time", "exit_time", "open_end", *T_COLS)
 
 
+def ledger_sql(sig: str) -> str:
+    """Trades of signals in the CTE ``sig`` bar by bar: average cost, capped sales, entry fees by share."""
+    return f""", sg AS MATERIALIZED (SELECT b.symbol, b.rn, b.ts, b.close, x.signal, x.quantity FROM bars b JOIN {sig} x ON x.symbol = b.symbol AND x.ts = b.ts),
+  lg(symbol, rn, ts, close, held, cost, fees, opened, bought, sold, e, ef) AS (SELECT symbol, 0::BIGINT, ts, close, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, NULL::TIMESTAMP, 0::DOUBLE, 0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM sg WHERE rn = 1
+    UNION ALL SELECT symbol, rn, ts, close, CASE WHEN h < 1e-10 THEN 0 ELSE h END, CASE WHEN h < 1e-10 THEN 0 WHEN sl > 0 THEN cost * (1 - sl / held) ELSE cost + bq * close * 1.001 END,
+      CASE WHEN h < 1e-10 THEN 0 WHEN sl > 0 THEN fees * (1 - sl / held) ELSE fees + round(bq * close * 1.001 * 0.001, 4) END, CASE WHEN bq > 0 AND held = 0 THEN ts ELSE opened END, bq, sl, CASE WHEN sl > 0 THEN cost / held END, CASE WHEN sl > 0 THEN fees * sl / held END
+    FROM (SELECT *, held + bq - sl AS h FROM (SELECT s.symbol, s.rn, s.ts, s.close, l.held, l.cost, l.fees, l.opened, CASE WHEN s.signal = 'BUY' THEN coalesce(s.quantity, 0) ELSE 0 END AS bq,
+      CASE WHEN s.signal = 'SELL' THEN least(s.quantity, l.held) ELSE 0 END AS sl FROM lg l JOIN sg s ON s.symbol = l.symbol AND s.rn = l.rn + 1))),
+  ls AS (SELECT symbol, rn, ts, close, opened, sold AS q, e, ef, false AS open_end FROM lg WHERE sold > 0 UNION ALL
+    SELECT symbol, rn + 1, ts, close, opened, held, cost / held, fees, true FROM lg WHERE held > 0 AND rn = (SELECT max(rn) FROM sg WHERE sg.symbol = lg.symbol)),
+  ltrades AS MATERIALIZED (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS trade_no, opened AS entry_time, e AS entry_price, ts AS exit_time, close * 0.999 AS exit_price, q AS quantity,
+    (close * 0.999 - e) * q - ef - round(close * 0.999 * q * 0.001, 4) AS pnl, ((close * 0.999 - e) * q - ef - round(close * 0.999 * q * 0.001, 4)) / (e * q) AS pnl_pct, ef + round(close * 0.999 * q * 0.001, 4) AS fees, open_end FROM ls),
+  leq AS MATERIALIZED (SELECT symbol, rn, ts, round({CAP} + sum(CASE WHEN bought > 0 THEN -(bought * close * 1.001 + round(bought * close * 1.001 * 0.001, 4)) WHEN sold > 0 THEN sold * close * 0.999 - round(sold * close * 0.999 * 0.001, 4) ELSE 0 END) OVER ({OVER})
+      + CASE WHEN held <= 1e-9 THEN 0 WHEN rn = max(rn) OVER (PARTITION BY symbol) THEN held * close * 0.999 - round(held * close * 0.999 * 0.001, 4) ELSE held * close END, 8) AS equity FROM lg WHERE rn > 0
+    UNION ALL SELECT symbol, 0, min(ts), {CAP} FROM bars GROUP BY symbol)"""
+
+
+def exact(name: str) -> str:
+    """A signal query's SQL without its final rounding of quantities."""
+    return ORACLE[name].replace(", 6) + 0.0 AS quantity", ", 15) AS quantity")
+
+
+LEDGER_SIGNALS = {
+    "grid": (f"WITH RECURSIVE {bars_cte()}, x AS ({exact('grid_signals')})", lambda s, d: G.grid_signals(event_bars(s, d), K, F.lit(105.0), F.lit(240.0), 7)),
+    "dca": (f"WITH RECURSIVE {bars_cte()}, x AS ({exact('dca_signals')})", lambda s, d: G.dca_signals(event_bars(s, d), K, 6, 100.0, 2)),
+    "pla": (f"WITH RECURSIVE {bars_cte()}, x AS ({exact('pla_take_profit')})", lambda s, d: G.pla_signals(event_bars(s, d), K, 9, 21, exit_type="take_profit")),
+}
+
+
+def _register_ledger(name: str) -> None:
+    head, make = LEDGER_SIGNALS[name]
+    sig = lambda s, d: stage(make(s, d))
+
+    @query(f"trades_{name}", f"{head} {ledger_sql('x')} SELECT symbol, trade_no, entry_time, exit_time, open_end, {r(*T_COLS)} FROM ltrades")
+    def _(s, d):
+        return fin(P.round_trips(sig(s, d), K), "symbol", "trade_no", "entry_time", "exit_time", "open_end", *T_COLS)
+
+    @query(f"equity_{name}", f"{head} {ledger_sql('x')} SELECT symbol, CAST(rn AS BIGINT) AS rn, ts, {rx('equity', 'equity')} FROM leq")
+    def _(s, d):
+        return fin(P.equity_curve(sig(s, d), K, CAP))
+
+
+for _name in LEDGER_SIGNALS:
+    _register_ledger(_name)
+
+
 TS = """SELECT symbol, count(*) AS num_trades, round(100.0 * count(*) FILTER (pnl > 0) / count(*), 2) AS win_rate, round(coalesce(sum(pnl) FILTER (pnl > 0), 0) / abs(sum(pnl) FILTER (pnl < 0)), 4) AS profit_factor, round(avg(pnl), 4) AS avg_trade_pnl,
   round(max(pnl), 4) AS best_trade, round(min(pnl), 4) AS worst_trade, round(coalesce(sum(pnl) FILTER (pnl > 0), 0), 4) AS gross_profit, round(abs(coalesce(sum(pnl) FILTER (pnl < 0), 0)), 4) AS gross_loss,
   round(avg((epoch_us(exit_time) - epoch_us(entry_time)) / 3.6e9), 2) AS avg_trade_duration, round(count(*) / greatest(floor((epoch_us(max(exit_time)) - epoch_us(min(entry_time))) / 86400e6), 1), 4) AS trades_per_day FROM trades GROUP BY symbol"""
@@ -118,6 +164,15 @@ def _(s, d):
     return M.performance(equity(s, d), None, K).select("symbol", *P_COLS)
 
 
+PLA_PERF = f"{LEDGER_SIGNALS['pla'][0]} {ledger_sql('x')}, eqs AS (SELECT * FROM leq), cpd AS (SELECT symbol, greatest(1.0 / 31, 86400 / median(g)) AS cpd FROM (SELECT symbol, {secs('ts')} - lag({secs('ts')}) OVER ({OVER}) AS g FROM bars WHERE rn <= 50) GROUP BY symbol)"
+
+
+@query("performance_pla", f"{PLA_PERF}{PERF[len(EQUITY):]} SELECT symbol, {', '.join(P_COLS)} FROM perf")
+def _(s, d):
+    sig = stage(LEDGER_SIGNALS["pla"][1](s, d))
+    return M.performance(equity(s, d, sig), P.round_trips(sig, K), K).select("symbol", *P_COLS)
+
+
 def backtest(s, d):
     sig = signals(s, d)
     return M.performance(equity(s, d, sig), P.round_trips(sig, K), K)
@@ -204,7 +259,7 @@ def _diff_sql():
     names = list(M.DIRECTION)
     both = f"a AS MATERIALIZED (WITH RECURSIVE {perf_sql(10, 30)} {PERF_ROW}), b AS MATERIALIZED (WITH RECURSIVE {perf_sql(5, 20)} {PERF_ROW})"
     rows = [f"SELECT symbol, '{n}' AS metric, a.{n} AS o, b.{n} AS i, {M.DIRECTION[n]} AS dir FROM a JOIN b USING (symbol)" for n in names]
-    return f"WITH {both}, m AS ({' UNION ALL '.join(rows)}) SELECT symbol, metric, o AS original, i AS improved, round(i - o, 4) AS delta, round((i - o) / nullif(abs(o), 0) * 100, 2) AS pct_change, CASE WHEN i = o THEN NULL ELSE (i - o) * dir > 0 END AS better FROM m"
+    return f"WITH {both}, m AS ({' UNION ALL '.join(rows)}) SELECT symbol, metric, o AS original, i AS improved, round(i - o, 4) AS delta, round((i - o) / nullif(abs(o), 0) * 100, 2) AS pct_change, (i - o) * dir > 0 AS better FROM m"
 
 
 @query("metric_diff", _diff_sql())

@@ -199,12 +199,12 @@ def _(s, d):
 
 
 @query("sample_paths", f"""WITH {BOOT}, pi AS (SELECT DISTINCT round_even(i * 19.0 / 4, 0)::INTEGER + 1 AS path_id FROM (SELECT unnest(range(0, 5)) AS i)), si AS (SELECT DISTINCT round_even(i * 49.0 / 9, 0)::INTEGER + 1 AS step FROM (SELECT unnest(range(0, 10)) AS i))
-   SELECT p.symbol, p.path_id, p.step, round(p.close / f.close * 100, 4) AS pct FROM paths p JOIN pi USING (path_id) JOIN si USING (step) JOIN paths f ON f.symbol = p.symbol AND f.path_id = p.path_id AND f.step = 1""")
+   SELECT p.symbol, p.path_id, p.step, round((p.close / f.close - 1) * 100, 3) AS pct FROM paths p JOIN pi USING (path_id) JOIN si USING (step) JOIN paths f ON f.symbol = p.symbol AND f.path_id = p.path_id AND f.step = 1""")
 def _(s, d):
     return C.sample_paths(boot(s, d), K, 5, 10)
 
 
-@query("equity_fan", f"WITH {BOOT} SELECT symbol, CAST(step AS BIGINT) AS rn, round(quantile_cont(close, 0.05), 4) AS p5, round(quantile_cont(close, 0.5), 4) AS p50, round(quantile_cont(close, 0.95), 4) AS p95 FROM paths GROUP BY symbol, step")
+@query("equity_fan", f"WITH {BOOT} SELECT symbol, CAST(step AS BIGINT) AS rn, count(*) AS runs, round(quantile_cont(close, 0.05), 4) AS p5, round(quantile_cont(close, 0.5), 4) AS p50, round(quantile_cont(close, 0.95), 4) AS p95 FROM paths GROUP BY symbol, step")
 def _(s, d):
     e = boot(s, d).select("symbol", F.col("path_id").alias("run_id"), F.col("step").cast("long").alias("rn"), F.col("close").alias("equity"))
     return C.equity_fan(stage(e), K)
@@ -241,7 +241,7 @@ def _(s, d):
 
 # ------------------------------------------------------------------ trade resampling
 
-RES = TRADES + f""", nn AS (SELECT symbol, count(*) AS n, greatest(1, count(*) - round_even(count(*) * 0.1::DOUBLE, 0))::BIGINT AS keep, greatest(1.0, count(*) / greatest((epoch_us(max(exit_time)) - epoch_us(min(entry_time))) / 86400e6, 1.0) * 365.0) AS py FROM trades GROUP BY symbol HAVING count(*) >= 3),
+RES = TRADES + f""", nn AS (SELECT symbol, count(*) AS n, greatest(1, round_even(count(*) * 0.9::DOUBLE, 0))::BIGINT AS keep, greatest(1.0, count(*) / greatest((epoch_us(max(exit_time)) - epoch_us(min(entry_time))) / 86400e6, 1.0) * 365.0) AS py FROM trades GROUP BY symbol HAVING count(*) >= 3),
    x AS (SELECT t.symbol, run_id::INTEGER AS run_id, trade_no, pnl, keep, py, {u01('7drop', 't.symbol', 'run_id', 'trade_no')} AS u, {u01('7mix', 't.symbol', 'run_id', 'trade_no')} AS v FROM trades t JOIN nn USING (symbol), (SELECT unnest(range(1, 31)) AS run_id)),
    y AS (SELECT *, row_number() OVER (PARTITION BY symbol, run_id ORDER BY u, trade_no) AS pick FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY symbol, run_id ORDER BY v, trade_no) AS rn FROM y WHERE pick <= keep),
    e(symbol, run_id, rn, eq, pk, dd) AS (SELECT DISTINCT symbol, run_id, 0::BIGINT, 10000.0::DOUBLE, 10000.0::DOUBLE, 0.0::DOUBLE FROM z UNION ALL
@@ -447,9 +447,9 @@ def _(s, d):
     return W.cached_outcomes(new, log).select("new_id", F.col("hit.o_orderkey").cast("double").alias("hit_id"))
 
 
-@query("plateau", """WITH h AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS round, l_discount * 7 AS score FROM lineitem), g AS (SELECT *, score - lag(score) OVER (PARTITION BY k ORDER BY round) AS gain FROM h WHERE round <= 5),
+@query("plateau", """WITH h AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS round, l_discount * 7 AS score FROM lineitem), g AS (SELECT *, score - lag(score) OVER (PARTITION BY k ORDER BY round) AS gain FROM h),
    st AS (SELECT k, min(round) FILTER (round >= 2 AND gain < 0.02) AS p FROM g GROUP BY k)
-   SELECT g.k, CAST(first(round ORDER BY score DESC, round) AS BIGINT) AS best_round, round(max(score), 6) + 0.0 AS best_score, CAST(any_value(p) AS DOUBLE) AS plateau_round, max(round) AS rounds_run FROM g JOIN st USING (k) WHERE round <= coalesce(p, 5) GROUP BY g.k""")
+   SELECT g.k, CAST(first(round ORDER BY score DESC, round) AS BIGINT) AS best_round, round(max(score), 6) + 0.0 AS best_score, CAST(any_value(p) AS DOUBLE) AS plateau_round, max(round) AS rounds_run FROM g JOIN st USING (k) WHERE round <= coalesce(p, round) GROUP BY g.k""")
 def _(s, d):
     from pyspark.sql import Window
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")

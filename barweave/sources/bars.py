@@ -31,19 +31,26 @@ def floor_ts(ts: Column, interval: str) -> Column:
     return F.timestamp_seconds(secs).cast("timestamp_ntz")
 
 
+def number_or_null(c: Column) -> Column:
+    """A double in which not-a-number is missing."""
+    c = c.cast("double")
+    return F.when(~F.isnan(c), c)
+
+
 def make_bars(df: DataFrame, key: str, ts: str, price: Column, interval: str,
               qty: Column | None = None, tiebreak: str | None = None) -> DataFrame:
     """Ticks to OHLCV bars in one hash aggregation (partial sums run before the shuffle).
 
-    Open and close are the first and last tick by ``(ts, tiebreak)``.
+    Open and close are the first and last priced tick by ``(ts, tiebreak)``; not-a-number is missing.
     """
     ordr = F.struct(ts, tiebreak) if tiebreak else F.col(ts)
     d = df.select(F.col(key).cast("string").alias("symbol"), floor_ts(F.col(ts), interval).alias("_t"),
-                  ordr.alias("_ord"), price.cast("double").alias("_p"),
-                  (qty if qty is not None else F.lit(1.0)).cast("double").alias("_q"))
+                  ordr.alias("_ord"), number_or_null(price).alias("_p"),
+                  number_or_null(qty if qty is not None else F.lit(1.0)).alias("_q"))
+    priced = F.col("_p").isNotNull()
     return (d.groupBy("symbol", F.col("_t").alias("ts"))
-             .agg(F.min_by("_p", "_ord").alias("open"), F.max("_p").alias("high"),
-                  F.min("_p").alias("low"), F.max_by("_p", "_ord").alias("close"),
+             .agg(F.min_by("_p", F.when(priced, F.col("_ord"))).alias("open"), F.max("_p").alias("high"),
+                  F.min("_p").alias("low"), F.max_by("_p", F.when(priced, F.col("_ord"))).alias("close"),
                   F.sum("_q").alias("volume")))
 
 
@@ -66,7 +73,7 @@ def canonical_bars(df: DataFrame, mapping: dict[str, str], ts_unit: str = "ms",
         cols["ts"] = F.timestamp_seconds(cols["ts"]).cast("timestamp_ntz")
     keep = [*key, "ts", *OHLCV]
     extra = [c for c in cols if c not in keep]
-    d = df.select(*[cols[c].cast("double").alias(c) if c in OHLCV else cols[c].alias(c)
+    d = df.select(*[number_or_null(cols[c]).alias(c) if c in OHLCV else cols[c].alias(c)
                     for c in [*keep, *extra]])
     first = F.min_by(F.struct(*OHLCV), F.struct(*extra) if extra else F.struct(*OHLCV))
     return d.groupBy(*key, "ts").agg(first.alias("_b")).select(*key, "ts", "_b.*")

@@ -91,10 +91,26 @@ def test_robustness_needs_two_runs(spark):
     assert r["a"].score is None and r["a"].grade is None and 0 <= r["b"].score <= 100 and r["b"].provisional
 
 
-def test_grid_guard(spark):
+def test_grids_of_any_size(spark, walk):
     assert W.param_grid(spark, a=[1, 2], b=[3, 4, 5]).count() == 6
-    with pytest.raises(ValueError):
-        W.param_grid(spark, a=list(range(15)), b=list(range(15)))
+    grid = W.param_grid(spark, fast=list(range(2, 5)), slow=list(range(6, 73)))
+    assert grid.count() == 201
+    flags = W.ma_cross_flags(walk[1].filter("symbol = 'COLD' and rn <= 90"), K, grid)
+    assert flags.count() == 201 * 90 and flags.select("param_id").distinct().count() == 201
+    assert W.ma_cross_flags(walk[1], K, grid.limit(0)).count() == 0
+
+
+def test_distinct_positions_of_any_size(spark):
+    from barweave.functions.draws import distinct_positions
+    d = spark.createDataFrame([(1, 5, 257), (2, 257, 257), (3, 200, 300), (4, 9, 3), (5, 0, 4), (6, 3, 0)], "id long, k long, n long")
+    for r in d.withColumn("at", distinct_positions(7, F.col("k"), F.col("n"), "id")).collect():
+        assert len(set(r["at"])) == len(r["at"]) == min(r.k, r.n) and all(0 <= p < r.n for p in r["at"])
+
+
+def test_plateau_after_many_rounds(spark):
+    d = spark.createDataFrame([("a", i, float(i)) for i in range(1, 9)] + [("a", 9, 8.0)], "k string, round long, score double")
+    r = W.plateau(d, ["k"]).first()
+    assert (r.best_round, r.plateau_round, r.rounds_run) == (8, 9, 9)
 
 
 def test_walk_forward_picks_the_best_training_set(spark, walk):
