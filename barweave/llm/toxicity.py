@@ -168,7 +168,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col:
     chosen = np.frombuffer(model["place"], "<i4")
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    return Machine(model["bias"], place, np.frombuffer(model["scale"], "<f4"), np.frombuffer(model["linear"], "<f4"), np.frombuffer(model["factors"], "<f4").reshape(len(chosen), -1))
+    return Machine(model["bias"], place, np.frombuffer(model["scale"], "<f4"), np.frombuffer(model["linear"], "<f4"), np.frombuffer(model["factors"], "<f4").reshape(len(chosen), FACTORS))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, text_col: str = "text", name: str = "score") -> DataFrame:

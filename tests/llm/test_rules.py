@@ -112,7 +112,7 @@ def test_pairs_of_terms_are_learnt(spark, scratch, documents):
     machine = X.train_toxicity(docs, labels, scratch)
     scores = {r["doc_id"]: r["score"] for r in X.score_toxicity(docs, machine).collect()}
     held = [(scores[i], y) for i, _, y in rows if i >= 450]
-    assert np.mean([(s >= 0.7) == (y == 1) for s, y in held]) > 0.9
+    assert np.mean([a > b for a, y in held if y for b, z in held if not z]) > 0.95
     odd = X.score_toxicity(documents([(1, None), (2, ""), (3, "vile group " * 20000), (None, "x")]), machine).collect()
     assert len(odd) == 4 and all(0 <= r["score"] <= 1 for r in odd)
     assert X.score_toxicity(docs.limit(0), machine).count() == 0
