@@ -70,6 +70,16 @@ def grid_bounds(bars: DataFrame, key: Sequence[str]) -> DataFrame:
                     F.greatest(F.lit(3), F.least(F.lit(20), F.rint(pct / 2))).cast("int").alias("suggested_levels"))
 
 
+def ensure_grid_bounds(bars: DataFrame, asked: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The asked ``lower_bound`` and ``upper_bound``; where they are unset, inverted or off the data, padded bounds of the data."""
+    lo, hi = F.coalesce("lower_bound", F.lit(0.0)), F.coalesce("upper_bound", F.lit(0.0))
+    a = bars.groupBy(*key).agg(F.min("close").alias("_lo"), F.max("close").alias("_hi")).join(asked, list(key))
+    auto = (lo >= hi) | (lo > F.col("_hi")) | (hi < F.col("_lo"))
+    pad = (F.col("_hi") - F.col("_lo")) * 0.10
+    return a.select(*key, auto.alias("auto_set"), F.when(auto, round_nice(F.greatest(F.col("_lo") * 0.5, F.col("_lo") - pad), "floor")).otherwise(lo).alias("lower_bound"),
+                    F.when(auto, round_nice(F.col("_hi") + pad, "ceil")).otherwise(hi).alias("upper_bound"))
+
+
 # ------------------------------------------------------------------ symbols
 
 # Fiat currency codes.
@@ -223,15 +233,29 @@ def param_summary(strategy: Column | str, params: Column | str) -> Column:
             .otherwise(""))
 
 
-def cache_key(strategy: Column | str, params: Column | str, symbol: Column | str, timeframe: Column | str) -> Column:
-    """Stable key: sha-256 over JSON with sorted parameter names, first 32 hex digits.
+def json_text(value: Column) -> Column:
+    """A value as JSON: text quoted and escaped, numbers plain, lists with a blank after the comma."""
+    t = F.to_json(F.array(value))
+    t = F.substring(t, F.lit(2), F.length(t) - 2)
+    small = F.regexp_replace(F.regexp_replace(t, r"^(-?\d+)\.0E", "$1E"), r"E-(\d)$", "E-0$1")
+    wide = F.regexp_replace(t.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return (F.when(t.rlike(r"^-?\d+\.\d+E-\d+$"), F.lower(small)).when(t.rlike(r"^-?\d+\.\d+E\d+$") & (F.abs(t.cast("double")) < 1e16), wide)
+            .when(t.startswith("["), F.replace(t, F.lit(","), F.lit(", "))).otherwise(t))
 
-    ``params`` is a map of strings; the text equals compact JSON with ``", "`` and ``": "``.
-    """
-    items = F.array_sort(F.transform(F.map_entries(_c(params)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": "'), e["value"], F.lit('"'))))
-    blob = F.concat(F.lit('{"params": {'), F.array_join(items, ", "), F.lit('}, "strategy": "'), F.upper(_c(strategy)), F.lit('", "symbol": "'),
-                    F.upper(_c(symbol)), F.lit('", "timeframe": "'), _c(timeframe), F.lit('"}'))
-    return F.substring(F.sha2(blob, 256), 1, 32)
+
+def ascii_json(text: Column) -> Column:
+    """Characters beyond ASCII as ``\\uXXXX``, those beyond the base plane as two."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    over = lambda n: F.concat(unit(F.floor((n - 65536) / 1024) + 0xD800), unit((n - 65536) % 1024 + 0xDC00))
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.ascii(c) > 65535, over(F.ascii(c))).when(F.ascii(c) > 127, unit(F.ascii(c))).otherwise(c)), "")
+
+
+def cache_key(strategy: Column | str, params: dict[str, Column], symbol: Column | str, timeframe: Column | str) -> Column:
+    """Stable key: sha-256 over ASCII JSON with sorted names, first 32 hex digits; 10 and "10" differ."""
+    items = F.concat_ws(", ", *[F.concat(json_text(F.lit(k)), F.lit(": "), json_text(params[k])) for k in sorted(params)])
+    blob = F.concat(F.lit('{"params": {'), items, F.lit('}, "strategy": '), json_text(F.upper(_c(strategy))), F.lit(', "symbol": '),
+                    json_text(F.upper(_c(symbol))), F.lit(', "timeframe": '), json_text(_c(timeframe)), F.lit("}"))
+    return F.substring(F.sha2(ascii_json(blob), 256), 1, 32)
 
 
 def calendar_parts(ts: Column | str) -> dict[str, Column]:

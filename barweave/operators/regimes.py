@@ -146,8 +146,8 @@ def regime_vol_scales(labels: DataFrame, key: Sequence[str], size: int = BLOCK)
                     (F.col("_b") / F.col("_n")).alias("fraction")))
 
 
-def regime_distribution(paths: DataFrame, key: Sequence[str], floor_pct: float = -20.0) -> DataFrame:
-    """Share of paths by dominant regime, and share of paths that survived."""
+def regime_distribution(paths: DataFrame, key: Sequence[str], floor_pct: float = 0.0) -> DataFrame:
+    """Share of paths by dominant regime, and share of paths that end above ``floor_pct`` (by default: with a profit)."""
     p = paths.groupBy(*key).pivot("regime", list(REGIMES)).agg(F.count(F.lit(1)))
     s = paths.groupBy(*key).agg(F.count(F.lit(1)).alias("paths"), F.round(100.0 * F.avg((F.col("return_pct") > floor_pct).cast("double")), 2).alias("survival_pct"))
     return s.join(p, list(key)).select(*key, "paths", *[F.round(100.0 * F.coalesce(F.col(r), F.lit(0)) / F.col("paths"), 2).alias(f"{r}_pct") for r in REGIMES], "survival_pct")

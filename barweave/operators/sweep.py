@@ -98,19 +98,18 @@ BATCH_WEIGHTS = {"sharpe_ratio": 0.35, "total_return_pct": 0.25, "sortino_ratio"
 def composite_score(runs: DataFrame, valid: Column | None = None) -> DataFrame:
     """Min-max score over all valid runs; others score 0.
 
-    The ranges are one aggregated row that is joined back, so no window gathers all runs.
+    The ranges are one aggregated row carried as literals, so nothing gathers or joins all runs.
     """
     ok = (F.col("num_trades") > 0) if valid is None else valid
     val = {m: F.abs(F.col(m)) if m == "max_drawdown_pct" else F.col(m) for m in BATCH_WEIGHTS}
     rng = runs.filter(ok).agg(*[F.min(c).alias(f"_lo_{m}") for m, c in val.items()], *[F.max(c).alias(f"_hi_{m}") for m, c in val.items()])
-    d = runs.withColumn("_one", F.lit(1)).join(F.broadcast(rng.withColumn("_one", F.lit(1))), "_one").drop("_one")   # one row
+    row = rng.first()
     total = F.lit(0.0)
     for m, c in val.items():
-        width = F.col(f"_hi_{m}") - F.col(f"_lo_{m}")
-        x = (c - F.col(f"_lo_{m}")) / F.when(width > 1e-10, width).otherwise(1.0)
+        lo, hi = (F.lit(row[f"_{e}_{m}"]).cast("double") for e in ("lo", "hi"))
+        x = (c - lo) / F.when(hi - lo > 1e-10, hi - lo).otherwise(1.0)
         total = total + BATCH_WEIGHTS[m] * (1 - x if m == "max_drawdown_pct" else x)
-    return d.withColumn("composite_score", F.when(ok, F.round(total, 4)).otherwise(0.0)).drop(
-        *[f"_{e}_{m}" for e in ("lo", "hi") for m in BATCH_WEIGHTS])
+    return runs.withColumn("composite_score", F.when(ok, F.round(total, 4)).otherwise(0.0))
 
 
 def leaderboard(runs: DataFrame, k: int, by: str = "composite_score", ties: Sequence[str] = ()) -> DataFrame:
@@ -129,9 +128,8 @@ def best_per(runs: DataFrame, group: Sequence[str], by: str = "composite_score",
 def compare_runs(runs: DataFrame, jobs: DataFrame, ids: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Selected runs with their jobs; the best value of each metric is flagged."""
     d = runs.join(ids, "run_id", "left_semi").join(jobs, "run_id", "left")
-    best = d.agg(*[F.max(m).alias(f"_b_{m}") for m in metrics])
-    d = d.withColumn("_one", F.lit(1)).join(F.broadcast(best.withColumn("_one", F.lit(1))), "_one").drop("_one")   # one row
-    return d.withColumns({f"best_{m}": F.col(m) == F.col(f"_b_{m}") for m in metrics}).drop(*[f"_b_{m}" for m in metrics])
+    best = d.agg(*[F.max(m).alias(m) for m in metrics]).first()
+    return d.withColumns({f"best_{m}": F.col(m) == F.lit(best[m]) for m in metrics})
 
 
 def column_ranges(runs: DataFrame, cols: Sequence[str]) -> DataFrame:

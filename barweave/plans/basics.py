@@ -8,9 +8,10 @@ from ..functions import scalar as S
 from ..functions import text as X
 from ..operators import eda, positions, quality, usage
 from ..operators.blocks import exact_percentiles
-from ..operators.indicators import catalog
+from ..operators.indicators import catalog, clamp
 from ..sources import bars as B
 from ..sources.tables import cost_legs, event_bars, event_ticks, fills, order_bars, raw_bars, raw_fills, table
+from .oracle import Sql
 from .registry import OVER, bars_cte, daily_cte, fin, query, r, rx, secs
 
 # ------------------------------------------------------------------ sources
@@ -273,10 +274,10 @@ def _(s, d):
     return fin(b.select("symbol", F.posexplode(z).alias("pos", "z")).select("symbol", "pos", F.col("z")["linear"].alias("linear"), F.col("z")["exponential"].alias("exponential")))
 
 
-@query("cache_key", """SELECT o_orderkey, substr(sha256('{"params": {"fast": "' || (o_orderkey % 20) || '", "slow": "' || (o_custkey % 50) || '"}, "strategy": "SMA_CROSS", "symbol": "' || o_orderpriority || '", "timeframe": "1d"}'), 1, 32) AS cache_key FROM orders""")
+@query("cache_key", """SELECT o_orderkey, substr(sha256('{"params": {"fast": ' || (o_orderkey % 20) || ', "label": "caf\\u00e9 \\"' || o_orderpriority || '\\"", "ratio": ' || (o_custkey % 50) * 0.5::DOUBLE || '}, "strategy": "SMA_CROSS", "symbol": "' || upper(o_orderpriority) || '", "timeframe": "1d"}'), 1, 32) AS cache_key FROM orders""")
 def _(s, d):
     o = table(s, d, "orders")
-    p = F.expr("map('slow', cast(o_custkey % 50 as string), 'fast', cast(o_orderkey % 20 as string))")
+    p = {"ratio": F.col("o_custkey") % 50 * 0.5, "fast": F.col("o_orderkey") % 20, "label": F.concat(F.lit('café "'), "o_orderpriority", F.lit('"'))}
     return o.select("o_orderkey", S.cache_key(F.lit("sma_cross"), p, F.lower("o_orderpriority"), F.lit("1d")).alias("cache_key"))
 
 
@@ -329,6 +330,17 @@ def _(s, d):
     return S.grid_bounds(raw_bars(s, d), ["symbol"])
 
 
+# every other symbol asks for bounds that are unset, inverted or off the data
+@query("grid_auto_bounds", f"""WITH {bars_cte()}, a AS (SELECT symbol, min(close) AS lo, max(close) AS hi, CASE ascii(symbol) % 4 WHEN 0 THEN 0 WHEN 1 THEN 240 WHEN 2 THEN 105 ELSE 1e6 END AS l, CASE ascii(symbol) % 4 WHEN 0 THEN 0 WHEN 1 THEN 105 WHEN 2 THEN 240 ELSE 2e6 END AS u FROM bars GROUP BY symbol),
+   b AS (SELECT *, l >= u OR l > hi OR u < lo AS auto, {nice('greatest(lo * 0.5, lo - (hi - lo) * 0.10)', 'floor')} AS x, {nice('hi + (hi - lo) * 0.10', 'ceil')} AS y FROM a)
+   SELECT symbol, auto AS auto_set, {rx('CASE WHEN auto THEN x ELSE l END', 'lower_bound')}, {rx('CASE WHEN auto THEN y ELSE u END', 'upper_bound')} FROM b""")
+def _(s, d):
+    bars = raw_bars(s, d)
+    kind = F.ascii("symbol") % 4
+    asked = bars.select("symbol").distinct().select("symbol", F.when(kind == 0, 0.0).when(kind == 1, 240.0).when(kind == 2, 105.0).otherwise(1e6).alias("lower_bound"), F.when(kind == 0, 0.0).when(kind == 1, 105.0).when(kind == 2, 240.0).otherwise(2e6).alias("upper_bound"))
+    return fin(S.ensure_grid_bounds(bars, asked, ["symbol"]), "symbol", "auto_set", "lower_bound", "upper_bound")
+
+
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events")
 def _(s, d):
     return event_ticks(s, d).select("event_id", F.get_json_object("props", "$.k").cast("double").alias("k"))
@@ -470,6 +482,23 @@ def _(s, d):
 CORR = [(a, b) for i, a in enumerate(B.OHLCV) for b in B.OHLCV[i:]]
 
 
+def _trend_sql() -> str:
+    q = Sql()
+    macd, _ = q.indicator("macd", clamp("macd", {}))
+    mas = ", ".join(f"CASE WHEN rn >= {n} THEN avg(close) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS ma_{n}" for n in (20, 50, 200))
+    return f"""WITH RECURSIVE {bars_cte()}, {', '.join(q.ctes)}, g AS (SELECT symbol, rn, close - lag(close) OVER ({OVER}) AS dl FROM bars), a AS (SELECT *, {mas} FROM bars),
+   u AS (SELECT symbol, rn, avg(greatest(dl, 0)) OVER w AS up, avg(greatest(-dl, 0)) OVER w AS dn FROM g WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+   x AS (SELECT symbol, max(high) AS ath, min(low) AS atl FROM bars GROUP BY symbol)
+   SELECT a.symbol, round(close, 4) AS last_close, round(ma_20, 4) AS ma_20, round(ma_50, 4) AS ma_50, round(ma_200, 4) AS ma_200, round(100 - 100 / (1 + up / nullif(dn, 0)), 2) AS rsi_14,
+     round(macd, 4) AS macd, round(macd_signal, 4) AS macd_signal, round(ath, 4) AS ath, round(atl, 4) AS atl, round((close - ath) / ath * 100, 2) AS pct_from_ath
+   FROM a JOIN u USING (symbol, rn) JOIN {macd} m USING (symbol, rn) JOIN x USING (symbol) WHERE rn = n"""
+
+
+@query("eda_trend", _trend_sql())
+def _(s, d):
+    return eda.eda_trend(event_bars(s, d), ["symbol"])
+
+
 @query("eda_corr", f"WITH {daily_cte()} " + " UNION ALL ".join(f"SELECT symbol, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS corr FROM bars GROUP BY symbol" for a, b in CORR))
 def _(s, d):
     return eda.eda_corr(order_bars(s, d), ["symbol"])

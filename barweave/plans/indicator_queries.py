@@ -74,8 +74,8 @@ def _(s, d):
     have = I.compute_all(event_bars(s, d), ["symbol"], [I.use("sma"), I.use("macd")])
     cat = I.catalog(s).filter(F.col("key").isin("sma", "macd", "ema", "rsi"))
     # one row per series and missing output
-    return event_ticks(s, d).select(F.col("event_type").alias("symbol")).distinct().withColumn("_k", F.lit(1)).join(
-        I.missing_outputs(have, cat).withColumn("_k", F.lit(1)), "_k").select("symbol", "key", "output")
+    gaps = F.array(*[F.struct(F.lit(r.key).alias("key"), F.lit(r.output).alias("output")) for r in I.missing_outputs(have, cat).collect()])     # rows of the fixed catalog
+    return event_ticks(s, d).select(F.col("event_type").alias("symbol")).distinct().select("symbol", F.explode(gaps).alias("g")).select("symbol", "g.key", "g.output")
 
 
 def _block(sql_cols, src="bars"):

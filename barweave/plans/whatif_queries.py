@@ -217,18 +217,12 @@ def _(s, d):
 
 
 @query("regime_distribution", f"""WITH {PATHRUNS}, q AS (SELECT *, CASE WHEN return_pct > 10 THEN 'bull' WHEN return_pct < -10 THEN 'bear' ELSE 'sideways' END AS regime FROM pruns)
-   SELECT symbol, count(*) AS paths, {', '.join(f"round(100.0 * count(*) FILTER (regime = '{g}') / count(*), 2) AS {g}_pct" for g in R.REGIMES)}, round(100.0 * count(*) FILTER (return_pct > -20) / count(*), 2) AS survival_pct FROM q GROUP BY symbol""")
+   SELECT symbol, count(*) AS paths, {', '.join(f"round(100.0 * count(*) FILTER (regime = '{g}') / count(*), 2) AS {g}_pct" for g in R.REGIMES)}, round(100.0 * count(*) FILTER (return_pct > 0) / count(*), 2) AS survival_pct FROM q GROUP BY symbol""")
 def _(s, d):
     p = C.path_performance(boot(s, d), K).withColumn("regime", F.when(F.col("return_pct") > 10, "bull").when(F.col("return_pct") < -10, "bear").otherwise("sideways"))
     return R.regime_distribution(p, K)
 
 
-@query("compare_methods", f"""WITH {PATHRUNS}, q AS (SELECT 'bootstrap' AS method, * FROM pruns UNION ALL SELECT 'halved' AS method, symbol, path_id, return_pct / 2, max_dd_pct, sharpe FROM pruns) SELECT symbol, method, {SUMMARY} FROM q GROUP BY symbol, method""")
-def _(s, d):
-    p = stage(C.path_performance(boot(s, d), K))
-    return C.compare_methods({"bootstrap": p, "halved": p.withColumn("return_pct", F.col("return_pct") / 2)}, K)
-
-
 @query("crisis_overlay", f"""WITH {re.sub(r'\bbars\b', 'hist', boot_cte(10, 60))}, bars AS MATERIALIZED (SELECT symbol || '#' || path_id AS symbol, TIMESTAMP '1970-01-01' + to_days(step) AS ts, step::BIGINT AS rn, 60::BIGINT AS n, open, high, low, close FROM paths), {runs_cte(2)},
    x AS (SELECT b.symbol, rn, greatest(open * f, 1e-6) AS open, greatest(close * f, 1e-6) AS close FROM (SELECT b.*, {drift_sql('(rn - 1)')} AS f FROM (SELECT symbol, rn, open, close FROM bars) b JOIN runs USING (symbol) WHERE scenario = 'covid_crash' AND run_id = 1) b),
    y AS (SELECT *, close / lag(close) OVER w - 1 AS rt, close / max(close) OVER w - 1 AS dw FROM x WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
@@ -260,6 +254,13 @@ def _(s, d):
     return C.resample_trades(stage(P.round_trips(signals(s, d), K)), K, 30)
 
 
+@query("compare_methods", f"""WITH RECURSIVE {RES}, {PATHRUNS[len(bars_cte()) + 2:]}, q AS (SELECT 'bootstrap' AS method, symbol, path_id, return_pct, max_dd_pct, sharpe FROM pruns UNION ALL SELECT 'trades' AS method, symbol, run_id, return_pct, max_dd_pct, sharpe FROM mc)
+   SELECT symbol, method, {SUMMARY} FROM q GROUP BY symbol, method""")
+def _(s, d):
+    cols = ["symbol", "path_id", "return_pct", "max_dd_pct", "sharpe"]
+    return C.compare_methods({"bootstrap": stage(C.path_performance(boot(s, d), K).select(*cols)), "trades": mc(s, d).withColumnRenamed("run_id", "path_id").select(*cols)}, K)
+
+
 # The reports below work on run rows derived from the order lines, many runs per account.
 RUNS = """runs AS MATERIALIZED (SELECT 'S' || (l_suppkey % 7) AS symbol, l_orderkey AS run_id, round(avg(l_discount) * 2000 - 90 + 0.0001 * (l_orderkey % 97), 4) AS return_pct, round(-max(l_quantity) * 1.37, 4) AS max_dd_pct, round(avg(l_tax) * 61 - 2, 3) AS sharpe,
    round(100.0 * avg(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END), 3) AS win_rate, round(10000 + 100 * (avg(l_discount) * 2000 - 90), 2) AS final_equity, count(*) AS num_trades FROM lineitem GROUP BY 1, 2)"""
@@ -362,14 +363,14 @@ def _(s, d):
 @query("param_grid", "WITH k AS (SELECT DISTINCT event_type AS symbol FROM events), a AS (SELECT unnest([3, 5, 8]) AS fast), b AS (SELECT unnest([10, 20, 40, 80]) AS slow) SELECT symbol, CAST(fast AS BIGINT) AS fast, CAST(slow AS BIGINT) AS slow FROM k, a, b")
 def _(s, d):
     g = W.param_grid(s, fast=[3, 5, 8], slow=[10, 20, 40, 80])
-    one = F.lit(1).alias("_k")
-    return event_ticks(s, d).select(F.col("event_type").alias("symbol"), one).distinct().join(F.broadcast(g.select("fast", "slow", one)), "_k").select("symbol", "fast", "slow")
+    sets = F.array(*[F.struct(F.lit(r.fast).alias("fast"), F.lit(r.slow).alias("slow")) for r in g.collect()])
+    return event_ticks(s, d).select(F.col("event_type").alias("symbol")).distinct().select("symbol", F.explode(sets).alias("p")).select("symbol", F.col("p.fast").cast("long").alias("fast"), F.col("p.slow").cast("long").alias("slow"))
 
 
 @query("preset_grids", "SELECT event_type AS symbol, strategy, count(*) AS events, k AS combos FROM events, (VALUES ('GRID', 24), ('DCA', 108), ('PLA', 81)) v(strategy, k) GROUP BY 1, 2, k")
 def _(s, d):
     g = W.preset_grids(s).groupBy("strategy").agg(F.countDistinct("param_id").cast("int").alias("combos"))
-    return event_ticks(s, d).groupBy(F.col("event_type").alias("symbol")).agg(F.count(F.lit(1)).alias("events")).withColumn("_k", F.lit(1)).join(F.broadcast(g.withColumn("_k", F.lit(1))), "_k").select("symbol", "strategy", "events", "combos")
+    return event_ticks(s, d).groupBy(F.col("event_type").alias("symbol")).agg(F.count(F.lit(1)).alias("events")).select("symbol", "events", F.explode(F.array(*[F.struct(F.lit(r.strategy).alias("strategy"), F.lit(r.combos).alias("combos")) for r in g.collect()])).alias("g")).select("symbol", "g.strategy", "events", "g.combos")
 
 
 PRUNS = """pr AS MATERIALIZED (SELECT l_partkey AS run_id, 'S' || (l_partkey % 7) AS symbol, CASE l_partkey % 3 WHEN 0 THEN 'GRID' WHEN 1 THEN 'DCA' ELSE 'PLA' END AS strategy, avg(l_discount) * 60 - 2 AS sharpe_ratio, avg(l_extendedprice) / 997 - 40 AS total_return_pct, avg(l_tax) * 40 - 1 AS sortino_ratio,
@@ -433,14 +434,14 @@ def _(s, d):
     return W.outcome_summary(sweep_rows(s, d).withColumnRenamed("symbol", "category"))
 
 
-CK = "substr(sha256('{\"params\": {\"n\": \"' || (o_custkey % 400) || '\"}, \"strategy\": \"RSI\", \"symbol\": \"' || o_orderpriority || '\", \"timeframe\": \"1h\"}'), 1, 32)"
+CK = "substr(sha256('{\"params\": {\"n\": ' || (o_custkey % 400) || '}, \"strategy\": \"RSI\", \"symbol\": \"' || o_orderpriority || '\", \"timeframe\": \"1h\"}'), 1, 32)"
 
 
 @query("cached_outcomes", f"""WITH l AS (SELECT {CK} AS k, o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'), h AS (SELECT k, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS hit FROM l GROUP BY k)
    SELECT o.o_orderkey AS new_id, CAST(h.hit AS DOUBLE) AS hit_id FROM (SELECT *, {CK} AS k FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01') o LEFT JOIN h ON h.k = o.k""")
 def _(s, d):
     from ..functions.scalar import cache_key
-    o = table(s, d, "orders").withColumn("cache_key", cache_key(F.lit("rsi"), F.create_map(F.lit("n"), (F.col("o_custkey") % 400).cast("string")), "o_orderpriority", F.lit("1h")))
+    o = table(s, d, "orders").withColumn("cache_key", cache_key(F.lit("rsi"), {"n": F.col("o_custkey") % 400}, "o_orderpriority", F.lit("1h")))
     cut = F.lit("2000-01-01").cast("timestamp_ntz")
     log = o.filter(F.col("o_orderdate") < cut).select("cache_key", "o_orderkey", F.struct("o_orderdate", "o_orderkey").alias("created_at"))
     new = o.filter(F.col("o_orderdate") >= cut).select("cache_key", F.col("o_orderkey").alias("new_id"))

@@ -135,3 +135,47 @@ def test_trades_add_up_to_equity(walk):
     e = P.equity_curve(s, K, 50_000.0, size=128).groupBy("symbol").agg(F.max_by("equity", "rn").alias("last"))
     for r in t.join(e, "symbol").collect():
         assert r.last == pytest.approx(50_000 + r.pnl, abs=1e-6)
+
+
+def ledger(rows, slip, fee):
+    """Trades of one series bar by bar: average cost, capped sales, entry fees by share."""
+    held = cost = fees = 0.0
+    opened, out = None, []
+    for ts, close, signal, q in rows:
+        if signal == "BUY" and q > 0:
+            opened = ts if held == 0 else opened
+            held, cost, fees = held + q, cost + q * close * (1 + slip), fees + round(q * close * (1 + slip) * fee, 4)
+        elif signal == "SELL" and min(q, held) > 0:
+            s = min(q, held)
+            out.append((opened, cost / held, ts, s, fees * s / held, False))
+            cost, fees, held = cost * (1 - s / held), fees * (1 - s / held), held - s
+            held = held if held > 1e-10 else 0.0
+    if held:
+        out.append((opened, cost / held, rows[-1][0], held, fees, True))
+    return out
+
+
+@pytest.mark.parametrize("size", [4096, 7])
+def test_trades_of_repeated_buys_and_partial_sales(spark, size):
+    import datetime
+    import random
+    rng = random.Random(3)
+    series = {"a": [("BUY", 1, 100), ("BUY", 1, 102), ("HOLD", 0, 103), ("SELL", 2, 104), ("HOLD", 0, 90)],
+              "b": [("SELL", 5, 99), ("BUY", 2, 100), ("SELL", 1, 110), ("SELL", 9, 120), ("BUY", 10, 50)],
+              "c": [(rng.choice(["BUY", "SELL", "HOLD"]), float(rng.randrange(0, 6)), 100 + rng.random()) for _ in range(90)]}
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = {k: [(t0 + datetime.timedelta(hours=i), float(c), s, float(q)) for i, (s, q, c) in enumerate(v)] for k, v in series.items()}
+    df = stage(spark.createDataFrame([(k, i + 1, *r) for k, v in rows.items() for i, r in enumerate(v)], "symbol string, rn long, ts timestamp_ntz, close double, signal string, quantity double"))
+    got = {}
+    for r in P.round_trips(df, ["symbol"], size=size).orderBy("symbol", "trade_no").collect():
+        got.setdefault(r.symbol, []).append(r)
+    for k, v in rows.items():
+        want = ledger(v, 0.001, 0.001)
+        assert [r.trade_no for r in got[k]] == list(range(1, len(want) + 1))
+        for r, (opened, avg, ts, q, fees, end) in zip(got[k], want):
+            assert (r.entry_time, r.exit_time, r.open_end) == (opened, ts, end)
+            assert r.entry_price == pytest.approx(avg) and r.quantity == pytest.approx(q)
+            assert r.fees == pytest.approx(fees + round(r.exit_price * q * 0.001, 4), abs=2e-4)
+    e = P.equity_curve(df, ["symbol"], 1000.0, size=size).groupBy("symbol").agg(F.max_by("equity", "rn").alias("last"))
+    for r in e.collect():
+        assert r["last"] == pytest.approx(1000 + sum(t.pnl for t in got[r.symbol]), abs=0.01)

@@ -129,7 +129,17 @@ def test_symbol_helpers(spark):
     assert [r[0] for r in e.select(S.to_ticker("s")).collect()] == ["AUDCAD=X", "GBPJPY=X", "BTC-USD", "AAPL"]
 
 
-def test_cache_key_ignores_parameter_order(spark):
-    d = spark.sql("select map('a','1','b','2') m, map('b','2','a','1') w")
-    k = d.select(S.cache_key(F.lit("rsi"), "m", F.lit("btc"), F.lit("1h")), S.cache_key(F.lit("RSI"), "w", F.lit("BTC"), F.lit("1h")), S.cache_key(F.lit("RSI"), "w", F.lit("BTC"), F.lit("4h"))).first()
-    assert k[0] == k[1] != k[2] and len(k[0]) == 32
+def test_cache_key_equals_sorted_json(spark):
+    import hashlib
+    import json
+
+    def want(strategy, params, symbol, timeframe):
+        blob = json.dumps({"strategy": strategy, "params": params, "symbol": symbol, "timeframe": timeframe}, sort_keys=True)
+        return hashlib.sha256(blob.encode()).hexdigest()[:32]
+
+    values = {"n": 10, "s": "10", "q": 'a "b" \\', "e": "café 😀", "x": 0.5, "tiny": 1e-05, "big": 12345678.0, "flag": True, "list": [1, 2]}
+    lits = {k: F.array(*[F.lit(i) for i in v]) if isinstance(v, list) else F.lit(v) for k, v in values.items()}
+    k = spark.range(1).select(S.cache_key(F.lit("rsi"), lits, F.lit("btc"), F.lit("1h")), S.cache_key(F.lit("RSI"), dict(reversed(lits.items())), F.lit("BTC"), F.lit("1h")),
+                              S.cache_key(F.lit("RSI"), {"n": F.lit(10)}, F.lit("BTC"), F.lit("4h")), S.cache_key(F.lit("RSI"), {"n": F.lit("10")}, F.lit("BTC"), F.lit("4h"))).first()
+    assert k[0] == k[1] == want("RSI", values, "BTC", "1h")
+    assert k[2] == want("RSI", {"n": 10}, "BTC", "4h") != k[3]
