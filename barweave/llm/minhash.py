@@ -6,13 +6,14 @@ Empty buckets borrow registers of others for banding only.  Bands of registers g
 estimate from equal registers, corrected for the collisions expected of different minima, must not
 lie five deviations under the threshold; what passes is confirmed on the full sets.
 
-Documents with equal sets are one class from the start, so copies cost a row each.  Candidates are taken
-in an order that never needs all pairs of a group: first every member of a band bucket against the
-bucket's most connected member; then, only for buckets whose members still lie in several components,
-a spanning forest of the best estimates between components, until no candidate between two components
-is left.  Every pair that shares a band is thereby confirmed, rejected by its estimate or already
-connected, and the components equal those of all confirmed pairs.  At the threshold a pair shares no band
-with a chance of about 2e-9.  Big buckets are compared in blocks of at most ``BLOCK`` rows.
+Documents with equal sets are one class from the start, so copies cost a row each.  No step sends out
+all pairs of a group.  First every member of a band bucket is held against the bucket's most connected
+member.  Then, only for buckets whose members still lie in several components, members whose estimates
+pass are gathered into clusters, and the full sets of a cluster are compared in blocks, counting common
+shingles as matrix products; a block sends out a spanning forest of its links.  Every pair that shares a
+band is thereby confirmed, rejected by its estimate or on full sets, or already connected, so the
+components equal those of all links among them.  At the threshold a pair shares no band with a chance of
+about 2e-9.  Blocks hold at most two parts of about ``BLOCK`` rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .scratch import Scratch
 from .words import mix, order_by_row, words_of
 
 BUCKETS, MANTISSA, EMPTY = 256, 10, np.uint16(0xFFFF)
-BLOCK, FOREST_ROUNDS, MISS = 512, 3, 1e-8
+BLOCK, SLICE, MISS = 512, 4096, 1e-8
 _C = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -185,43 +186,93 @@ def _confirm(batches, width, percent):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], ["a", "b", "linked"])
 
 
-def _forest(batches, percent, everything):
-    """Sorted rows (block key, side, rep, comp, n, regs, failed) -> candidates between components: the best spanning forest, or all."""
+def _gather(batches, percent):
+    """Sorted rows (block key, side, rep, comp, n, regs, failed) -> (rep, first rep) of sets joined by estimates that pass between components."""
     import pyarrow as pa
     for table in whole_runs(batches, 3):
         starts = run_starts(table, 3)
         rep, comp, n = (table.column(c).to_numpy() for c in (4, 5, 6))
         side, regs, failed = table.column(3).to_numpy(), _regs(table.column(7)), table.column(8).to_pylist()
         i_, j_ = table.column(1).to_numpy(), table.column(2).to_numpy()
-        out = []
+        links = [np.zeros((2, 0), dtype=np.int64)]
         for lo, hi in zip(starts[:-1], starts[1:]):
-            pairs = []
             for p in range(lo, hi - 1):
                 q = np.arange(p + 1, hi)
-                q = q[(comp[q] != comp[p]) & (rep[q] != rep[p])]
-                if i_[p] != j_[p]:                     # a block of two parts: pairs across them only
-                    q = q[side[q] != side[p]]
+                q = q[(comp[q] != comp[p]) & (rep[q] != rep[p]) & ((side[q] != side[p]) | (i_[p] == j_[p]))]
                 if not len(q):
                     continue
                 j, union = estimate(regs[q], regs[p], n[q], n[p])
-                q, j = q[ok := passes(j, union, n[q], n[p], percent)], j[ok]
-                pairs += [(-s, min(rep[p], rep[x]), max(rep[p], rep[x]), comp[p], comp[x]) for s, x in zip(j.tolist(), q)
-                          if not (rep[x] in (failed[p] or ()) or rep[p] in (failed[x] or ()))]
-            root: dict = {}
-
-            def find(c):
-                while root.get(c, c) != c:
-                    root[c] = c = root.get(root[c], root[c])
-                return c
-
-            for _, a, b, ca, cb in sorted(pairs):
-                ra, rb = find(ca), find(cb)
-                if everything or ra != rb:
-                    root[ra] = rb
-                    out.append((a, b))
-        if out:
-            a, b = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                q = q[passes(j, union, n[q], n[p], percent)]
+                if failed[p]:
+                    q = q[~np.isin(rep[q], failed[p])]
+                if len(q):
+                    q = q[[not failed[x] or rep[p] not in failed[x] for x in q]]
+                links.append(np.stack([np.full(len(q), p), q]))
+        a, b = np.concatenate(links, axis=1)
+        root = roots(a, b, table.num_rows)
+        some = np.flatnonzero(root != np.arange(table.num_rows))
+        yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[root[some]])], ["a", "b"])
+
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest row reachable by links (a, b) among n rows."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def common_shingles(row: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """n x n counts of common shingles of distinct (row, hash) pairs, by products of 0/1 matrices over slices of the shared ones."""
+    _, number, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    at = place[number]
+    row, at = row[at >= 0], at[at >= 0]
+    total = np.zeros((n, n), dtype=np.float32)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for lo in range(0, len(shared), SLICE):
+        s, e = np.searchsorted(at, [lo, lo + SLICE])
+        part = np.zeros((n, SLICE), dtype=np.float32)
+        part[row[s:e], at[s:e] - lo] = 1
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
+def _compare(batches, width, percent):
+    """Sorted rows (block key, side, id, comp, text) -> a spanning forest of the links between components inside each block."""
+    import pyarrow as pa
+    for table in whole_runs(batches, 3):
+        for lo, hi in (x for s in [run_starts(table, 3)] for x in zip(s[:-1], s[1:])):
+            block = table.slice(lo, hi - lo)
+            side, ids, comp = (block.column(c).to_numpy() for c in (3, 4, 5))
+            if (comp == comp[0]).all():
+                continue
+            across = block.column(1)[0].as_py() != block.column(2)[0].as_py()
+            rows, hashes, at = [], [], 0
+            for n, row, h in shingle_sets(block.column(6), width):
+                rows.append(row + at)
+                hashes.append(h)
+                at += n
+            row, h = np.concatenate(rows), np.concatenate(hashes)
+            size = np.bincount(row, minlength=at)
+            common = common_shingles(row, h, at)
+            linked = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (common > 0) & (comp[:, None] != comp[None, :])
+            if across:
+                linked &= side[:, None] != side[None, :]
+            a, b = np.nonzero(np.triu(linked, 1))
+            root = roots(a, b, at)
+            some = np.flatnonzero(root != np.arange(at))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -279,30 +330,35 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         scratch.drop(own, ids)
         return done
 
-    tested, labels, turn = None, None, 0
-    big = members.filter("c > 2").select("band", "rep", "c")
-    while not fresh.isEmpty():
-        done = confirm(fresh)
-        tested = done if tested is None else scratch.keep(tested.unionByName(done), "all-tested")
-        links = tested.filter("linked")
-        labels = components(links, scratch) if not links.isEmpty() else None
-        turn += 1
-        rows = big.withColumn("comp", F.col("rep")) if labels is None else big.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "c", F.coalesce("component", "rep").alias("comp"))
-        rows = scratch.keep(rows, "open")
-        mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-        failed = tested.filter("not linked").groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("failed"))
-        parts = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
-        own = rows.join(mixed, "band").join(reps.select("rep", "n", "regs"), "rep").join(failed, "rep", "left").withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-        blocks = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "comp", "n", "regs", "failed")
-        everything = turn > FOREST_ROUNDS
-        found = blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(lambda b: _forest(b, percent, everything), "a long, b long")
-        fresh = scratch.keep(found.distinct(), "candidates")
+    def blocks(rows: DataFrame, group: str, item: str, count: str, *cols: str) -> DataFrame:
+        """Rows of a group dealt into blocks (i, j) of its parts, sorted by block."""
+        parts = F.ceil(F.col(count) / F.lit(BLOCK)).cast("int")
+        d = rows.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64(item), "parts").cast("int"))
+        d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        d = d.select(group, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", item, *cols)
+        return d.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+    tested, labels = confirm(fresh), None
+    links = tested.filter("linked").select("a", "b")
+    labels = components(links, scratch)
+    part_of = labels.select(F.col("node").alias("rep"), "component")
+    # buckets of two were tested whole; others only matter while they span components
+    rows = scratch.keep(members.filter("c > 2").join(part_of, "rep", "left").select("band", "rep", "c", F.coalesce("component", "rep").alias("comp")), "open")
+    mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
+    failed = tested.filter("not linked").groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("failed"))     # at most the bands of a document
+    own = rows.join(mixed, "band").join(reps.select("rep", "n", "regs"), "rep").join(failed, "rep", "left")
+    near = scratch.keep(blocks(own, "band", "rep", "c", "comp", "n", "regs", "failed").mapInArrow(lambda b: _gather(b, percent), "a long, b long").distinct(), "near")
+    if not near.isEmpty():
+        cluster = components(near, scratch)
+        size = cluster.groupBy("component").agg(F.count("*").alias("c"))
+        cluster = scratch.keep(cluster.join(size, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "c"), "clusters")
+        own = cluster.join(part_of.withColumnRenamed("rep", "id"), "id", "left").select("id", "cluster", "c", F.coalesce("component", "id").alias("comp")).join(texts, "id")
+        more = scratch.keep(blocks(own, "cluster", "id", "c", "comp", "text").mapInArrow(lambda b: _compare(b, width, percent), "a long, b long"), "more-links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more), scratch)
     named = reps.select("h1", "h2", "n", "rep")
-    if labels is not None:
-        named = named.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
-    else:
-        named = named.withColumnRenamed("rep", "component")
-    named = scratch.keep(named.select("h1", "h2", "n", "component"), "components")
+    named = named.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = scratch.keep(named.select("h1", "h2", "n", F.coalesce("component", "rep").alias("component")), "components")
     out = sketch.select("id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)

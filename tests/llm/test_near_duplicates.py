@@ -71,16 +71,23 @@ def corpus(seed=7):
     return rows
 
 
-@pytest.mark.parametrize("block,rounds", [(512, 3), (8, 0)])
-def test_near_duplicates_equal_all_pairs(spark, scratch, documents, monkeypatch, block, rounds):
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicates_equal_all_pairs(spark, scratch, documents, monkeypatch, block):
     monkeypatch.setattr(M, "BLOCK", block)
-    monkeypatch.setattr(M, "FOREST_ROUNDS", rounds)
     rows = corpus()
     got = M.near_duplicates(documents(rows), scratch, width=3, percent=85).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == plain(rows, 3, 85)
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_common_shingles(monkeypatch):
+    monkeypatch.setattr(M, "SLICE", 16)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(0, 60))).astype(np.uint64) for _ in range(12)]
+    got = M.common_shingles(np.concatenate([np.full(len(x), i) for i, x in enumerate(sets)]), np.concatenate(sets), 12)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(12) for j in range(12) if i != j)
+
+
 def test_no_documents(spark, scratch, documents):
     assert M.near_duplicates(documents([(1, "a b c")]).limit(0), scratch).count() == 0
 
