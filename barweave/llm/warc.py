@@ -203,7 +203,8 @@ def read_archives(history: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()))],
                                              ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "position", "payload"])
 
-    archives = history.select("file", "offset", "length", "position").repartition("file").sortWithinPartitions("file", "offset")
+    files = history.agg(F.countDistinct("file")).first()[0]       # index rows are small, archives are not: a task per archive
+    archives = history.select("file", "offset", "length", "position").repartition(max(files, 1), "file").sortWithinPartitions("file", "offset")
     return archives.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, position long, payload binary")
 
 
