@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .runs import run_starts, whole_runs
+from .runs import pairs_in_runs, run_starts, whole_runs
 from .scratch import Scratch
 from .words import mix
 
@@ -80,21 +80,6 @@ def keys(x: np.ndarray, k: int, tables: int) -> np.ndarray:
     return (signs.reshape(len(x), tables, k) << np.arange(k)).sum(axis=2).astype(np.int32)
 
 
-def _pairs(starts: np.ndarray):
-    """All pairs inside runs, in slices of about ``PAIRS``."""
-    size = np.diff(starts)
-    rows = np.arange(starts[0], starts[-1]) if len(size) else np.zeros(0, np.int64)
-    after = np.repeat(starts[1:], size) - rows - 1           # partners behind each row of its run
-    ends = np.cumsum(after)
-    lo = 0
-    while lo < len(rows):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-        n = after[lo:hi]
-        left = np.repeat(rows[lo:hi], n)
-        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
-        lo = hi
-
-
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable by links (a, b) among n rows."""
     root = np.arange(n)
@@ -201,7 +186,7 @@ def _compare(table, threshold: float, pa):
         bits, match, spread = encode(x)
         steps, low, step = quantise(x, cls[rows])
         codes = np.stack([key[r] for r in rows])
-        for a, b in _pairs(starts):
+        for a, b in pairs_in_runs(starts, PAIRS):
             ok = (at[a] >= 0) & (at[b] >= 0) & (name[a] == name[b]) & ((i_[a] == j_[a]) | (side[a] != side[b]))
             a, b = a[ok], b[ok]
             p, q = at[a], at[b]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .runs import run_starts, whole_runs
+from .runs import pairs_in_runs, run_starts, whole_runs
 from .scratch import Scratch
 from .words import mix, order_by_row, words_of
 
@@ -195,19 +195,18 @@ def _gather(batches, percent):
         side, regs, failed = table.column(3).to_numpy(), _regs(table.column(7)), table.column(8).to_pylist()
         i_, j_ = table.column(1).to_numpy(), table.column(2).to_numpy()
         links = [np.zeros((2, 0), dtype=np.int64)]
-        for lo, hi in zip(starts[:-1], starts[1:]):
-            for p in range(lo, hi - 1):
-                q = np.arange(p + 1, hi)
-                q = q[(comp[q] != comp[p]) & (rep[q] != rep[p]) & ((side[q] != side[p]) | (i_[p] == j_[p]))]
-                if not len(q):
-                    continue
-                j, union = estimate(regs[q], regs[p], n[q], n[p])
-                q = q[passes(j, union, n[q], n[p], percent)]
-                if failed[p]:
-                    q = q[~np.isin(rep[q], failed[p])]
-                if len(q):
-                    q = q[[not failed[x] or rep[p] not in failed[x] for x in q]]
-                links.append(np.stack([np.full(len(q), p), q]))
+        names = np.unique(rep)
+        number = np.searchsorted(names, rep)
+        known = [(x, y) for x, others in zip(number, failed) for y in np.searchsorted(names, np.intersect1d(others or [], names))]
+        known = np.unique([x * len(names) + y for x, y in known]) if known else np.zeros(0, np.int64)
+        for a, b in pairs_in_runs(starts, 1 << 13):
+            ok = (comp[a] != comp[b]) & ((side[a] != side[b]) | (i_[a] == j_[a]))
+            a, b = a[ok], b[ok]
+            if len(a):
+                j, union = estimate(regs[a], regs[b], n[a], n[b])
+                low, high = np.minimum(number[a], number[b]), np.maximum(number[a], number[b])
+                ok = passes(j, union, n[a], n[b], percent) & (low != high) & ~np.isin(low * len(names) + high, known)
+                links.append(np.stack([a[ok], b[ok]]))
         a, b = np.concatenate(links, axis=1)
         root = roots(a, b, table.num_rows)
         some = np.flatnonzero(root != np.arange(table.num_rows))

@@ -37,3 +37,18 @@ def run_starts(table, keys: int) -> np.ndarray:
             v = table.column(k).to_numpy()
             changed[1:-1] |= v[1:] != v[:-1]
     return np.flatnonzero(changed)
+
+
+def pairs_in_runs(starts: np.ndarray, most: int):
+    """All pairs inside runs, in slices of about ``most``."""
+    size = np.diff(starts)
+    rows = np.arange(starts[0], starts[-1]) if len(size) else np.zeros(0, np.int64)
+    after = np.repeat(starts[1:], size) - rows - 1           # partners behind each row of its run
+    ends = np.cumsum(after)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        n = after[lo:hi]
+        left = np.repeat(rows[lo:hi], n)
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        lo = hi
