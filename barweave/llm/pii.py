@@ -39,10 +39,11 @@ LATIN = ["ba", "be", "bor", "da", "del", "fa", "gar", "ha", "kel", "la", "len",
 CYRILLIC = ["ба", "бе", "бор", "ва", "гор", "да", "зал", "ка", "лу", "мар", "ни", "ро", "са", "то", "ур", "хо"]
 
 _NAMES = [n for names in GIVEN.values() for n in names]
+_PREFIXED = r"(?i:AKIA|ASIA)[A-Za-z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}"     # secrets that need no digit or mark
 _SURNAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<![A-Za-z0-9])(?=[aAgGpPsStT])(?:(?i:(?:api[_-]?key|secret|token|password|passwd|pwd)\b\s*[=:]\s*[\"']?)[A-Za-z0-9+/_-]{8,}|(?i:AKIA|ASIA)[A-Za-z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})",
+    "secret": r"(?<![A-Za-z0-9])(?=[aAgGpPsStT])(?:(?i:(?:api[_-]?key|secret|token|password|passwd|pwd)\b\s*[=:]\s*[\"']?)[A-Za-z0-9+/_-]{8,}|" + _PREFIXED + ")",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
@@ -52,15 +53,16 @@ PATTERNS = {
 }
 # most places cannot begin a match: one guard before all patterns
 PATTERN = r"(?:(?<![A-Za-z0-9])|(?=[0-9+(]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+_BARE_SECRET = rf"(?<![A-Za-z0-9])(?=[aAgs])(?:{_PREFIXED})"
 _SECRET_HEAD = r"^((?i:api[_-]?key|secret|token|password|passwd|pwd)\s*[=:]\s*[\"']?|(?i:AKIA|ASIA)|gh[pousr]_|sk-)"
 
 
 def has_entity(text: Column) -> Column:
-    """A match in the text; texts without digits and marks are only searched for names."""
+    """A match in the text; texts without digits and marks are only searched for names and prefixed secrets."""
     marked = None
     for c in "0123456789@=:":
         marked = text.contains(c) if marked is None else marked | text.contains(c)
-    return F.coalesce(F.when(marked, text.rlike(PATTERN)).otherwise(text.rlike(PATTERNS["name"])), F.lit(False))
+    return F.coalesce(F.when(marked, text.rlike(PATTERN)).otherwise(text.rlike(_BARE_SECRET) | text.rlike(PATTERNS["name"])), F.lit(False))
 
 
 def _kind(raw: Column) -> Column:
