@@ -3,8 +3,8 @@
 Byte-pair merges never cross the pre-tokenizer's boundaries, and a boundary lies before every
 blank that follows a non-blank.  So a text is cut there, each distinct piece is encoded once by
 the library, and texts are assembled from the pieces' ids.  Texts where a blank precedes the cut
-character, and tokenizers of another build, are encoded whole.  Equality with whole-text encoding
-is tested in ``tests/llm/test_tokens.py``.
+character, texts that hold an added token (``<|endoftext|>``), and tokenizers of another build, are
+encoded whole.  Equality with the library's whole-text encoding is tested in ``tests/llm/test_tokens.py``.
 """
 
 from __future__ import annotations
@@ -57,11 +57,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.style = _style(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self._reset()
 
     def _reset(self) -> None:
@@ -138,7 +138,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.style or self.style == "prefixed" and ("\r" in text or text[0] == " " or text[-1] == " " or _BLANK_BEFORE_CUT.search(text)):
+            if not self.style or any(t in text for t in self.added) or self.style == "prefixed" and ("\r" in text or text[0] == " " or text[-1] == " " or _BLANK_BEFORE_CUT.search(text)):
                 odd[i] = self._whole([text])[0]
                 continue
             parts = self._cut(text)
@@ -167,6 +167,8 @@ class Encoder:
 
 def _style(spec: dict) -> str:
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    if norm and any(t.get("normalized") for t in spec.get("added_tokens") or []):
+        return ""                                     # such a token may appear in the normal form alone
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
         return "prefixed"
     steps = pre.get("pretokenizers") or []

@@ -88,3 +88,14 @@ def test_packer_emits_fullest_and_joins_leftovers():
     assert sizes[0] == 9                              # 5 fits neither 1 nor 4 free places: the fullest went out with one place free
     full, part = join_pieces([(1, 0, 7, 7, np.arange(7)), (2, 0, 7, 7, np.arange(7))], 10)
     assert [x[:3] for x in full[0]] == [(1, 0, 7), (2, 0, 3)] and [x[:3] for x in part] == [(2, 3, 4)]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_added_tokens_equal_the_library(path):
+    """Compared with a tokenizer of its own, as the library reads the file."""
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(path)
+    texts = ["one <|endoftext|> two", "<|startoftext|>a b", "a\n<|endoftext|>", "plain words, here", "<|ENDOFTEXT|> x", "<|endoftext| >", "<|endoftext|><|endoftext|>"] + ODD
+    got = [x.tolist() for _, _, ids, n in encode_rows(path, texts, None) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert fresh.token_to_id("<|endoftext|>") in got[0]
