@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from ..session import stage
 
 BLOCK = 4096
+STRETCH = 64          # blocks that one task of chained_fold refolds in a row, at most
 BLK, CORE = "_blk", "_core"
 
 
@@ -193,7 +194,7 @@ Fold = Callable[["object", list], tuple["object", list]]
 
 def chained_fold(df: DataFrame, key: Sequence[str], fold: Fold, start: list[float],
                  out_schema: T.StructType, cols: Sequence[str], halo: int = 512,
-                 size: int = BLOCK, rn: str = "rn", settle: int = 1000) -> DataFrame:
+                 size: int = BLOCK, rn: str = "rn") -> DataFrame:
     """Path-dependent fold over a key, run block by block with exact borders.
 
     ``fold(pdf, state) -> (pdf_out, state)`` consumes ordered rows (columns ``cols``) and a
@@ -202,6 +203,10 @@ def chained_fold(df: DataFrame, key: Sequence[str], fold: Fold, start: list[floa
     state its predecessor ends with.  Unsettled blocks are folded again from the true border
     state until none is left, so the result equals one sequential pass.  Folds forget their
     past quickly (a flipped trend, a closed position), hence one round nearly always suffices.
+    A state carried on and on is followed through stretches of 1, 2, 4 ... ``STRETCH`` blocks a
+    round; from then on only the first stretch of a run of unsettled ones is folded, the others
+    wait for its end state.  Every round settles at least the stretch with a key's first wrong
+    border, so the loop ends for any input.
     ``df`` is read more than once: pass a scan or a staged table.
     """
     key = list(key)
@@ -228,13 +233,19 @@ def chained_fold(df: DataFrame, key: Sequence[str], fold: Fold, start: list[floa
         return pd.DataFrame({**{k: [body[k].iloc[0]] for k in key}, BLK: [body[BLK].iloc[0]],
                              "s_in": [s_in], "s_out": [s_out]})
 
-    def rerun(pdf):
+    def rerun(_, pdf, edges):
+        """Fold a stretch from its first wrong border; a block whose border turns out right is kept."""
         import pandas as pd
-        pdf = pdf.sort_values(rn)
-        s_in = [float(v) for v in pdf["s_in"].iloc[0]]
-        s_out = [float(v) for v in fold(pdf, list(s_in))[1]]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, BLK: [pdf[BLK].iloc[0]],
-                             "s_in": [s_in], "s_out": [s_out]})
+        parts = dict(tuple(pdf.groupby(BLK)))
+        rows, state = [], None
+        for e in edges.sort_values(BLK).to_dict("records"):
+            s_in, s_out = ([float(v) for v in e[c]] for c in ("s_in", "s_out"))
+            true = state or [float(v) for v in e["s_true"]]
+            if not rows or any(x != y and (x == x or y == y) for x, y in zip(true, s_in)):
+                s_in, s_out = true, [float(v) for v in fold(parts[e[BLK]].sort_values(rn), list(true))[1]]
+            rows.append({**{k: e[k] for k in key}, BLK: e[BLK], "s_in": s_in, "s_out": s_out})
+            state = s_out
+        return pd.DataFrame(rows, columns=[f.name for f in border.fields])
 
     def final(pdf):
         pdf = pdf.sort_values(rn)
@@ -246,19 +257,26 @@ def chained_fold(df: DataFrame, key: Sequence[str], fold: Fold, start: list[floa
     borders = stage(open_blocks(src, halo, size, rn).groupBy(*key, BLK)
                     .applyInPandas(probe, border))
     blocks = src.withColumn(BLK, block_of(F.col(rn), size))
-    for _ in range(settle):
+    length, cell, own = 1, "_cell", [*key, "_cell"]
+    while True:
         prev = borders.select(*key, (F.col(BLK) + 1).alias(BLK), F.col("s_out").alias("s_true"))
-        joined = borders.join(prev, [*key, BLK], "left")
+        joined = borders.join(prev, [*key, BLK], "left").withColumn(cell, F.floor(F.col(BLK) / length))
         same = F.col("s_true").isNull() | (F.col("s_true") == F.col("s_in"))
-        wrong = joined.filter(~same)
+        wrong = stage(joined.filter(~same).groupBy(*own).agg(F.min(BLK).alias("_from")))
         if wrong.isEmpty():
             break
-        again = (blocks.join(wrong.select(*key, BLK, F.col("s_true").alias("s_in")), [*key, BLK])
-                 .groupBy(*key, BLK).applyInPandas(rerun, border))
-        kept = joined.filter(same).select(*key, BLK, "s_in", "s_out")
+        if length == STRETCH:
+            behind = wrong.select(*key, (F.col(cell) + 1).alias(cell))
+            wrong = wrong.join(behind, own, "left_anti")
+        todo = joined.join(wrong, own, "left")
+        first = F.col("_from")
+        rows = (blocks.withColumn(cell, F.floor(F.col(BLK) / length)).join(wrong, own)
+                .filter(F.col(BLK) >= first).drop("_from"))
+        edges = todo.filter(F.col(BLK) >= first).select(*own, BLK, "s_in", "s_out", "s_true")
+        again = rows.groupBy(*own).cogroup(edges.groupBy(*own)).applyInPandas(rerun, border)
+        kept = todo.filter(first.isNull() | (F.col(BLK) < first)).select(*key, BLK, "s_in", "s_out")
         borders = stage(kept.unionByName(again))
-    else:
-        raise RuntimeError("block borders did not settle; raise `settle` or `halo`")
+        length = min(2 * length, STRETCH)
     res = (blocks.join(borders.select(*key, BLK, "s_in"), [*key, BLK])
            .groupBy(*key, BLK).applyInPandas(final, emit))
     return df.join(res, [*key, rn])

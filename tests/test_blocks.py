@@ -88,6 +88,19 @@ def test_chained_fold_repairs_wrong_borders(spark, walk):
     assert len(m) == len(pdf) and (m["y_x"] == m["y_y"]).all()
 
 
+def test_chained_fold_through_more_than_a_thousand_blocks(walk):
+    """A state carried from the first to the last of 1050 blocks, where every provisional border is wrong."""
+    pdf, df = walk
+    pdf, df = pdf[pdf["rn"] <= 2100], df.filter("rn <= 2100")
+
+    def fold(p, s):
+        out = s[0] + np.cumsum(p["volume"].to_numpy())
+        return pd.DataFrame({"y": out}), [float(out[-1]) if len(out) else s[0]]
+    got = chained_fold(df, K, fold, [0.0], T.StructType([T.StructField("y", T.DoubleType())]), ["volume"], halo=2, size=2).toPandas()
+    m = got.merge(pdf.assign(y=pdf.groupby("symbol")["volume"].cumsum()), on=["symbol", "rn"])
+    assert len(m) == len(pdf) and (m["y_x"] == m["y_y"]).all()
+
+
 @pytest.mark.parametrize("size", [3, 50])
 def test_running_affine_with_restarts(spark, walk, size):
     pdf, df = walk
