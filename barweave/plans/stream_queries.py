@@ -28,16 +28,23 @@ def source(s, d, name):
     return s.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def replay(s, df, parts: int = 3, order: str = "ts"):
-    """A table written as a few files, one after the other in the given order, read as a stream."""
+def replay(s, df, parts: int = 3, order: str = "ts", key: str | None = None, rows_per_file: int = 100_000):
+    """A table written in parts, one after the other in the given order, and read as a stream of a part per micro-batch.
+
+    With ``key``, a last part closes every key by a row far ahead, so that rows waiting in state leave.
+    """
     p = scratch(s)
     num = F.col(order) if order != "ts" else F.unix_micros(F.col("ts").cast("timestamp"))
     d = df.withColumn("_o", num.cast("double"))
     cuts = d.approxQuantile("_o", [i / parts for i in range(1, parts)], 0.01)
     bounds = [float("-inf"), *cuts, float("inf")]
+    files = max(1, df.count() // parts // rows_per_file)      # each file of a part gets rows, dealt in turn
     for lo, hi in zip(bounds, bounds[1:]):
-        d.filter((F.col("_o") > lo) & (F.col("_o") <= hi)).drop("_o").coalesce(1).write.mode("append").parquet(p)
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(p)
+        d.filter((F.col("_o") > lo) & (F.col("_o") <= hi)).drop("_o").repartition(files).write.mode("append").parquet(p)
+    if key:
+        end = {key: F.col(key), order: F.lit("2262-01-01" if order == "ts" else 2**61)}
+        df.select(key).distinct().select(*[end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]).write.mode("append").parquet(p)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(p)
 
 
 def run(s, df, mode="append"):
@@ -85,13 +92,13 @@ def _(s, d):
 @query("stream_latch", f"WITH RECURSIVE {SMA_SIGNALS} SELECT symbol, ts, signal FROM signals")
 def _(s, d):
     f = stage(preset_flags(event_bars(s, d), K, "SMA_CROSS").select("symbol", "ts", "entry", "exit"))
-    return ntz(run(s, S.stream_latch(replay(s, f))), "ts")
+    return ntz(run(s, S.stream_latch(replay(s, f, key="symbol"))).drop("rejects"), "ts")
 
 
 @query("stream_ledger", LEDGER + f"SELECT account, rn AS seq, {rx('held', 'held', 4)}, {rx('sold', 'sold', 4)}, {rx('pnl', 'realised_pnl', 3)} FROM st WHERE rn > 0")
 def _(s, d):
     f = stage(fills(s, d).select("account", F.col("rn").alias("seq"), "ts", "side", "price", "qty"))
-    out = run(s, S.stream_ledger(replay(s, f, order="seq").drop("ts"), 0.001))
+    out = run(s, S.stream_ledger(replay(s, f, order="seq", key="account").drop("ts"), 0.001))
     return out.select("account", "seq", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("held", 4), ("sold", 4), ("realised_pnl", 3))])
 
 
@@ -99,11 +106,11 @@ def _(s, d):
 def _(s, d):
     b = raw_bars(s, d).select("symbol", "ts", F.lit("binance").alias("source"), "close")
     p = scratch(s)
-    b.coalesce(1).write.parquet(f"{p}/in/a")
+    b.write.parquet(f"{p}/in/a")
     fix = b.filter("day(ts) = 5").withColumn("close", F.col("close") * 2)
     src = lambda x: s.readStream.schema(b.schema).parquet(f"{p}/in/{x}")
     S.stream_upsert(src("a"), f"{p}/table", f"{p}/cp-a").awaitTermination()
-    fix.coalesce(1).write.parquet(f"{p}/in/b")
+    fix.write.parquet(f"{p}/in/b")
     S.stream_upsert(src("b"), f"{p}/table", f"{p}/cp-b").awaitTermination()
     return S.current(s, f"{p}/table", b.schema)
 

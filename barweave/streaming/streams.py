@@ -54,52 +54,82 @@ def stream_run_stats(src: DataFrame, key: Sequence[str], value: str = "return_pc
                                  F.avg(value).alias("mean"), F.min(value).alias("worst"), F.max(value).alias("best"))
 
 
-LATCH_OUT = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("signal", T.StringType())])
-LATCH_STATE = T.StructType([T.StructField("inside", T.IntegerType()), T.StructField("last_us", T.LongType())])
+def _released(pdfs: Iterator[pd.DataFrame], at: str, held: list, seen: int, delay: int, cols: Sequence[str]) -> tuple[list, list, list, int]:
+    """(rows to apply in order, late rows, rows still held, largest position seen) of one key.
+
+    Rows are tuples led by their position.  The key's own watermark is its largest position less
+    ``delay``: rows up to it leave, later ones wait, and new rows up to the watermark of the
+    batches before are late, as rows after them may have been applied.
+    """
+    pdf = pd.concat(list(pdfs), ignore_index=True)
+    position = pdf[at].astype("datetime64[us]").astype("int64") if at == "ts" else pdf[at].astype("int64")
+    fresh = [tuple(r) for r in zip(position.tolist(), *[pdf[c].tolist() for c in cols])]
+    late = sorted((r for r in fresh if r[0] <= seen - delay), key=lambda r: r[0])
+    known = sorted([*held, *(r for r in fresh if r[0] > seen - delay)], key=lambda r: r[0])
+    seen = max([seen, *(r[0] for r in fresh)])
+    return [r for r in known if r[0] <= seen - delay], late, [r for r in known if r[0] > seen - delay], seen
+
+
+def _columns(rows: list, width: int) -> list[list]:
+    return [list(c) for c in zip(*rows)] or [[] for _ in range(width)]
 
 
-def _ordered(pdfs: Iterator[pd.DataFrame], last_us: int, cols: list[str]) -> pd.DataFrame:
-    """Rows of one key in one micro-batch in time order; rows not after the last one are stale."""
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(cols)
-    us = pdf["ts"].astype("datetime64[us]").astype("int64")
-    return pdf[us > last_us]
+LATCH_OUT = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("signal", T.StringType()),
+                          T.StructField("rejects", T.LongType())])
+LATCH_STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("inside", "seen", "rejects")] + [T.StructField("at", T.ArrayType(T.LongType()))]
+                           + [T.StructField(n, T.ArrayType(T.BooleanType())) for n in ("entry", "exit")])
 
 
-def _latch_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    inside, last = state.get if state.exists else (0, -2**62)
-    pdf = _ordered(pdfs, last, ["ts"])
-    out = []
-    for e, x in zip(pdf["entry"], pdf["exit"]):
-        if not inside and e:
-            inside, sig = 1, "BUY"
-        elif inside and x:
-            inside, sig = 0, "SELL"
-        else:
-            sig = "HOLD"
-        out.append(sig)
-    if len(pdf):
-        last = int(pdf["ts"].astype("datetime64[us]").astype("int64").max())
-    state.update((int(inside), last))
-    yield pd.DataFrame({"symbol": [key[0]] * len(pdf), "ts": pdf["ts"].to_numpy(), "signal": out})
+def _latch_step(delay: int):
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        inside, seen, rejects, *held = state.get if state.exists else (0, -2**62, 0, [], [], [])
+        due, late, wait, seen = _released(pdfs, "ts", list(zip(*held)), seen, delay, ["entry", "exit"])
+        out = []
+        for us, e, x in due:
+            if not inside and e:
+                inside, sig = 1, "BUY"
+            elif inside and x:
+                inside, sig = 0, "SELL"
+            else:
+                sig = "HOLD"
+            out.append((key[0], us, sig, None))
+        for us, *_ in late:
+            rejects += 1
+            out.append((key[0], us, None, rejects))
+        at, entry, leave = _columns(wait, 3)
+        state.update((int(inside), seen, rejects, at, [bool(v) for v in entry], [bool(v) for v in leave]))
+        pdf = pd.DataFrame(out, columns=LATCH_OUT.names)
+        pdf["ts"] = pd.to_datetime(pdf["ts"].astype("int64"), unit="us")
+        pdf["rejects"] = pdf["rejects"].astype("Int64")
+        yield pdf
+    return step
 
 
-def stream_latch(src: DataFrame) -> DataFrame:
-    """Live long-only latch per symbol over ``symbol, ts, entry, exit`` rows (in time order)."""
-    return event_time(src).groupBy("symbol").applyInPandasWithState(_latch_step, LATCH_OUT, LATCH_STATE, "append", GroupStateTimeout.NoTimeout)
+def stream_latch(src: DataFrame, delay_seconds: int = 3600) -> DataFrame:
+    """Live long-only latch per symbol over ``symbol, ts, entry, exit`` rows.
+
+    Rows wait in state until the symbol's latest time is ``delay_seconds`` ahead, then they are
+    applied in order, whichever micro-batch brought them.  A row later than that cannot be applied
+    any more: it comes out with a null ``signal`` and the symbol's count of such rows in ``rejects``
+    (null in applied rows).
+    """
+    return event_time(src).groupBy("symbol").applyInPandasWithState(_latch_step(delay_seconds * 1_000_000), LATCH_OUT, LATCH_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 LEDGER_OUT = T.StructType([T.StructField("account", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("held", T.DoubleType()),
-                           T.StructField("sold", T.DoubleType()), T.StructField("realised_pnl", T.DoubleType()), T.StructField("cash", T.DoubleType())])
-LEDGER_STATE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("qty", "cost", "fees", "cash")] + [T.StructField("seq", T.LongType())])
+                           T.StructField("sold", T.DoubleType()), T.StructField("realised_pnl", T.DoubleType()), T.StructField("cash", T.DoubleType()),
+                           T.StructField("rejects", T.LongType())])
+LEDGER_STATE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("qty", "cost", "fees", "cash")] + [T.StructField(n, T.LongType()) for n in ("seen", "rejects")]
+                            + [T.StructField("at", T.ArrayType(T.LongType())), T.StructField("sides", T.ArrayType(T.StringType()))]
+                            + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("prices", "qtys")])
 
 
-def _ledger_step(fee: float):
+def _ledger_step(fee: float, delay: int):
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        qty, cost, fees, cash, last = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, -2**62)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
-        pdf = pdf[pdf["seq"] > last]
+        qty, cost, fees, cash, seen, rejects, *held = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, -2**62, 0, [], [], [], [])
+        due, late, wait, seen = _released(pdfs, "seq", list(zip(*held)), seen, delay, ["side", "price", "qty"])
         rows = []
-        for seq, side, px, q in zip(pdf["seq"], pdf["side"], pdf["price"], pdf["qty"]):
+        for seq, side, px, q in due:
             sold, pnl = 0.0, None
             if side == "BUY":
                 qty, cost, fees, cash = qty + q, cost + px * q, fees + px * q * fee, cash - px * q * (1 + fee)
@@ -112,19 +142,26 @@ def _ledger_step(fee: float):
                 qty, cost, fees = qty - sold, cost * (1 - share), fees * (1 - share)
                 if qty <= 1e-10:
                     qty, cost, fees = 0.0, 0.0, 0.0
-            rows.append((key[0], int(seq), qty, sold, pnl, cash))
-            last = int(seq)
-        state.update((float(qty), float(cost), float(fees), float(cash), last))
-        yield pd.DataFrame(rows, columns=[f.name for f in LEDGER_OUT.fields])
+            rows.append((key[0], seq, qty, sold, pnl, cash, None))
+        for seq, *_ in late:
+            rejects += 1
+            rows.append((key[0], seq, None, None, None, None, rejects))
+        at, sides, prices, qtys = _columns(wait, 4)
+        state.update((float(qty), float(cost), float(fees), float(cash), seen, rejects, at, sides, [float(v) for v in prices], [float(v) for v in qtys]))
+        pdf = pd.DataFrame(rows, columns=LEDGER_OUT.names)
+        pdf["rejects"] = pdf["rejects"].astype("Int64")
+        yield pdf
     return step
 
 
-def stream_ledger(src: DataFrame, fee: float = 0.0) -> DataFrame:
+def stream_ledger(src: DataFrame, fee: float = 0.0, delay: int = 1000) -> DataFrame:
     """Live weighted-average-cost ledger per account over ``account, seq, side, price, qty``.
 
-    State is one small row per account; rows at or before the last applied ``seq`` are stale.
+    Rows wait in state until the account's largest ``seq`` is ``delay`` ahead, then they are applied
+    in order.  A row later than that comes out with null amounts and the account's count of such
+    rows in ``rejects`` (null in applied rows).
     """
-    return src.groupBy("account").applyInPandasWithState(_ledger_step(fee), LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
+    return src.groupBy("account").applyInPandasWithState(_ledger_step(fee, delay), LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_upsert(src: DataFrame, path: str, checkpoint: str, nk: Sequence[str] = ("symbol", "ts", "source"), bucket: str = "ts"):
