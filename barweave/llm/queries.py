@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .warc import op1_warc
+from .centroids import OP13_SQL, op13_centroids
 from .embeddings import OP3_SQL, op3_embeddings
+from .fill_in_middle import OP11_SQL, op11_fill_in_middle
+from .licenses import OP12_SQL, op12_licenses
 from .minhash import OP5_SQL, op5_minhash
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op8_packing
@@ -24,5 +27,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_surrogates": op9_surrogates,
     "op10_resample": op10_resample,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_licenses": op12_licenses,
+    "op13_centroids": op13_centroids,
 }
-ORACLE = {"op3_embeddings": OP3_SQL, "op5_minhash": OP5_SQL, "op4_mixing": OP4_SQL, "op6_repetition": OP6_SQL}
+ORACLE = {"op3_embeddings": OP3_SQL, "op5_minhash": OP5_SQL, "op4_mixing": OP4_SQL, "op6_repetition": OP6_SQL,
+          "op11_fill_in_middle": OP11_SQL, "op12_licenses": OP12_SQL, "op13_centroids": OP13_SQL}
