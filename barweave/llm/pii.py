@@ -13,9 +13,12 @@ type, so it is replaced alike in all texts and all spellings:
 
 Surrogates are drawn from sha2 of key, type, entity and attempt.  A surrogate that two entities share, or
 that is itself an entity of the corpus, is drawn again for all but the first, until there is none: so
-distinct entities stay distinct.  Given names cannot collide, being permuted.
+distinct entities stay distinct.  From the ``LONGER``-th attempt on a surrogate grows by one keyed character
+an attempt, so the drawing ends where a short or digit-poor value leaves too few others.  Given names
+cannot collide, being permuted.  A number written with its country code and the same one without it are
+two entities: which code the short form has is not known.
 
-Texts without a match pass through.  Occurrences travel as (text key, place, spelling), distinct per text,
+Texts are searched once; the matches and the pieces between them are kept with the rows.  Occurrences travel as (text key, place, spelling), distinct per text,
 so copies of a text cost one; joins are by spelling and by text key, hot ones being ordinary skewed joins.
 """
 
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, without
 
 KEY = "surrogate-key"
+LONGER = 4
 # Common given names by gender and script; any list will do.
 GIVEN = {
     ("f", "latin"): ["Alice", "Anna", "Barbara", "Carmen", "Charlotte", "Claire", "Elena", "Elizabeth", "Emma", "Ingrid", "Isabel", "Jennifer", "Julia", "Laura", "Linda", "Lucie", "Maria", "Marie", "Mary", "Nora", "Patricia", "Sarah", "Sofia", "Susan"],
@@ -42,8 +46,8 @@ _NAMES = [n for names in GIVEN.values() for n in names]
 _PREFIXED = r"(?i:AKIA|ASIA)[A-Za-z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}"     # secrets that need no digit or mark
 _SURNAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<![A-Za-z0-9])(?=[aAgGpPsStT])(?:(?i:(?:api[_-]?key|secret|token|password|passwd|pwd)\b\s*[=:]\s*[\"']?)[A-Za-z0-9+/_-]{8,}|" + _PREFIXED + ")",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",      # possessive: a plain group repeats by recursion
+    "secret": r"(?<![A-Za-z0-9])(?=[aAgGpPsStT])(?:(?i:(?:api[_-]?key|secret|token|password|passwd|pwd)\b\s*[=:]\s*[\"']?)(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{8,}|" + _PREFIXED + ")",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
@@ -85,35 +89,38 @@ def _parts(raw: Column, kind: Column) -> Column:
             .when(kind == "ip", one(kind, raw, raw)).when(kind == "iban", one(kind, F.replace(raw, F.lit(" ")), raw)).otherwise(one(kind, digits, raw)))
 
 
-def _noise(kind: Column, canon: Column, attempt: Column, stream: Column | int = 0) -> Column:
+def _seed(kind: Column, canon: Column, attempt: Column) -> Column:
+    """64 hexadecimal digits from key, type, entity and attempt; all draws of a surrogate come from it."""
+    return F.sha2(F.concat_ws("|", F.lit(KEY), kind, canon, attempt.cast("string")), 256)
+
+
+def _noise(seed: Column, stream: Column | int = 0) -> Column:
     stream = stream if isinstance(stream, Column) else F.lit(stream)
-    return F.sha2(F.concat_ws("|", F.lit(KEY), kind, canon, attempt.cast("string"), stream.cast("string")), 256)
+    return F.sha2(F.concat_ws("|", seed, stream.cast("string")), 256)
 
 
-def _letters(value: Column, kind: Column, canon: Column, attempt: Column) -> Column:
+def _letters(value: Column, seed: Column) -> Column:
     """Every digit and letter replaced within its class (hexadecimal values stay hexadecimal); other characters stay."""
     alphabet = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-    hexed = value.rlike("^[0-9a-fA-F]+$")
-
-    def one(c: Column, i: Column) -> Column:
-        pick = F.conv(F.substring(_noise(kind, canon, attempt, F.floor(i / 8)), F.lit(1).cast("int") + (i % 8).cast("int") * 8, F.lit(8)), 16, 10).cast("long")
+    def one(c: Column, i: Column, known: Column) -> Column:
+        pick = F.conv(F.substring(_noise(known["seed"], F.floor(i / 8)), F.lit(1).cast("int") + (i % 8).cast("int") * 8, F.lit(8)), 16, 10).cast("long")
         out = None
         for cls, chars in alphabet.items():
-            n = F.when(hexed & F.lit(cls != "[0-9]"), 6).otherwise(len(chars))
+            n = F.when(known["hexed"] & F.lit(cls != "[0-9]"), 6).otherwise(len(chars))
             new = F.substring(F.lit(chars), (pick % n + 1).cast("int"), F.lit(1))
             out = F.when(c.rlike(cls), new) if out is None else out.when(c.rlike(cls), new)
         return out.otherwise(c)
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+    # what holds for the whole value is found once, as the element of an outer array, not once a character
+    known = F.struct(seed.alias("seed"), value.rlike("^[0-9a-fA-F]+$").alias("hexed"))
+    walked = F.transform(F.array(known), lambda k: F.array_join(F.transform(F.split(value, ""), lambda c, i: one(c, i, k)), ""))
+    return F.element_at(walked, 1)
 
 
-def _digits(kind: Column, canon: Column, attempt: Column) -> Column:
-    return F.translate(F.concat(_noise(kind, canon, attempt), _noise(kind, canon, attempt, 1)), "abcdef", "283746")
-
-
-def _surrogate(kind: Column, canon: Column, attempt: Column) -> Column:
-    """The keyed surrogate of a canonical entity."""
-    d = _digits(kind, canon, attempt)
+def _surrogate(kind: Column, canon: Column, attempt: Column, seed: Column) -> Column:
+    """The keyed surrogate of a canonical entity; ``seed`` is its ``_seed``."""
+    d = F.translate(F.concat(_noise(seed), _noise(seed, 1)), "abcdef", "283746")
+    more = F.substring(d, F.lit(65), F.greatest(attempt - (LONGER - 1), F.lit(0)))
     size = F.length(canon)
     plain = F.substring(d, F.lit(1), size)
     body = F.concat(F.substring(canon, 1, 1), F.substring(d, F.lit(1), size - 2))
@@ -123,18 +130,19 @@ def _surrogate(kind: Column, canon: Column, attempt: Column) -> Column:
     phone = F.concat(F.substring(canon, F.lit(1), size - 10), area(1), area(4), F.substring(d, 7, 4))
     octet = lambda at, lo, n: (F.substring(d, at, 6).cast("long") % n + lo).cast("string")
     ip = F.concat_ws(".", octet(1, 11, 116), octet(7, 1, 254), octet(13, 1, 254), octet(19, 1, 254))
-    hexes = _noise(kind, canon, attempt)
+    hexes = _noise(seed)
     local = F.regexp_extract(canon, "^[^@]*", 0)
     padded = F.concat(local, F.repeat(F.lit("a"), F.greatest(F.lit(0), 8 - F.length(local))))
     tld = F.regexp_extract(canon, r"[^.]*$", 0)
-    email = F.concat(_letters(padded, kind, canon, attempt), F.lit("@mail"), (F.substring(d, 40, 3).cast("int") % 100).cast("string"), F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise("org"))
+    email = F.concat(_letters(padded, seed), more, F.lit("@mail"), (F.substring(d, 40, 3).cast("int") % 100).cast("string"), F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise("org"))
     syllable = lambda table, at: F.element_at(F.array(*[F.lit(s) for s in table]), (F.conv(F.substring(hexes, at, 1), 16, 10).cast("int") + 1))
-    stem = lambda table: F.concat(syllable(table, 1), syllable(table, 2), syllable(table, 3), syllable(table, 4), F.when(attempt > 3, F.concat(syllable(table, 5), syllable(table, 6))).otherwise(""))
+    stem = lambda table: F.concat(syllable(table, 1), syllable(table, 2), syllable(table, 3), syllable(table, 4), F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(attempt - LONGER, F.lit(0))), lambda k: F.when(k > 0, F.element_at(F.array(*[F.lit(s) for s in table]), (F.conv(F.substring(hexes, k % 56 + 5, F.lit(1)), 16, 10).cast("int") + 1))).otherwise("")), ""))
     cyrillic = F.concat(stem(CYRILLIC), F.when(canon.rlike("[ая]$"), "ова").otherwise("ов"))
     surname = F.initcap(F.when(canon.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(stem(LATIN)))
-    iban = F.concat(F.substring(canon, 1, 2), _letters(F.substring(canon, F.lit(3), size), kind, canon, attempt))
-    return (F.when(kind == "email", email).when(kind == "card", card).when((kind == "phone") & (size >= 10), phone).when(kind == "ip", ip).when(kind == "secret", _letters(canon, kind, canon, attempt))
-            .when(kind == "iban", iban).when(kind == "surname", surname).when(kind == "given", _given(canon)).otherwise(plain))
+    iban = F.concat(F.substring(canon, 1, 2), _letters(F.substring(canon, F.lit(3), size), seed))
+    return (F.when(kind == "email", email).when(kind == "card", F.concat(card, more)).when((kind == "phone") & (size >= 10), F.concat(phone, more)).when(kind == "ip", ip)
+            .when(kind == "secret", F.concat(_letters(canon, seed), more)).when(kind == "iban", F.concat(iban, more)).when(kind == "surname", surname).when(kind == "given", _given(canon))
+            .otherwise(F.concat(plain, more)))
 
 
 def _given(canon: Column) -> Column:
@@ -148,17 +156,20 @@ def _given(canon: Column) -> Column:
 
 
 def _render(kind: Column, spelling: Column, surrogate: Column) -> Column:
-    """The surrogate with the spelling's separators."""
+    """The surrogate with the spelling's separators; what it has beyond the spelling follows at the end."""
     numeric = kind.isin("card", "ssn", "phone", "iban")
     walk = F.aggregate(F.split(spelling, ""), F.struct(F.lit("").alias("text"), F.lit(1).alias("at")),
                        lambda acc, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(acc["text"], F.substring(surrogate, acc["at"], F.lit(1))).alias("text"), (acc["at"] + 1).alias("at")))
-                       .otherwise(F.struct(F.concat(acc["text"], c).alias("text"), acc["at"].alias("at"))), lambda acc: acc["text"])
+                       .otherwise(F.struct(F.concat(acc["text"], c).alias("text"), acc["at"].alias("at"))), lambda acc: F.concat(acc["text"], F.substring(surrogate, acc["at"], F.length(surrogate))))
     return F.when(numeric, walk).otherwise(surrogate)
 
 
 def surrogates(entities: DataFrame, scratch: Scratch) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon): no two entities of a kind share one, and none is itself an entity of the kind."""
-    now = scratch.keep(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"))), "entities")
+    def drawn(d: DataFrame) -> DataFrame:
+        return d.withColumn("seed", _seed(F.col("kind"), F.col("canon"), F.col("attempt"))).withColumn("surrogate", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), F.col("seed"))).drop("seed")
+
+    now = scratch.keep(drawn(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))), "entities")
     taken = now.select("kind", F.lower("canon").alias("surrogate_key")).distinct()
     taken = scratch.keep(taken.withColumn("taken", F.lit(True)), "taken")
     first = Window.partitionBy("kind", "surrogate_key").orderBy("attempt", "canon")
@@ -167,9 +178,10 @@ def surrogates(entities: DataFrame, scratch: Scratch) -> DataFrame:
         judged = scratch.keep(judged.withColumn("again", (F.col("kind") != "given") & ((F.col("n") > 1) | F.coalesce("taken", F.lit(False)))), "judged")
         if judged.filter("again").isEmpty():
             return judged.select("kind", "canon", "surrogate")
-        attempt = F.when(F.col("again"), F.col("attempt") + 1).otherwise(F.col("attempt"))
-        moved = judged.select("kind", "canon", attempt.alias("attempt"), F.when(F.col("again"), _surrogate(F.col("kind"), F.col("canon"), F.col("attempt") + 1)).otherwise(F.col("surrogate")).alias("surrogate"))
-        now = scratch.keep(moved, "entities")
+        kept = judged.filter("not again").select("kind", "canon", "attempt", "surrogate")
+        next_ = scratch.keep(kept.unionByName(drawn(judged.filter("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))), "entities")
+        scratch.drop(now, judged)
+        now = next_
 
 
 def replace_personal_data(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
@@ -180,10 +192,9 @@ def replace_personal_data(docs: DataFrame, scratch: Scratch, text_col: str = "te
     """
     base = without(docs, "n_replaced")
     text = F.col(text_col)
-    has = has_entity(text)
-    key = F.sha2(text, 256)
-    hits = base.filter(has).select(key.alias("tkey"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found"))
-    hits = scratch.keep(hits.groupBy("tkey").agg(F.first("found").alias("found")), "found")
+    match = F.struct(F.sha2(text, 256).alias("tkey"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found"), F.split(text, PATTERN, -1).alias("pieces"))
+    searched = scratch.keep(base.withColumn("_match", F.when(has_entity(text), match)), "searched")
+    hits = scratch.keep(searched.filter("_match is not null").select("_match.tkey", "_match.found").groupBy("tkey").agg(F.first("found").alias("found")), "found")
     spelled = hits.select(F.explode("found").alias("raw")).distinct().withColumn("kind", _kind(F.col("raw"))).withColumn("parts", _parts(F.col("raw"), F.col("kind")))
     spelled = scratch.keep(spelled, "spellings")
     parts = spelled.select("raw", F.posexplode("parts").alias("at", "part")).select("raw", "at", "part.*")
@@ -193,11 +204,12 @@ def replace_personal_data(docs: DataFrame, scratch: Scratch, text_col: str = "te
     swapped = swaps.select("raw", _swap(F.col("raw"), F.col("swaps")).alias("new"))
     rewritten = hits.select("tkey", F.posexplode("found").alias("at", "raw")).join(scratch.keep(swapped, "swaps"), "raw")
     per_text = scratch.keep(rewritten.groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("_news")), "rewrites")   # one text's matches
-    changed = base.filter(has).withColumn("_tkey", key).withColumn("_pieces", F.split(text, PATTERN, -1)).join(per_text.withColumnRenamed("tkey", "_tkey"), "_tkey")
-    rest = F.slice("_pieces", F.lit(2), F.size("_pieces"))
-    joined = F.concat(F.element_at("_pieces", 1), F.array_join(F.zip_with("_news", rest, lambda n, p: F.concat(n["new"], p)), ""))
+    changed = searched.filter("_match is not null").withColumn("_tkey", F.col("_match.tkey")).join(per_text.withColumnRenamed("tkey", "_tkey"), "_tkey")
+    pieces = F.col("_match.pieces")
+    rest = F.slice(pieces, F.lit(2), F.size(pieces))
+    joined = F.concat(F.element_at(pieces, 1), F.array_join(F.zip_with("_news", rest, lambda n, p: F.concat(n["new"], p)), ""))
     changed = changed.withColumn("n_replaced", F.size("_news").cast("long")).withColumn(text_col, joined).select(*base.columns, "n_replaced")
-    return base.filter(~has).withColumn("n_replaced", F.lit(0).cast("long")).unionByName(changed)
+    return searched.filter("_match is null").select(*base.columns, F.lit(0).cast("long").alias("n_replaced")).unionByName(changed)
 
 
 def _swap(raw: Column, swaps: Column) -> Column:

@@ -36,7 +36,7 @@ def test_entities_of_all_kinds(spark, scratch, documents):
 
 
 def test_collisions_are_drawn_again(spark, scratch, monkeypatch):
-    monkeypatch.setattr(P, "_surrogate", lambda kind, canon, attempt: F.when(attempt == 0, F.lit("same")).when(attempt == 1, F.lit("e2")).otherwise(F.concat(canon, F.lit("-"), attempt.cast("string"))))
+    monkeypatch.setattr(P, "_surrogate", lambda kind, canon, attempt, seed: F.when(attempt == 0, F.lit("same")).when(attempt == 1, F.lit("e2")).otherwise(F.concat(canon, F.lit("-"), attempt.cast("string"))))
     ents = spark.createDataFrame([("phone", f"e{i}") for i in range(6)] + [("ip", "e0")], "kind string, canon string")
     got = {(r["kind"], r["canon"]): r["surrogate"] for r in P.surrogates(ents, scratch).collect()}
     assert len(got) == 7 and len({(k, v) for (k, _), v in got.items()}) == 7
@@ -59,3 +59,44 @@ def test_prefixed_secrets_without_digits(spark, scratch, documents):
     assert n == [1] * 8 + [0, 0] and new[8:] == texts[8:]
     for i, s in enumerate(secrets):
         assert s not in new[i] and new[i + 4] == new[i] + " in 2024"
+
+
+def test_values_with_few_others_end(spark, scratch, documents):
+    """Values without letters and digits are no secrets; values with few others are drawn until they differ, longer if need be."""
+    texts = ["password: -------- is not set", "token=________"] + [f"pwd: -------{i}" for i in range(10)] + [f"________@b{i}.com" for i in range(150)]
+    new, n = replaced(spark, scratch, documents, texts)
+    assert n == [0, 0] + [1] * 160 and new[:2] == texts[:2]
+    assert len(set(new)) == len(texts) and not set(new[2:]) & set(texts)
+
+
+def test_very_long_entities(spark, scratch, documents):
+    address, secret = "x@b" + ".a" * 100_000, "token=" + "Ab1" * 100_000
+    texts = [f"to {address} and 212-555-0123", f"{secret} here", "x@b." + "." * 50_000, "+1" + " 22" * 50_000, "A" * 100_000 + "@"]
+    new, n = replaced(spark, scratch, documents, texts)
+    assert n[:3] == [2, 1, 0] and ".a.a" not in new[0] and re.fullmatch(r"to \S+@mail\d+\.example\.org and \d{3}-\d{3}-\d{4}", new[0])
+    assert len(new[1]) == len(texts[1]) and new[1].startswith("token=") and new[1].endswith(" here") and "Ab1" * 5 not in new[1]
+
+
+def test_equals_plain_search(spark, scratch, documents):
+    """Every match of the pattern, found by another engine, is replaced by one surrogate per entity, different ones differing; all else stays."""
+    import random
+
+    import regex
+    rng = random.Random(8)
+    kinds = [lambda: f"u{rng.randrange(30)}@h{rng.randrange(9)}.org", lambda: f"10.0.{rng.randrange(5)}.{rng.randrange(9)}", lambda: f"+1 (212) 555-{rng.randrange(1000, 1030)}",
+             lambda: f"212-555-{rng.randrange(1000, 1030)}", lambda: f"api_key={rng.randrange(10 ** 9, 10 ** 9 + 20)}", lambda: f"123-45-{rng.randrange(1000, 1030)}", lambda: f"411111111111{rng.randrange(1000, 1050)}",
+             lambda: "word", lambda: "3.5", lambda: "a=b", lambda: "x@y", lambda: "12-34"]
+    texts = [" ; ".join(rng.choice(kinds)() for _ in range(rng.randrange(0, 25))) for _ in range(120)]
+    new, n = replaced(spark, scratch, documents, texts)
+    pattern = regex.compile(P.PATTERN)
+    surrogate, back = {}, {}
+    for old, out, count in zip(texts, new, n):
+        found = [m.group(0) for m in pattern.finditer(old)]
+        assert count == len(found)
+        pieces = pattern.split(old)
+        shape = re.fullmatch("([^;]+?)".join(map(re.escape, pieces)), out)
+        assert shape and (len(pieces) == len(found) + 1)
+        for f, s in zip(found, shape.groups()):
+            kind = next(k for k, p in P.PATTERNS.items() if regex.fullmatch(p, f))
+            assert surrogate.setdefault((kind, f), s) == s and back.setdefault((kind, s), f) == f and s != f
+    assert not {s for s in surrogate.values()} & {f for _, f in surrogate}
