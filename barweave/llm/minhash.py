@@ -18,6 +18,8 @@ about 2e-9.  Blocks hold at most two parts of about ``BLOCK`` rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from .scratch import Scratch
 from .words import mix, order_by_row, words_of
 
 BUCKETS, MANTISSA, EMPTY = 256, 10, np.uint16(0xFFFF)
-BLOCK, SLICE, MISS = 512, 4096, 1e-8
+BLOCK, SLICE, MISS, TASK_PAIRS = 512, 4096, 1e-8, 1 << 22
 _C = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -198,7 +200,7 @@ def _gather(batches, percent):
         names = np.unique(rep)
         number = np.searchsorted(names, rep)
         known = [(x, y) for x, others in zip(number, failed) for y in np.searchsorted(names, np.intersect1d(others or [], names))]
-        known = np.unique([x * len(names) + y for x, y in known]) if known else np.zeros(0, np.int64)
+        known = np.unique([min(p) * len(names) + max(p) for p in known]) if known else np.zeros(0, np.int64)
         for a, b in pairs_in_runs(starts, 1 << 13):
             ok = (comp[a] != comp[b]) & ((side[a] != side[b]) | (i_[a] == j_[a]))
             a, b = a[ok], b[ok]
@@ -335,7 +337,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         d = rows.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64(item), "parts").cast("int"))
         d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         d = d.select(group, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", item, *cols)
-        return d.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+        # as many partitions as the pairs ask for; a given number is not merged into few long tasks
+        pairs = rows.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0] / 2
+        tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / TASK_PAIRS))
+        return d.repartition(tasks, group, "i", "j").sortWithinPartitions(group, "i", "j")
 
     tested, labels = confirm(fresh), None
     links = tested.filter("linked").select("a", "b")
@@ -344,7 +349,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     # buckets of two were tested whole; others only matter while they span components
     rows = scratch.keep(members.filter("c > 2").join(part_of, "rep", "left").select("band", "rep", "c", F.coalesce("component", "rep").alias("comp")), "open")
     mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    failed = tested.filter("not linked").groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("failed"))     # at most the bands of a document
+    # a failed pair is noted at the member that is not the hub: one a band, so a list is never longer than the bands
+    unlinked = tested.filter("not linked").select("a", "b")
+    noted = members.select("band", "rep").join(hubs, "band").filter("rep != hub").select("rep", F.col("hub").alias("other")).distinct()
+    failed = noted.join(unlinked, (F.least("rep", "other") == F.col("a")) & (F.greatest("rep", "other") == F.col("b")))
+    failed = failed.groupBy("rep").agg(F.collect_list("other").alias("failed"))
     own = rows.join(mixed, "band").join(reps.select("rep", "n", "regs"), "rep").join(failed, "rep", "left")
     near = scratch.keep(blocks(own, "band", "rep", "c", "comp", "n", "regs", "failed").mapInArrow(lambda b: _gather(b, percent), "a long, b long").distinct(), "near")
     if not near.isEmpty():
