@@ -29,18 +29,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group (similarity 0.8 over five-word shingles): the smallest id, and one row of it.
 
-    Rows without words and rows without an id stay.
+    A document is an id with a text: where an id repeats with different texts, each is judged by itself
+    (and comes before the others of its group).  Rows without words and rows without an id stay.
     """
     scratch = Scratch(spark, "dedup")
-    found = scratch.keep(near_duplicates(docs, scratch), "groups")
-    gone = found.filter("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = scratch.keep(found.filter("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if twice.isEmpty():
-        return kept
-    row = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    first = kept.join(twice, "doc_id", "left_semi").withColumn("_row", F.row_number().over(row)).filter("_row = 1").select(*docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    rows = docs.withColumn("_rid", F.col("doc_id").cast("long"))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    repeated = scratch.keep(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min(digest).alias("lo"), F.max(digest).alias("hi"))
+                            .filter("c > 1").select(F.col("doc_id").alias("_id"), (F.col("lo") != F.col("hi")).alias("_several")), "repeated")
+    single = repeated.isEmpty()
+    if not single:
+        own = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+        rows = rows.join(repeated, F.col("doc_id") == F.col("_id"), "left").withColumn("_rid", F.when(F.col("_several"), own).otherwise(F.col("_rid")))
+    found = scratch.keep(near_duplicates(rows, scratch, id_col="_rid"), "groups")
+    gone = found.filter("not kept").select("_rid").distinct()
+    kept = rows.join(gone, "_rid", "left_anti")
+    if single:
+        return kept.select(*docs.columns)
+    again = found.filter("kept and _rid is not null and n_shingles > 0").groupBy("_rid").count().filter("count > 1").select("_rid")
+    again = scratch.keep(again, "equal-rows")
+    row = Window.partitionBy("_rid").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    first = kept.join(again, "_rid", "left_semi").withColumn("_row", F.row_number().over(row)).filter("_row = 1").select(*docs.columns)
+    return kept.join(again, "_rid", "left_anti").select(*docs.columns).unionByName(first)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

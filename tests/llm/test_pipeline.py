@@ -57,3 +57,13 @@ def test_odd_rows_pass_every_stage(spark, documents):
             table = scratch.keep(stage(spark, table, SF), name)
             if name == "near_dedup" and not table.isEmpty():
                 assert sorted(str(r["doc_id"]) for r in table.collect()) == ["1", "2", "3", "5", "None"]
+
+
+def test_one_id_with_several_texts(spark, documents):
+    """Each text under a repeated id is judged by itself: copies go, one row of equal rows stays, other texts stay."""
+    shared, other, third = "one shared text of more than five words", "quite another text under the same old id", "a third text that nobody else has at all"
+    docs = documents([(1, shared), (5, shared), (5, other), (5, other), (6, third), (6, None), (6, None), (None, shared), (7, other)])
+    out = C.drop_near_duplicates(spark, docs, SF).collect()
+    texts = sorted(str(r["text"]) for r in out if r["doc_id"] is not None)
+    assert texts == sorted([shared, other, third, "None", "None"])
+    assert sum(r["doc_id"] is None for r in out) == 1
