@@ -95,7 +95,7 @@ _t = _q.rma("bars", "close", 14, 1)
 
 @query("wilder_average", f"WITH RECURSIVE {bars_cte()}, {', '.join(_q.ctes)} SELECT b.symbol, b.ts, {rx('t.y', 'y')} FROM bars b LEFT JOIN {_t} t USING (symbol, rn)")
 def _(s, d):
-    p = I.Panel(event_bars(s, d), ["symbol"], I.rma_halo(14), 2000)
+    p = I.Panel(event_bars(s, d), ["symbol"], I.rma_halo(14), 2000, decays=[I.rma_decay(14)])
     p.put("y", p.rma(F.col("close"), 14))
     return fin(p.close(), "symbol", "ts", "y")
 

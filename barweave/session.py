@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # wide window plans make methods that the JVM never compiles; beyond its limit the split form is faster
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
