@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import stage
 from ..sources.bars import seconds
-from .blocks import BLK, BLOCK, block_of, block_window, close_blocks, index_rows, open_blocks, running, span
+from .blocks import BLK, BLOCK, block_of, block_window, index_rows, running, span
+
+CHUNK = 32           # rows folded into one map by running_affine
 
 # Indian transaction-cost rates (2024) per market and side.
 STT_RATES = {"equity_delivery_buy": 0.001, "equity_delivery_sell": 0.001, "equity_intraday_sell": 0.00025,
@@ -84,27 +85,35 @@ def apply_lots(signals: DataFrame, lot: Column | int) -> DataFrame:
 
 # ------------------------------------------------------------------ round trips and equity
 
-def holdings(signals: DataFrame, key: Sequence[str], size: int = BLOCK) -> DataFrame:
-    """Each bar with ``bought``, ``sold`` (capped at what is held), ``held_before`` and ``held``.
+def floored_sum(d: DataFrame, key: Sequence[str], size: int = BLOCK) -> DataFrame:
+    """``d`` with the running sum of ``_d`` floored at zero: ``_before`` and ``_after`` each row.
 
-    Holdings are a running sum floored at zero: the sum minus its running minimum.  Both run inside
-    blocks in one sort; a block is summed up as (sum, smallest prefix), and those rows are scanned.
+    It is the sum minus its running minimum.  Both run inside blocks in one sort; a block is summed
+    up as (sum, smallest prefix), and those rows are scanned.
     """
     key = list(key)
-    q = F.coalesce("quantity", F.lit(0.0))
-    move = F.when(F.col("signal") == "BUY", q).when(F.col("signal") == "SELL", -q).otherwise(0.0)
-    d = signals.select(*key, "rn", "ts", "close", "signal", move.alias("_d")).withColumn(BLK, block_of(F.col("rn"), size))
+    d = d.withColumn(BLK, block_of(F.col("rn"), size))
     w = block_window(key)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_s", F.sum("_d").over(upto)).withColumns({"_m": F.min("_s").over(upto), "_mb": F.min("_s").over(before)})
+    d = d.withColumn("_s", F.sum("_d").over(upto))
+    d = stage(d.withColumns({"_m": F.min("_s").over(upto), "_mb": F.min("_s").over(before), "_sb": F.coalesce(F.lag("_s").over(w), F.lit(0.0))}))
     ends = d.groupBy(*key, BLK).agg(F.max_by("_s", "rn").alias("_sum"), F.min("_m").alias("_low"))
     earlier = span(key).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     heads = ends.withColumn("_c", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
     heads = heads.withColumn("_f", F.least(F.lit(0.0), F.coalesce(F.min(F.col("_c") + F.col("_low")).over(earlier), F.lit(0.0)))).select(*key, BLK, "_c", "_f")
     d = d.join(heads, [*key, BLK])
-    total = F.col("_c") + F.col("_s")
-    was = total - F.col("_d") - F.least("_f", F.coalesce(F.col("_c") + F.col("_mb"), F.col("_f")))
-    d = d.withColumn("held_before", F.when(was > 1e-10, was).otherwise(0.0))
+    was = F.col("_c") + F.col("_sb") - F.least("_f", F.coalesce(F.col("_c") + F.col("_mb"), F.col("_f")))
+    now = F.col("_c") + F.col("_s") - F.least(F.col("_f"), F.col("_c") + F.col("_m"))
+    return d.withColumns({"_before": was, "_after": now}).drop(BLK, "_s", "_m", "_mb", "_sb", "_c", "_f")
+
+
+def holdings(signals: DataFrame, key: Sequence[str], size: int = BLOCK) -> DataFrame:
+    """Each bar with ``bought``, ``sold`` (capped at what is held), ``held_before`` and ``held``: a running sum floored at zero."""
+    key = list(key)
+    q = F.coalesce("quantity", F.lit(0.0))
+    move = F.when(F.col("signal") == "BUY", q).when(F.col("signal") == "SELL", -q).otherwise(0.0)
+    d = floored_sum(signals.select(*key, "rn", "ts", "close", "signal", move.alias("_d")), key, size)
+    d = d.withColumn("held_before", F.when(F.col("_before") > 1e-10, F.col("_before")).otherwise(0.0))
     d = d.withColumns({"bought": F.greatest(F.col("_d"), F.lit(0.0)), "sold": F.least(F.greatest(-F.col("_d"), F.lit(0.0)), "held_before")})
     left = F.col("held_before") + F.col("bought") - F.col("sold")
     return d.withColumn("held", F.when(left > 1e-10, left).otherwise(0.0)).select(*key, "rn", "ts", "close", "signal", "bought", "sold", "held_before", "held")
@@ -120,7 +129,7 @@ def round_trips(signals: DataFrame, key: Sequence[str], slippage: float = 0.001,
     are those of the sale and its share of the entry fees.
     """
     key = list(key)
-    h = stage(holdings(signals, key, size))
+    h = holdings(signals, key, size)
     last = h.groupBy(*key).agg(F.max_by(F.struct("rn", "ts", "close", "held"), "rn").alias("z")).filter("z.held > 0")
     close = last.select(*key, (F.col("z.rn") + 1).alias("rn"), "z.ts", "z.close", F.lit("SELL").alias("signal"), F.lit(0.0).alias("bought"),
                         F.col("z.held").alias("sold"), F.col("z.held").alias("held_before"), F.lit(0.0).alias("held"), F.lit(True).alias("open_end"))
@@ -142,11 +151,8 @@ def round_trips(signals: DataFrame, key: Sequence[str], slippage: float = 0.001,
     if not mixed.isEmpty():
         m = ev.join(mixed.select(*cyc, "entry_time"), cyc)
         m = stage(index_rows(m, key, ["en"], [block_of(F.col("en"), size)], out="mn"))
-        y = running_affine(m, key, "_a", ["_cost", "_fee"], size, rn="mn")
-        y = stage(y.select(*key, "mn", "trade_no", "entry_time", "ts", "close", "sold", "held_before", "open_end", "_cost_y", "_fee_y"))
-        before = y.select(*key, (F.col("mn") + 1).alias("mn"), F.col("_cost_y").alias("_cb"), F.col("_fee_y").alias("_fb"))
-        y = y.filter("sold > 0").drop("_cost_y", "_fee_y").join(before, [*key, "mn"])
-        y = y.withColumns({"_e": F.col("_cb") / F.col("held_before"), "_ef": F.col("_fb") * F.col("sold") / F.col("held_before")})
+        y = running_affine(m, key, "_a", ["_cost", "_fee"], rn="mn").filter("sold > 0")
+        y = y.withColumns({"_e": F.col("_cost_before") / F.col("held_before"), "_ef": F.col("_fee_before") * F.col("sold") / F.col("held_before")})
         t = t.unionByName(y.select(*cols))
     return trade_pnl(t, key, slippage, fee)
 
@@ -166,7 +172,7 @@ def equity_curve(signals: DataFrame, key: Sequence[str], capital: float = 10_000
                  fee: float = 0.001, size: int = BLOCK) -> DataFrame:
     """Mark-to-market equity per bar; row 0 is the starting capital, the last row is realised; sales are capped at the holding."""
     key = list(key)
-    d = stage(holdings(signals, key, size))
+    d = holdings(signals, key, size)
     bought, sold = F.col("bought") * F.col("close") * (1 + slippage), F.col("sold") * F.col("close") * (1 - slippage)
     flow = F.when(F.col("bought") > 0, -(bought + simple_fee(bought, fee))).when(F.col("sold") > 0, sold - simple_fee(sold, fee)).otherwise(0.0)
     last = d.groupBy(*key).agg(F.max("rn").alias("_n"), F.min("ts").alias("_t0"))
@@ -184,59 +190,38 @@ def equity_curve(signals: DataFrame, key: Sequence[str], capital: float = 10_000
 
 # ------------------------------------------------------------------ weighted-average-cost ledger
 
-def running_affine(df: DataFrame, key: Sequence[str], a: str, bs: Sequence[str], size: int = BLOCK,
-                   rn: str = "rn", levels: int = 2) -> DataFrame:
-    """``y = a*y + b`` with a factor per row (0 restarts), for several ``b`` at once.
+def running_affine(df: DataFrame, key: Sequence[str], a: str, bs: Sequence[str], size: int = CHUNK, rn: str = "rn") -> DataFrame:
+    """``df`` with ``<b>_y``, where ``y = a*y + b`` with a factor per row (0 restarts), and ``<b>_before``, its value before the row.
 
-    Affine maps compose, so a block reduces to one row ``(A, B...)``; the block rows are
-    scanned the same way ``levels`` times, and each group holds at most ``size`` rows.
-    Results are named ``<b>_y``.  ``df`` is read twice per level.
+    Affine maps compose, so ``size`` rows in order are folded into one map and the state each row meets
+    is known up to the state at the chunk's head.  The maps are rows of the same problem, ``size`` times
+    fewer: they are solved the same way until every key is one chunk, so no group ever holds more than
+    ``size`` rows.  Rows travel inside their chunk: one shuffle, no join back to ``df``.
     """
     key, bs = list(key), list(bs)
-    kf = [df.schema[k] for k in key]
-    dbl = lambda n: T.StructField(n, T.DoubleType())
-    ins = [f"_in_{b}" for b in bs]
-    whole = T.StructType([*kf, T.StructField(BLK, T.LongType()), dbl(a), *[dbl(b) for b in bs]])
-    rows = T.StructType([*kf, T.StructField(rn, T.LongType()), *[dbl(f"{b}_y") for b in bs]])
-    d = df.select(*key, rn, a, *bs).withColumn(BLK, block_of(F.col(rn), size))
-
-    def walk(batches, summary):
-        """Rows arrive sorted by block and position; a block may span two batches."""
-        import numpy as np
-        import pandas as pd
-        here, prod, y = None, 1.0, None
-        for pdf in batches:
-            ids = list(zip(*[pdf[k] for k in key], pdf[BLK]))
-            f, x = pdf[a].to_numpy(dtype=float), pdf[bs].to_numpy(dtype=float)
-            start = pdf[ins].to_numpy(dtype=float) if not summary else None
-            out, ends = np.empty_like(x), []
-            for i, b in enumerate(ids):
-                if b != here:
-                    if summary and here is not None:
-                        ends.append((*here, prod, *y))
-                    here, prod = b, 1.0
-                    y = [0.0] * len(bs) if summary else list(start[i])
-                prod *= f[i]
-                y = [f[i] * v + w for v, w in zip(y, x[i])]
-                out[i] = y
-            if summary:
-                yield pd.DataFrame(ends, columns=[c.name for c in whole.fields])
-            else:
-                yield pd.DataFrame({**{k: pdf[k] for k in key}, rn: pdf[rn], **{f"{b}_y": out[:, j] for j, b in enumerate(bs)}})
-        if summary and here is not None:
-            yield pd.DataFrame([(*here, prod, *y)], columns=[c.name for c in whole.fields])
-
-    def sorted_blocks(t):
-        return t.repartition(*key, BLK).sortWithinPartitions(*key, BLK, rn)
-
-    if levels == 0:
-        last = d.withColumns({BLK: F.lit(0).cast("long"), **{c: F.lit(0.0) for c in ins}})
-        return df.join(sorted_blocks(last).mapInPandas(lambda it: walk(it, False), rows), [*key, rn])
-    ends = stage(sorted_blocks(d).mapInPandas(lambda it: walk(it, True), whole))
-    carried = running_affine(ends.withColumn(rn, F.col(BLK) + 1), key, a, bs, size, rn, levels - 1)
-    heads = carried.select(*key, (F.col(BLK) + 1).alias(BLK), *[F.col(f"{b}_y").alias(c) for b, c in zip(bs, ins)])
-    filled = d.join(heads, [*key, BLK], "left").na.fill(0.0, ins)
-    return df.join(sorted_blocks(filled).mapInPandas(lambda it: walk(it, False), rows), [*key, rn])
+    rest = [c for c in df.columns if c not in key]
+    row = F.struct(F.col(rn).alias("at"), F.struct(*rest).alias("row"))
+    chunks = df.withColumn(BLK, block_of(F.col(rn), size)).groupBy(*key, BLK).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    met = ["p", *[f"y{i}" for i in range(len(bs))]]
+    state = F.struct(F.lit(1.0).alias("p"), *[F.lit(0.0).alias(m) for m in met[1:]], F.array().cast(f"array<struct<{','.join(f'{m}:double' for m in met)}>>").alias("met"))
+
+    def step(acc, r):
+        f = r["row"][a]
+        seen = F.concat(acc["met"], F.array(F.struct(*[acc[m].alias(m) for m in met])))
+        return F.struct((acc["p"] * f).alias("p"), *[(acc[m] * f + r["row"][b]).alias(m) for m, b in zip(met[1:], bs)], seen.alias("met"))
+
+    chunks = stage(chunks.withColumn("_map", F.aggregate("_rows", state, step)))
+    heads = [f"_in{i}" for i in range(len(bs))]
+    if (chunks.agg(F.max(BLK)).first()[0] or 0) > 0:
+        ends = chunks.select(*key, (F.col(BLK) + 1).alias("rn"), F.col("_map.p").alias("f"), *[F.col(f"_map.{m}").alias(m) for m in met[1:]])
+        solved = running_affine(ends, key, "f", met[1:], size)
+        chunks = chunks.join(solved.select(*key, (F.col("rn") - 1).alias(BLK), *[F.col(f"{m}_before").alias(h) for m, h in zip(met[1:], heads)]), [*key, BLK])
+    else:
+        chunks = chunks.withColumns({h: F.lit(0.0) for h in heads})
+    rows = chunks.select(*key, *heads, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_map.met").alias("m"))).alias("z"))
+    rows = rows.select(*key, *heads, "z.r.row.*", F.col("z.m").alias("_m"))
+    rows = rows.withColumns({f"{b}_before": F.col(f"_m.{m}") + F.col("_m.p") * F.col(h) for b, m, h in zip(bs, met[1:], heads)})
+    return rows.withColumns({f"{b}_y": F.col(a) * F.col(f"{b}_before") + F.col(b) for b in bs}).select(*df.columns, *[f"{b}_{x}" for b in bs for x in ("y", "before")])
 
 
 def wacb_ledger(fills: DataFrame, key: Sequence[str], fee: float = 0.0, size: int = BLOCK) -> DataFrame:
@@ -248,34 +233,22 @@ def wacb_ledger(fills: DataFrame, key: Sequence[str], fee: float = 0.0, size: in
     """
     key = list(key)
     buy = F.col("side") == "BUY"
-    d = fills.withColumn("_d", F.when(buy, F.col("qty")).otherwise(-F.col("qty")))
-    s = running(stage(d), key, {"_s": ("sum", "_d")}, size)
-    s = running(stage(s), key, {"_m": ("min", "_s")}, size)
-    s = s.withColumn("held", F.col("_s") - F.least(F.lit(0.0), F.col("_m")))
-    o = open_blocks(s, 1, size)
-    o = o.withColumn("held_before", F.coalesce(F.lag("held").over(block_window(key)), F.lit(0.0)))
-    s = close_blocks(o)
-    sold = F.when(buy, 0.0).otherwise(F.least(F.col("qty"), F.col("held_before")))
-    s = s.withColumn("sold", sold)
+    s = floored_sum(fills.withColumn("_d", F.when(buy, F.col("qty")).otherwise(-F.col("qty"))), key, size)
+    s = s.withColumnsRenamed({"_after": "held", "_before": "held_before"}).withColumn("sold", F.when(buy, 0.0).otherwise(F.least(F.col("qty"), F.col("held_before"))))
     a = F.when(F.col("held") <= 1e-10, 0.0).when(buy, 1.0).otherwise(F.col("held") / F.nullif(F.col("held_before"), F.lit(0.0)))
     value = F.col("price") * F.col("qty")
     s = s.withColumns({"_a": F.coalesce(a, F.lit(0.0)), "_cost": F.when(buy, value).otherwise(0.0),
                        "_fee": F.when(buy, value * fee).otherwise(0.0)})
-    y = running_affine(stage(s), key, "_a", ["_cost", "_fee"], size)
-    o = open_blocks(y, 1, size)
-    w = block_window(key)
-    o = o.withColumns({"_cost_b": F.coalesce(F.lag("_cost_y").over(w), F.lit(0.0)),
-                       "_fee_b": F.coalesce(F.lag("_fee_y").over(w), F.lit(0.0))})
-    y = close_blocks(o)
+    y = running_affine(s, key, "_a", ["_cost", "_fee"])
     share = F.col("sold") / F.nullif(F.col("held_before"), F.lit(0.0))
-    avg_before = F.col("_cost_b") / F.nullif(F.col("held_before"), F.lit(0.0))
-    fees = F.col("price") * F.col("sold") * fee + F.col("_fee_b") * share
+    avg_before = F.col("_cost_before") / F.nullif(F.col("held_before"), F.lit(0.0))
+    fees = F.col("price") * F.col("sold") * fee + F.col("_fee_before") * share
     pnl = F.when(F.col("sold") > 0, (F.col("price") - avg_before) * F.col("sold") - fees)
     return y.withColumns({"avg_cost": F.col("_cost_y") / F.when(F.col("held") > 1e-10, F.col("held")),
                           "entry_avg": F.when(F.col("sold") > 0, avg_before), "realised_pnl": pnl,
                           "pnl_pct": pnl / F.nullif(avg_before * F.col("sold"), F.lit(0.0)),
                           "trade_fees": F.when(F.col("sold") > 0, fees)}).drop(
-        "_d", "_s", "_m", "_a", "_cost", "_fee", "_cost_y", "_fee_y", "_cost_b", "_fee_b")
+        "_d", "_a", "_cost", "_fee", "_cost_y", "_fee_y", "_cost_before", "_fee_before")
 
 
 # ------------------------------------------------------------------ reports

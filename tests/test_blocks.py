@@ -108,9 +108,19 @@ def test_running_affine_with_restarts(spark, walk, size):
     got = running_affine(d, K, "a", ["b"], size).toPandas().sort_values(["symbol", "rn"])
     for _, g in got.groupby("symbol"):
         y = 0.0
-        for a, b, v in zip(g["a"], g["b"], g["b_y"]):
+        for a, b, v, before in zip(g["a"], g["b"], g["b_y"], g["b_before"]):
+            assert abs(y - before) < 1e-9
             y = a * y + b
             assert abs(y - v) < 1e-9
+    assert list(got.columns) == [*d.columns, "b_y", "b_before"]
+
+
+def test_running_affine_over_several_levels(spark):
+    """Chunks of three rows: five levels of maps; a state carried on through all of them."""
+    d = stage(spark.range(1, 251).select(F.lit("a").alias("k"), F.col("id").alias("rn"), F.lit(0.999).alias("f"), F.when(F.col("id") == 1, 1000.0).otherwise(0.0).alias("b")))
+    got = {r["rn"]: r["b_y"] for r in running_affine(d, ["k"], "f", ["b"], 3).collect()}
+    assert len(got) == 250 and all(abs(got[n] - 1000 * 0.999 ** (n - 1)) < 1e-8 for n in got)
+    assert running_affine(d.limit(0), ["k"], "f", ["b"], 3).count() == 0
 
 
 @pytest.mark.parametrize("values", ["normal", "ties", "tail", "one"])
