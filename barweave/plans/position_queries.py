@@ -377,12 +377,12 @@ def _(s, d):
     return fin(R.regime_vol_scales(labels(s, d), K))
 
 
-# trades of every 9th bar, some entered between bars: exact match first, then the first bar of the date
-@query("attribute_trades", f"""WITH {LAB}, t AS (SELECT symbol, rn AS trade_no, ts + CASE WHEN rn % 2 = 0 THEN INTERVAL 17 MINUTE ELSE INTERVAL 0 MINUTE END AS entry_time FROM labels WHERE rn % 9 = 0)
+# a trade a bar, some entered between bars: exact match first, then the first bar of the date
+@query("attribute_trades", f"""WITH {LAB}, t AS (SELECT symbol, rn AS trade_no, ts + CASE WHEN rn % 2 = 0 THEN INTERVAL 17 MINUTE ELSE INTERVAL 0 MINUTE END AS entry_time FROM labels)
    SELECT t.symbol, trade_no, coalesce(e.regime, (SELECT first(regime ORDER BY ts) FROM labels l WHERE l.symbol = t.symbol AND l.ts::DATE = t.entry_time::DATE)) AS regime FROM t LEFT JOIN labels e ON e.symbol = t.symbol AND e.ts = t.entry_time""")
 def _(s, d):
     lab = labels(s, d)
-    t = lab.filter("rn % 9 = 0").select("symbol", F.col("rn").alias("trade_no"), F.expr("ts + CASE WHEN rn % 2 = 0 THEN INTERVAL 17 MINUTES ELSE INTERVAL 0 MINUTES END").alias("entry_time"))
+    t = lab.select("symbol", F.col("rn").alias("trade_no"), F.expr("ts + CASE WHEN rn % 2 = 0 THEN INTERVAL 17 MINUTES ELSE INTERVAL 0 MINUTES END").alias("entry_time"))
     return R.attribute_trades(t, lab, K).select("symbol", "trade_no", "regime")
 
 
