@@ -15,7 +15,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import stage
 from . import signals as G
@@ -28,12 +27,11 @@ from .presets import PRESETS, preset_flags
 from .regimes import classify_regimes, regime_distribution, regime_mix
 from .scenarios import PRESETS as SCENARIOS
 from .scenarios import apply_scenario, plan_runs, stressed_slippage
-from .sweep import DCA_EXITS, DCA_RANGES, GRID_RANGES, PLA_RANGES
+from .sweep import DCA_EXITS, DCA_RANGES, GRID_RANGES, PLA_RANGES, cap
 from .validation import assign_folds, holdout_split, holdout_verdict, make_folds
 
 CELLS = 16           # a hot key's bars meet its jobs in this many tasks
 BARS = ("rn", "ts", "open", "high", "low", "close", "volume")
-JOB = "param_id bigint, strategy string, option string, params map<string,double>, levels array<double>, amounts array<double>"
 METRICS = ("total_return_pct", "annualised_return_pct", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "max_drawdown_pct", "volatility_pct",
            "num_trades", "win_rate", "profit_factor", "final_equity")
 
@@ -244,14 +242,20 @@ def run_jobs(bars: DataFrame, jobs: DataFrame, key: Sequence[str], capital: floa
     return m.na.fill(0, [c for c in METRICS if c != "final_equity"]).na.fill({"final_equity": float(capital)})
 
 
+def sweep_jobs(bars: DataFrame, jobs: DataFrame, key: Sequence[str], capital: float = 100_000.0, size: int = BLOCK) -> DataFrame:
+    """Runs for ranking: ratios within [-20, 20], so that a run without a losing trade (an infinite factor) compares."""
+    m = run_jobs(bars, jobs, key, capital, size=size)
+    return m.withColumns({c: cap(F.col(c)) for c in ("sharpe_ratio", "sortino_ratio", "calmar_ratio", "profit_factor")})
+
+
 # ------------------------------------------------------------------ walk-forward
 
 def walk_forward_jobs(bars: DataFrame, jobs: DataFrame, key: Sequence[str], window: int = 252, step: int = 63, interval: str = "1d",
                       capital: float = 100_000.0, size: int = BLOCK) -> DataFrame:
-    """Best parameter set of each train window, applied to its test window; any strategy, failed sets never win.
+    """Best parameter set of each train window, applied to its test window; any strategy, sets that cannot run never win.
 
-    Bounds a GRID lacks come from its train window and hold in the test window too.  Ties keep the smallest
-    ``param_id``; a fold without a set that trades has no row.
+    Bounds a GRID lacks come from its train window and hold in the test window too.  A set that does not trade counts
+    with a Sharpe ratio of zero; ties keep the smallest ``param_id``.
     """
     key = list(key)
     folds = stage(make_folds(bars, key, window, step, interval))
@@ -265,7 +269,7 @@ def walk_forward_jobs(bars: DataFrame, jobs: DataFrame, key: Sequence[str], wind
     j = stage(j.withColumn("params", F.when(lacks, F.map_concat("params", bounds)).otherwise(F.col("params"))).drop("_lo", "_hi"))
     k = [*key, "fold"]
     ran = stage(run_jobs(stage(train.drop("part")), j, k, capital, size=size))
-    best = ran.filter("error is null").groupBy(*k).agg(F.max_by(F.struct("param_id", "sharpe_ratio"), F.struct("sharpe_ratio", (-F.col("param_id")).alias("_t"))).alias("_b"))
+    best = ran.filter("error is null or error = 'no trades'").groupBy(*k).agg(F.max_by(F.struct("param_id", "sharpe_ratio"), F.struct("sharpe_ratio", (-F.col("param_id")).alias("_t"))).alias("_b"))
     best = stage(best.select(*k, F.col("_b.param_id").alias("param_id"), F.round("_b.sharpe_ratio", 3).alias("train_sharpe")))
     chosen = j.join(best.select(*k, "param_id"), [*k, "param_id"], "left_semi")
     test = run_jobs(stage(seg.filter("part = 'test'").drop("part")), chosen, k, capital, size=size)
@@ -316,18 +320,19 @@ def stress_report(stressed: DataFrame, bars: DataFrame, sets: Sequence[tuple], c
     return scenario_verdict(stressed, base, ["symbol", "param_id"])
 
 
-def path_runs(hist: DataFrame, paths: DataFrame, sets: Sequence[tuple], warmup: int = 64, capital: float = 10_000.0, size: int = BLOCK) -> DataFrame:
+def path_runs(hist: DataFrame, paths: DataFrame, sets: Sequence[tuple], warmup: int = 64, every: int = 86_400,
+              capital: float = 10_000.0, size: int = BLOCK) -> DataFrame:
     """A strategy on every resampled path, begun on the last ``warmup`` bars of history: one row per (symbol, path, set).
 
     The warm-up bars let indicators settle; they are part of the run, as the paths continue the history.
     """
     k = ["symbol", "path_id"]
-    x = stage(path_bars(hist, paths, warmup))
+    x = stage(path_bars(hist, paths, warmup, every))
     return as_runs(run_jobs(x, jobs_for(stage(x.select(*k).distinct()), sets), k, capital, size=size), [*k, "param_id"])
 
 
-def path_bars(hist: DataFrame, paths: DataFrame, warmup: int = 64) -> DataFrame:
-    """Warm-up bars and path of every (symbol, path), numbered from 1, one bar an hour.
+def path_bars(hist: DataFrame, paths: DataFrame, warmup: int = 64, every: int = 86_400) -> DataFrame:
+    """Warm-up bars and path of every (symbol, path), numbered from 1, one bar in ``every`` seconds.
 
     A path of a symbol with less history than ``warmup`` is numbered from the bars it has.
     """
@@ -335,7 +340,7 @@ def path_bars(hist: DataFrame, paths: DataFrame, warmup: int = 64) -> DataFrame:
     h = hist.groupBy("symbol").agg(F.least(F.max("n"), F.lit(warmup)).cast("long").alias("_h"))
     p = with_warmup(hist, paths.withColumn("step", F.col("step").cast("long")), warmup).join(h, "symbol")
     rn = F.col("step") + F.col("_h")
-    return p.select("symbol", "path_id", rn.alias("rn"), F.timestamp_seconds(rn * 3600).cast("timestamp_ntz").alias("ts"),
+    return p.select("symbol", "path_id", rn.alias("rn"), F.timestamp_seconds(rn * every).cast("timestamp_ntz").alias("ts"),
                     *[F.round(c, 8).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 

@@ -2,5 +2,5 @@
 
 
 def all_queries():
-    from . import basics, indicator_queries, position_queries, registry, signal_queries, stream_queries, whatif_queries  # noqa: F401
+    from . import basics, indicator_queries, job_queries, position_queries, registry, signal_queries, stream_queries, whatif_queries  # noqa: F401
     return registry
