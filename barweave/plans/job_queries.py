@@ -144,14 +144,6 @@ def _(s, d):
     return swept(s, d, [J.job(n, **o) for n, o in [*PRESET_SETS, MISSING]]).select("symbol", "param_id", *OUT)
 
 
-@query("sweep_classic_jobs", f"""WITH {bars_cte()}, v(strategy, option, sets) AS (VALUES ('GRID', 'linear', 12), ('GRID', 'exponential', 12), ('DCA', 'time', 27), ('DCA', 'profit', 81), ('PLA', 'crossover', 27), ('PLA', 'take_profit', 54))
-   SELECT symbol, strategy, option, sets::BIGINT AS sets, 0::BIGINT AS invalid FROM (SELECT DISTINCT symbol FROM bars), v""")
-def _(s, d):
-    """All classic grids as jobs of every symbol, checked."""
-    j = J.jobs_for(event_bars(s, d).select("symbol").distinct(), J.classic_jobs())
-    return j.groupBy("symbol", "strategy", "option").agg(F.count(F.lit(1)).alias("sets"), F.count(J.job_problem()).alias("invalid"))
-
-
 # ------------------------------------------------------------------ walk-forward and hold-out of any strategy
 
 WF_SETS = [(3, 10), (3, 20), (5, 10), (5, 20)]

@@ -102,3 +102,9 @@ def test_walk_forward_takes_bounds_from_the_train_window(walk):
     sig = stage(G.grid_signals(test, K, F.lit(float(max(lo * 0.5, lo - pad))), F.lit(float(hi + pad)), n, invest=300.0))
     m = performance(stage(equity_curve(sig, K, 10_000.0)), round_trips(sig, K), K).first()
     assert folds[1].return_pct == pytest.approx(m.total_return_pct, abs=1e-3) and folds[1].num_trades == m.num_trades
+
+
+def test_classic_grids_are_runnable_jobs(walk):
+    j = J.jobs_for(walk[1].select("symbol").distinct(), J.classic_jobs())
+    got = j.groupBy("symbol", "strategy").agg(F.count(F.lit(1)).alias("sets"), F.count(J.job_problem()).alias("bad")).collect()
+    assert {(r.strategy, r.sets, r.bad) for r in got} == {("GRID", 24, 0), ("DCA", 108, 0), ("PLA", 81, 0)} and len(got) == 6
