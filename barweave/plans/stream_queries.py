@@ -52,26 +52,31 @@ def run(s, df, mode="append"):
     return S.drain(df, f"{p}/out", f"{p}/cp", mode)
 
 
-# The last open window stays in state until the watermark passes it, hence the cut in the SQL.
-@query("stream_bars", f"""WITH {bars_cte()}, m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events) SELECT symbol, ts, open, high, low, close, volume FROM bars, m WHERE ts + INTERVAL 1 HOUR <= wm""")
+def run_closed(s, src, plan):
+    """``plan`` over all rows of ``src`` and, by a closing marker, all its windows."""
+    p = scratch(s)
+    return S.drain_closed(plan(S.closable(src, f"{p}/end")), f"{p}/out", f"{p}/cp", src.schema, f"{p}/end")
+
+
+@query("stream_bars", f"WITH {bars_cte()} SELECT symbol, ts, open, high, low, close, volume FROM bars")
 def _(s, d):
-    return ntz(run(s, S.stream_bars(source(s, d, "events"), "event_type", "ts", 100 + F.col("value"), "1h", tiebreak="event_id")), "ts")
+    return ntz(run_closed(s, source(s, d, "events"), lambda e: S.stream_bars(e, "event_type", "ts", 100 + F.col("value"), "1h", tiebreak="event_id")), "ts")
 
 
 def ntz(df, *cols):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
-@query("stream_event_counts", "WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events) SELECT event_type, date_trunc('day', ts) AS window_start, count(*) AS count FROM events, m GROUP BY 1, 2, wm HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= wm")
+@query("stream_event_counts", "SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS count FROM events GROUP BY 1, 2")
 def _(s, d):
-    return ntz(run(s, S.stream_event_counts(source(s, d, "events"), "event_type", "ts", "1 day")), "window_start")
+    return ntz(run_closed(s, source(s, d, "events"), lambda e: S.stream_event_counts(e, "event_type", "ts", "1 day")), "window_start")
 
 
-@query("stream_sliding_vwap", f"""WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events), w AS (SELECT event_type AS symbol, 100 + value AS p, (user_id % 5 + 1)::DOUBLE AS q, date_trunc('hour', ts) - to_hours(k::BIGINT) AS window_start FROM events, (SELECT unnest(range(0, 4)) AS k))
-   SELECT symbol, window_start, {rx('sum(q)', 'volume')}, {rx('sum(p * q) / sum(q)', 'vwap', 9)} FROM w, m GROUP BY symbol, window_start, wm HAVING window_start + INTERVAL 4 HOUR <= wm""")
+@query("stream_sliding_vwap", f"""WITH w AS (SELECT event_type AS symbol, 100 + value AS p, (user_id % 5 + 1)::DOUBLE AS q, date_trunc('hour', ts) - to_hours(k::BIGINT) AS window_start FROM events, (SELECT unnest(range(0, 4)) AS k))
+   SELECT symbol, window_start, {rx('sum(q)', 'volume')}, {rx('sum(p * q) / sum(q)', 'vwap', 9)} FROM w GROUP BY symbol, window_start""")
 def _(s, d):
-    q = S.stream_sliding_vwap(source(s, d, "events"), "event_type", "ts", 100 + F.col("value"), (F.col("user_id") % 5 + 1), "4 hours", "1 hour")
-    return ntz(run(s, q), "window_start").select("symbol", "window_start", (F.round("volume", 6) + 0.0).alias("volume"), (F.round("vwap", 9) + 0.0).alias("vwap"))
+    q = run_closed(s, source(s, d, "events"), lambda e: S.stream_sliding_vwap(e, "event_type", "ts", 100 + F.col("value"), (F.col("user_id") % 5 + 1), "4 hours", "1 hour"))
+    return ntz(q, "window_start").select("symbol", "window_start", (F.round("volume", 6) + 0.0).alias("volume"), (F.round("vwap", 9) + 0.0).alias("vwap"))
 
 
 @query("stream_dedupe", f"WITH {bars_cte()} SELECT symbol, ts, close, source FROM (SELECT symbol, ts, close, 'binance' AS source FROM bars)")
@@ -81,7 +86,7 @@ def _(s, d):
     return ntz(run(s, S.stream_dedupe(replay(s, twice), ["symbol", "ts", "source"])), "ts")
 
 
-@query("stream_run_stats", f"SELECT l_returnflag AS scenario, count(*) AS runs, {rx('avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0 END)', 'profitable')}, {rx('avg(l_discount * 100 - 5)', 'mean')}, {rx('min(l_discount * 100 - 5)', 'worst')}, {rx('max(l_discount * 100 - 5)', 'best')} FROM lineitem GROUP BY 1")
+@query("stream_run_stats", f"SELECT l_returnflag AS scenario, count(*) AS runs, {rx('avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0 END)', 'profitable')}, {rx('avg(l_discount * 100 - 5)', 'mean')}, {rx('min(l_discount * 100 - 5)', 'worst')}, {rx('max(l_discount * 100 - 5)', 'best')}, {', '.join(rx(f'quantile_disc(l_discount * 100 - 5, {q})', n) for n, q in (('p5', 0.05), ('p50', 0.5), ('p95', 0.95)))} FROM lineitem GROUP BY 1")
 def _(s, d):
     src = source(s, d, "lineitem").select(F.col("l_returnflag").alias("scenario"), (F.col("l_discount") * 100 - 5).alias("return_pct"))
     src = src.withColumn("return_pct", F.when(F.abs("return_pct") < 1e-9, 0.0).otherwise(F.col("return_pct")))
@@ -95,11 +100,12 @@ def _(s, d):
     return ntz(run(s, S.stream_latch(replay(s, f, key="symbol"))).drop("rejects"), "ts")
 
 
-@query("stream_ledger", LEDGER + f"SELECT account, rn AS seq, {rx('held', 'held', 4)}, {rx('sold', 'sold', 4)}, {rx('pnl', 'realised_pnl', 3)} FROM st WHERE rn > 0")
+@query("stream_ledger", LEDGER + f""", moves AS (SELECT st.account, st.rn, st.held, st.sold, st.pnl, CASE WHEN side = 'BUY' THEN -price * qty * 1.001 ELSE price * sold * 0.999 END AS paid FROM st JOIN f ON f.account = st.account AND f.rn = st.rn)
+   SELECT account, rn AS seq, {rx('held', 'held', 4)}, {rx('sold', 'sold', 4)}, {rx('pnl', 'realised_pnl', 3)}, {rx('sum(paid) OVER (PARTITION BY account ORDER BY rn)', 'cash', 5)} FROM moves""")
 def _(s, d):
     f = stage(fills(s, d).select("account", F.col("rn").alias("seq"), "ts", "side", "price", "qty"))
     out = run(s, S.stream_ledger(replay(s, f, order="seq", key="account").drop("ts"), 0.001))
-    return out.select("account", "seq", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("held", 4), ("sold", 4), ("realised_pnl", 3))])
+    return out.select("account", "seq", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("held", 4), ("sold", 4), ("realised_pnl", 3), ("cash", 5))])
 
 
 @query("stream_upsert", f"WITH {bars_cte()} SELECT symbol, ts, 'binance' AS source, CASE WHEN day(ts) = 5 THEN close * 2 ELSE close END AS close FROM bars")

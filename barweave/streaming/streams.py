@@ -19,11 +19,36 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+# An event time no row reaches: the marker that closes a stream.
+CLOSED = "9999-01-01"
+
+
+def watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Rows under a watermark.  The closing marker moves the watermark and goes no further.
+
+    The condition reads the event time, so the optimizer leaves it above the watermark.
+    """
+    return event_time(df, ts).withWatermark(ts, delay).filter(F.col(ts) < F.lit(CLOSED).cast("timestamp"))
+
+
+def closable(src: DataFrame, folder: str) -> DataFrame:
+    """``src`` with a second file source: the folder into which ``close_stream`` puts its marker."""
+    spark = src.sparkSession
+    spark.createDataFrame([], src.schema).write.mode("ignore").parquet(folder)
+    return src.unionByName(spark.readStream.schema(src.schema).parquet(folder))
+
+
+def close_stream(spark: SparkSession, schema: T.StructType, folder: str, ts: str = "ts") -> None:
+    """Say that no more rows will come: one row whose only value is the event time ``CLOSED``."""
+    marker = [(F.lit(CLOSED) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*marker).write.mode("append").parquet(folder)
+
+
 def stream_bars(src: DataFrame, key: str, ts: str, price: Column, interval: str, watermark: str = "1 hour",
                 tiebreak: str | None = None) -> DataFrame:
     """Ticks to tumbling OHLCV bars; ticks later than the watermark are dropped."""
     order = F.struct(ts, tiebreak) if tiebreak else F.col(ts)
-    d = event_time(src, ts).withColumns({"_p": price.cast("double"), "_o": order}).withWatermark(ts, watermark)
+    d = watermarked(src, ts, watermark).withColumns({"_p": price.cast("double"), "_o": order})
     d = d.groupBy(F.col(key).alias("symbol"), F.window(ts, f"{INTERVAL_SECONDS[interval]} seconds").alias("_w")).agg(
         F.min_by("_p", "_o").alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"), F.max_by("_p", "_o").alias("close"),
         F.count(F.lit(1)).cast("double").alias("volume"))
@@ -32,14 +57,14 @@ def stream_bars(src: DataFrame, key: str, ts: str, price: Column, interval: str,
 
 def stream_sliding_vwap(src: DataFrame, key: str, ts: str, price: Column, qty: Column, length: str, slide: str,
                         watermark: str = "1 hour") -> DataFrame:
-    d = event_time(src, ts).withColumns({"_p": price.cast("double"), "_q": qty.cast("double")}).withWatermark(ts, watermark)
+    d = watermarked(src, ts, watermark).withColumns({"_p": price.cast("double"), "_q": qty.cast("double")})
     d = d.groupBy(F.col(key).alias("symbol"), F.window(ts, length, slide).alias("_w")).agg(
         F.sum("_q").alias("volume"), F.sum(F.col("_p") * F.col("_q")).alias("_pv"))
     return d.select("symbol", F.col("_w.start").alias("window_start"), "volume", (F.col("_pv") / F.nullif(F.col("volume"), F.lit(0.0))).alias("vwap"))
 
 
 def stream_event_counts(src: DataFrame, name: str, ts: str, interval: str, watermark: str = "1 hour") -> DataFrame:
-    d = event_time(src, ts).withWatermark(ts, watermark).groupBy(name, F.window(ts, interval).alias("_w")).agg(F.count(F.lit(1)).alias("count"))
+    d = watermarked(src, ts, watermark).groupBy(name, F.window(ts, interval).alias("_w")).agg(F.count(F.lit(1)).alias("count"))
     return d.select(name, F.col("_w.start").alias("window_start"), "count")
 
 
@@ -48,10 +73,16 @@ def stream_dedupe(src: DataFrame, keys: Sequence[str], ts: str = "ts", watermark
     return event_time(src, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_run_stats(src: DataFrame, key: Sequence[str], value: str = "return_pct") -> DataFrame:
-    """Running count, profitable share, mean and extremes of finished runs."""
-    return src.groupBy(*key).agg(F.count(F.lit(1)).alias("runs"), F.avg((F.col(value) > 0).cast("double")).alias("profitable"),
-                                 F.avg(value).alias("mean"), F.min(value).alias("worst"), F.max(value).alias("best"))
+def stream_run_stats(src: DataFrame, key: Sequence[str], value: str = "return_pct", k: int = 4000) -> DataFrame:
+    """Running count, profitable share, mean, extremes and 5 / 50 / 95 % quantiles of finished runs.
+
+    The quantiles come from a mergeable sketch kept as aggregation state: its size grows with ``k`` and
+    the logarithm of the runs, and a quantile's rank is off by about 2.3 / k ** 0.9 of the runs (0.13 %
+    at 4000) with 99 % certainty.  Up to ``k`` runs are kept as they are.
+    """
+    d = src.groupBy(*key).agg(F.count(F.lit(1)).alias("runs"), F.avg((F.col(value) > 0).cast("double")).alias("profitable"), F.avg(value).alias("mean"),
+                              F.min(value).alias("worst"), F.max(value).alias("best"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("_s"))
+    return d.withColumns({n: F.kll_sketch_get_quantile_double("_s", F.lit(q)) for n, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))}).drop("_s")
 
 
 def _released(pdfs: Iterator[pd.DataFrame], at: str, held: list, seen: int, delay: int, cols: Sequence[str]) -> tuple[list, list, list, int]:
@@ -210,6 +241,17 @@ def drain(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def drain_closed(df: DataFrame, out: str, checkpoint: str, schema: T.StructType, folder: str, ts: str = "ts") -> DataFrame:
+    """Drain a plan over ``closable`` rows, close the stream, and drain what its last windows hold.
+
+    The marker comes after every row has been read, so it makes no row late; a failed run starts
+    again from the checkpoint.
+    """
+    drain(df, out, checkpoint)
+    close_stream(df.sparkSession, schema, folder, ts)
+    return drain(df, out, checkpoint)
+
+
 def drain_complete(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Complete-mode results through ``foreachBatch``: the last snapshot wins."""
     def save(batch: DataFrame, _: int) -> None:

@@ -1,5 +1,8 @@
 from datetime import datetime, timedelta
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from barweave.plans.stream_queries import scratch
 from barweave.streaming import streams as S
 
@@ -35,3 +38,27 @@ def test_ledger_waits_for_late_rows_and_counts_rejects(spark):
     got = drained(spark, S.stream_ledger(src, delay=10))
     assert sorted((r.seq, r.held, r.realised_pnl) for r in got if r.rejects is None) == [(1, 2.0, None), (2, 1.0, 2.0), (50, 2.0, None)]
     assert [(r.seq, r.held, r.rejects) for r in got if r.rejects] == [(3, None, 1)]
+
+
+def test_closing_marker_brings_out_the_last_windows(spark):
+    """Parts out of order within the delay; without the marker the windows after the watermark stay in state."""
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    src = batches(spark, "symbol string, ts timestamp, p double", [("a", at(70), 3.0), ("a", at(20), 1.0)], [("a", at(50), 2.0), ("b", at(5), 7.0)], [("a", at(130), 4.0)])
+    plan = lambda d: S.stream_bars(d, "symbol", "ts", F.col("p"), "1h", "2 hours")
+    assert len(drained(spark, plan(src))) == 0
+    p = scratch(spark)
+    got = S.drain_closed(plan(S.closable(src, f"{p}/end")), f"{p}/out", f"{p}/cp", src.schema, f"{p}/end").collect()
+    assert sorted((r.symbol, r.ts, r.open, r.close, r.volume) for r in got) == [
+        ("a", at(0), 1.0, 2.0, 2.0), ("a", at(60), 3.0, 3.0, 1.0), ("a", at(120), 4.0, 4.0, 1.0), ("b", at(0), 7.0, 7.0, 1.0)]
+    counts = S.drain_closed(S.stream_event_counts(S.closable(src, f"{p}/end2"), "symbol", "ts", "1 day"), f"{p}/out2", f"{p}/cp2", src.schema, f"{p}/end2").collect()
+    assert sorted((r.symbol, r["count"]) for r in counts) == [("a", 4), ("b", 1)]
+
+
+def test_run_quantiles_stay_within_their_rank_error(spark):
+    v = np.random.default_rng(3).normal(0, 10, 30_000)
+    src = batches(spark, "scenario string, return_pct double", *[[("x", float(x)) for x in part] for part in np.array_split(v, 3)])
+    p = scratch(spark)
+    got = S.drain_complete(S.stream_run_stats(src, ["scenario"], k=400), f"{p}/out", f"{p}/cp").first()
+    for name, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95)):
+        assert abs((v <= got[name]).mean() - q) < 2 * 2.3 / 400 ** 0.9
+    assert got.runs == 30_000 and got.worst == v.min() and got.best == v.max()
