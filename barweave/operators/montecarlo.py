@@ -50,6 +50,15 @@ def resample_trades(trades: DataFrame, key: Sequence[str], runs: int, capital: f
                     F.round(sharpe, 4).alias("sharpe"), F.round("_f", 2).alias("final_equity"), "num_trades")
 
 
+def resample_report(keys: DataFrame, trades: DataFrame, runs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per key of ``keys``: its trades, its resampled runs and, where there are none, why."""
+    key = list(key)
+    n = trades.groupBy(*key).agg(F.count(F.lit(1)).alias("trades"))
+    m = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("runs"))
+    d = keys.select(*key).distinct().join(n, key, "left").join(m, key, "left").na.fill(0, ["trades", "runs"])
+    return d.withColumn("note", F.when(F.col("trades") == 0, "no trades").when(F.col("trades") < 3, "fewer than 3 trades"))
+
+
 TAILS = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
 
 

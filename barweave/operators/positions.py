@@ -58,11 +58,13 @@ def simple_fee(turnover: Column, pct: float) -> Column:
     return F.round(turnover * pct, 4)
 
 
-def effective_pct(spark, model: str = "flat", sample: float = 100_000.0) -> DataFrame:
-    """Round-trip cost per market as a percentage of turnover."""
-    legs = rate_card(spark).select("market_type", "side", F.lit(sample).alias("turnover"))
-    d = indian_cost(legs, model=model)
-    return d.groupBy("market_type").agg(F.round(F.sum("cost.total") / sample * 100, 3).alias("effective_pct"))
+def effective_pct(df: DataFrame, model: str = "flat", market: str = "market_type", turnover: str = "turnover") -> DataFrame:
+    """``df`` with the cost of buying and selling each row's turnover as a percentage of it (null where it is zero)."""
+    d = df
+    for side in ("BUY", "SELL"):
+        d = indian_cost(d.withColumn("_side", F.lit(side)), side="_side", market=market, turnover=turnover, model=model).withColumn(f"_{side}", F.col("cost.total")).drop("_side", "cost")
+    pct = (F.col("_BUY") + F.col("_SELL")) / F.nullif(F.col(turnover), F.lit(0.0)) * 100
+    return d.withColumn("effective_pct", F.round(pct, 3)).drop("_BUY", "_SELL")
 
 
 def slip(price: Column, side: Column, s: float) -> Column:

@@ -57,10 +57,10 @@ def scenarios(spark: SparkSession, extra_outliers: int = 0, overrides: dict[str,
     return spark.createDataFrame(rows, "scenario string, " + ", ".join(f"{f} {'string' if f == 'direction' else 'double'}" for f in FIELDS))
 
 
-def run_severity(df: DataFrame, severity: float, seed: int, runs: int, ids: Sequence[str]) -> DataFrame:
-    """Jitter severity by up to 25 % per run; a single run keeps the given severity."""
-    jitter = F.lit(severity) if runs == 1 else F.lit(severity) * (0.75 + 0.5 * uniform(f"{seed}sev", *ids))
-    return df.withColumn("severity", jitter)
+def run_severity(df: DataFrame, severity: float, seed: int, jitter: bool, ids: Sequence[str]) -> DataFrame:
+    """The given severity, varied by up to 25 % per run with ``jitter``."""
+    drawn = F.lit(severity) * (0.75 + 0.5 * uniform(f"{seed}sev", *ids)) if jitter else F.lit(severity)
+    return df.withColumn("severity", drawn)
 
 
 def regime_severity(df: DataFrame, scales: DataFrame, severity: float, seed: int, ids: Sequence[str]) -> DataFrame:
@@ -100,15 +100,15 @@ def _seg(s: Column, e: Column, pct: Column, up: bool, persist: bool) -> Column:
 
 
 def plan_runs(bars: DataFrame, spark: SparkSession, runs: int, severity: float = 1.0, seed: int = 7,
-              names: Sequence[str] | None = None, extra_outliers: int = 0) -> DataFrame:
-    """One row per (symbol, scenario, run) with everything the run draws."""
-    ids = ["symbol", "scenario", "run_id"]
+              names: Sequence[str] | None = None, extra_outliers: int = 0, key: Sequence[str] = ("symbol",), jitter: bool | None = None) -> DataFrame:
+    """One row per (key, scenario, run) with everything the run draws; severities differ with several runs or ``jitter``."""
+    ids = [*key, "scenario", "run_id"]
     # the fixed scenario rows are a literal array: each series fans out without a join
     dim = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("scenario", *FIELDS), row)])
                     for row in scenario_rows(extra_outliers) if not names or row[0] in names])
-    d = series_shape(bars).withColumn("_d", F.explode(dim)).select("symbol", "n", "bpd", "_d.*")
+    d = series_shape(bars, key).withColumn("_d", F.explode(dim)).select(*key, "n", "bpd", "_d.*")
     d = d.withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    d = shock_window(run_severity(d, severity, seed, runs, ids), seed, ids)
+    d = shock_window(run_severity(d, severity, seed, jitter if jitter is not None else runs > 1, ids), seed, ids)
     c, sev, name = F.col, F.col("severity"), F.col("scenario")
     shock = c("depth") * sev
     shock = F.when(name.isin("luna_collapse", "yes_bank_2020"), F.least(shock, F.lit(99.0))).otherwise(shock)
@@ -272,13 +272,11 @@ def block_bootstrap(bars: DataFrame, paths: int, horizon: int, block: int = 20,
     return d.select(*key, "path_id", "step", "open", "high", "low", "close", "volume")
 
 
-def crisis_overlay(paths: DataFrame, spark: SparkSession, scenario: str, severity: float = 1.0, seed: int = 7,
-                   size: int = BLOCK) -> DataFrame:
-    """Put one scenario on top of every resampled path, severity jittered per path."""
-    p = paths.withColumns({"rn": F.col("step").cast("long"), "symbol": F.concat_ws("#", "symbol", F.col("path_id").cast("string")),
-                           "ts": F.timestamp_seconds(F.col("step") * 86400).cast("timestamp_ntz")}).drop("path_id", "step")
-    runs = plan_runs(p, spark, 2, severity, seed, [scenario]).filter("run_id = 1")
-    d = apply_scenario(p, runs, seed, size)
-    parts = F.split("symbol", "#")
-    return d.select(parts[0].alias("symbol"), parts[1].cast("int").alias("path_id"), "scenario", F.col("rn").cast("int").alias("step"),
-                    "open", "high", "low", "close", "volume", "severity")
+def crisis_overlay(paths: DataFrame, spark: SparkSession, names: Sequence[str], severity: float = 1.0, seed: int = 7,
+                   size: int = BLOCK, key: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Put each named scenario on top of every resampled path, severity jittered per path."""
+    k = [*key, "path_id"]
+    p = paths.withColumns({"rn": F.col("step").cast("long"), "ts": F.timestamp_seconds(F.col("step") * 86400).cast("timestamp_ntz")}).drop("step")
+    runs = plan_runs(p, spark, 1, severity, seed, names, key=k, jitter=True)
+    d = apply_scenario(p, runs, seed, size, k)
+    return d.select(*k, "scenario", F.col("rn").cast("int").alias("step"), "open", "high", "low", "close", "volume", "severity")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..session import stage
 from ..sources.bars import seconds
-from .blocks import BLOCK, chained_fold, running, running_latch, span
+from .blocks import BLOCK, chained_fold, exact_percentiles, running, running_latch, span
 from .indicators import REGISTRY, Panel, Use, open_panel, prepare_all, use
 
 BUY, SELL, HOLD = "BUY", "SELL", "HOLD"
@@ -253,14 +253,12 @@ def grid_signals(bars: DataFrame, key: Sequence[str], lower: Column, upper: Colu
 
 
 def spacing_hours(bars: DataFrame, key: Sequence[str], size: int = BLOCK) -> DataFrame:
-    """Median bar spacing in hours per key.
-
-    Spacings of bars take few distinct values (multiples of the interval), which bounds the
-    value/count map of the exact median.
-    """
+    """Median bar spacing in hours per key, 24 for a single bar; selected by rank among counted spacings."""
     p = Panel(bars.select(*key, "rn", "ts"), key, 1, size)
     p.put("_gap", (seconds(F.col("ts")) - p.lag(seconds(F.col("ts")))) / 3600.0)
-    return p.close().groupBy(*key).agg(F.coalesce(F.median("_gap"), F.lit(24.0)).alias("spacing_h"))
+    gaps = stage(p.close().select(*key, "_gap"))
+    middle = exact_percentiles(gaps, key, "_gap", {"spacing_h": 0.5})
+    return gaps.select(*key).distinct().join(middle, list(key), "left").na.fill(24.0, ["spacing_h"])
 
 
 def dca_plan(bars: DataFrame, key: Sequence[str], hours: float, hold_days: float, size: int) -> DataFrame:

@@ -300,6 +300,15 @@ def _(s, d):
     return fin(positions.cost_totals(positions.indian_cost(cost_legs(s, d)), ["market_type", "side"]), digits=4)
 
 
+BOTH = COST.replace("CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side", "unnest(['BUY', 'SELL']) AS side").replace("FROM lineitem)", "FROM (SELECT *, row_number() OVER () AS leg FROM lineitem))")
+
+
+@query("effective_pct", BOTH + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, m AS market_type, round(sum(total) / any_value(t) * 100, 3) + 0.0 AS effective_pct FROM f GROUP BY leg, l_orderkey, l_linenumber, l_partkey, l_suppkey, m")
+def _(s, d):
+    legs = cost_legs(s, d).drop("side")
+    return fin(positions.effective_pct(legs), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "market_type", "effective_pct")
+
+
 @query("simple_fee_slip", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 0.00123457, 4) AS fee, round(l_extendedprice * CASE WHEN l_returnflag = 'R' THEN 1 - 1.0 / 7000 ELSE 1 + 1.0 / 7000 END, 6) AS slipped,
    floor(l_quantity / 15) * 15.0 AS lots, round(CASE WHEN l_discount > 0.02 THEN 1000.0 / l_extendedprice ELSE 0.01 END, 9) AS qty, greatest(100.0, least(l_extendedprice * 0.1, 2000.0)) AS default_size FROM lineitem""")
 def _(s, d):
@@ -434,6 +443,17 @@ def _(s, d):
     return fin(q, "symbol", "rows", "score", "passed", F.array_join("warnings", "; ").alias("warnings"), "close_mean", "close_min", "close_max", "volume_total")
 
 
+# volume is missing, close is text that is not always a number
+SHAPED = CLEANQ.replace("FROM bars)", "FROM (SELECT * REPLACE (CASE WHEN rn % 31 = 0 THEN NULL ELSE close END AS close) FROM bars))", 1).replace("sum(volume) AS vt", "count(*) FILTER (close IS NULL) AS nc")
+
+
+@query("quality_shape", SHAPED + f"""SELECT symbol, rows, {rx('greatest(0.0, 60 - CASE WHEN nc > 0 THEN 5 ELSE 0 END - CASE WHEN hb > 0 THEN 3 ELSE 0 END - CASE WHEN gaps > 0 THEN least(20.0, gaps / rows * 200.0) ELSE 0 END - CASE WHEN outliers > 0 THEN least(10.0, outliers * 2.0) ELSE 0 END)', 'score')},
+   'missing columns: volume; column close is not numeric' || CASE WHEN nc > 0 THEN '; ' || nc || ' null close' ELSE '' END AS issues, gaps, outliers FROM k""")
+def _(s, d):
+    b = event_bars(s, d).drop("volume").withColumn("close", F.when(F.col("rn") % 31 == 0, "n/a").otherwise(F.col("close").cast("string")))
+    return fin(quality.quality_report(b, ["symbol"], z=3.0), "symbol", "rows", "score", F.array_join("issues", "; ").alias("issues"), "gaps", "outliers")
+
+
 # ------------------------------------------------------------------ exploration
 
 @query("eda_stats", RET + """SELECT symbol, count(*) AS candles, min(ts) AS first_ts, max(ts) AS last_ts, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400e6) AS BIGINT) AS days, round(avg(close), 4) AS close_mean, round(median(close), 4) AS close_median,

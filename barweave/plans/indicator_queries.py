@@ -9,6 +9,7 @@ from ..sources.tables import event_bars, event_ticks
 from .oracle import Sql
 from .registry import OVER, bars_cte, fin, query, r, rx
 
+K = ["symbol"]
 # 4-hour bars where hourly ones have too many single-tick bars to define the value
 COARSE = {"cmf"}
 # a length whose division never ends keeps values away from rounding ties
@@ -51,6 +52,22 @@ def _(s, d):
     return fin(I.coverage_report(b, [o for k in keys for o in I.REGISTRY[k].outputs]))
 
 
+def _catalog_sql():
+    q, parts = Sql(), []
+    for k, i in I.REGISTRY.items():
+        t, outs = q.indicator(k, I.clamp(k, {}))
+        share = " + ".join(f"""avg(CASE WHEN "{o}" IS NULL THEN 1.0 ELSE 0.0 END)""" for o in outs)
+        label, group = i.label.replace("'", "''"), i.group.replace("'", "''")
+        parts.append(f"""SELECT b.symbol, count(*) AS rows, '{k}' AS key, '{label}' AS label, '{group}' AS grp, '{", ".join(outs)}' AS expected, '' AS missing, {rx(f"({share}) / {len(outs)}", "null_fraction")}, 'PASS' AS status FROM bars b LEFT JOIN {t} t USING (symbol, rn) GROUP BY b.symbol""")
+    return f"WITH RECURSIVE {bars_cte('4h')}, {', '.join(q.ctes)} {' UNION ALL '.join(parts)}"
+
+
+@query("catalog_report", _catalog_sql())
+def _(s, d):
+    b = I.compute_all(event_bars(s, d, "4h"), K, [I.use(k) for k in I.REGISTRY])
+    return fin(I.catalog_report(b, K))
+
+
 WINDOW_OUTPUTS = [o for k in WINDOW_KEYS for o in I.REGISTRY[k].outputs]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -12,6 +14,7 @@ from ..operators import sweep as W
 from ..operators import validation as V
 from ..operators.presets import preset_flags
 from ..session import stage
+from ..sources.bars import write_results
 from ..sources.tables import event_bars, fills, order_bars, raw_bars
 from .oracle import Sql, lag, latch_tail, roll
 from .registry import ORACLE, OVER, bars_cte, daily_cte, fin, query, r, rx, secs
@@ -283,6 +286,34 @@ def _(s, d):
 
 # ------------------------------------------------------------------ weighted-average-cost ledger
 
+# ------------------------------------------------------------------ stored results
+
+KEPT = ["total_return_pct", "sharpe_ratio", "sortino_ratio", "profit_factor", "win_rate", "num_trades", "trades_per_day", "avg_trade_duration", "best_trade", "worst_trade"]
+
+
+def stored(s, d, name):
+    """Results and trades of one batch, written twice (a repeated job) and read back."""
+    from ..session import stage_folder
+    path = f"{stage_folder(s)}/stored-{uuid.uuid4().hex}"
+    sig = signals(s, d)
+    trades = stage(P.round_trips(sig, K))
+    metrics = M.performance(equity(s, d, sig), trades, K)
+    for _ in range(2):
+        write_results(metrics, trades, K, path, "first")
+    return s.read.parquet(f"{path}/{name}")
+
+
+@query("write_results", f"""WITH RECURSIVE {TRADES}{PERF[len(SMA_SIGNALS):]}, ts AS ({TS}) SELECT symbol, 'first' AS batch, {rx('final_equity - 100000', 'total_return', 3)}, {', '.join(KEPT)}, max_drawdown_pct AS max_drawdown, final_equity AS json_equity FROM perf JOIN ts USING (symbol)""")
+def _(s, d):
+    back = stored(s, d, "results").withColumn("json_equity", F.get_json_object("results_json", "$.final_equity").cast("double"))
+    return back.select("symbol", "batch", (F.round("total_return", 3) + F.lit(0.0)).alias("total_return"), *KEPT, "max_drawdown", "json_equity")
+
+
+@query("write_trades", f"WITH RECURSIVE {TRADES} SELECT symbol, 'first' AS batch, trade_no, entry_time, exit_time, {r(*T_COLS)} FROM trades")
+def _(s, d):
+    return fin(stored(s, d, "trades"), "symbol", "batch", "trade_no", "entry_time", "exit_time", *T_COLS)
+
+
 LEDGER = """WITH RECURSIVE f AS MATERIALIZED (SELECT CAST(l_suppkey AS VARCHAR) AS account, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS rn, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
     l_extendedprice / l_quantity AS price, l_quantity AS qty FROM lineitem),
   st(account, rn, held, cost, fees, sold, pnl) AS (SELECT DISTINCT account, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, NULL::DOUBLE FROM f UNION ALL

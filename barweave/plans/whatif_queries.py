@@ -47,11 +47,13 @@ def dim_values() -> str:
 SHAPE = "shape AS (SELECT symbol, sum(c)::BIGINT AS n, greatest(1.0, sum(c) / count(*)) AS bpd FROM (SELECT symbol, ts::DATE AS dd, count(*) AS c FROM bars GROUP BY 1, 2) GROUP BY symbol)"
 
 
-def runs_cte(runs: int, sev: str = "1.0") -> str:
-    jit = sev if runs == 1 else f"{sev} * (0.75 + 0.5 * {u01('7sev', 'symbol', 'scenario', 'run_id')})"
-    return f"""{SHAPE}, {dim_values()}, r0 AS (SELECT *, {jit} AS severity FROM shape, dim, (SELECT unnest(range(1, {runs + 1}))::INTEGER AS run_id)),
+def runs_cte(runs: int, sev: str = "1.0", key: tuple[str, ...] = ("symbol",), jitter: bool | None = None) -> str:
+    ids = (*key, "scenario", "run_id")
+    jit = f"{sev} * (0.75 + 0.5 * {u01('7sev', *ids)})" if (runs > 1 if jitter is None else jitter) else sev
+    shape = SHAPE.replace("symbol", ", ".join(key)).replace("GROUP BY 1, 2", "GROUP BY ALL")
+    return f"""{shape}, {dim_values()}, r0 AS (SELECT *, {jit} AS severity FROM shape, dim, (SELECT unnest(range(1, {runs + 1}))::INTEGER AS run_id)),
    r1 AS (SELECT *, floor(n * 0.05::DOUBLE)::BIGINT AS lo5, greatest(floor(n * 0.05::DOUBLE) + 1, floor(n * 0.60::DOUBLE))::BIGINT AS hi60, greatest(1, round_even(days * bpd, 0))::BIGINT AS dur FROM r0),
-   r2 AS (SELECT *, lo5 + floor({u01('7start', 'symbol', 'scenario', 'run_id')} * (hi60 - lo5))::BIGINT AS start FROM r1),
+   r2 AS (SELECT *, lo5 + floor({u01('7start', *ids)} * (hi60 - lo5))::BIGINT AS start FROM r1),
    runs AS MATERIALIZED (SELECT *, least(start + dur, n) AS fin, CASE WHEN scenario IN ('luna_collapse', 'yes_bank_2020') THEN least(depth * severity, 99) ELSE depth * severity END AS shock, 1 + (wick - 1) * severity AS vm, greatest(1, round_even(up_days * bpd, 0))::BIGINT AS ud FROM r2)"""
 
 
@@ -130,19 +132,65 @@ def _(s, d):
     return fin(X.apply_scenario(b, X.plan_runs(b, s, 2, names=["whipsaw_chop", "range_bound"])), "symbol", "scenario", "run_id", "ts", "close")
 
 
-@query("scenario_gaps_outliers")
+IDS = ("symbol", "scenario", "run_id")
+
+
+def positions_sql(name: str, seed: str, count: str, size: str) -> str:
+    """CTEs with the list ``<name>.at`` of distinct positions, drawn one after the other."""
+    step = f"floor({u01(seed + 'd', *IDS, 'j + 1')} * (size - j))::BIGINT"
+    return f"""{name}_n AS (SELECT symbol, scenario, run_id, CASE WHEN {count} > 0 THEN greatest(1, round_even({count} * severity, 0)) ELSE 0 END::BIGINT AS k, ({size})::BIGINT AS size FROM runs),
+   {name}_r(symbol, scenario, run_id, k, size, j, taken) AS (SELECT *, 0::BIGINT, []::BIGINT[] FROM {name}_n UNION ALL
+     SELECT symbol, scenario, run_id, k, size, j + 1, list_append(taken, list_reduce(list_prepend({step}, list_sort(taken)), lambda at, t: CASE WHEN t <= at THEN at + 1 ELSE at END)) FROM {name}_r WHERE j < least(k, size)),
+   {name} AS MATERIALIZED (SELECT symbol, scenario, run_id, arg_max(taken, j) AS at FROM {name}_r GROUP BY 1, 2, 3)"""
+
+
+def scenario_sql(noise: str) -> str:
+    """CTEs (recursive) up to ``shocked``: bars of every scenario, ``noise(symbol, scenario, run_id, rn, m)`` being the mean-reverting factors."""
+    draw = lambda seed: u01(seed, *IDS, "rn")
+    sign = lambda way, u: f"CASE WHEN {way} = 'down' OR ({way} = 'both' AND {u} < 0.5) THEN -1.0 ELSE 1.0 END"
+    spread = "greatest(1.0, spread_mult * severity)"
+    wick = lambda on: (f"CASE WHEN inside AND wm > 1 AND {on} THEN c + greatest(0, h - c) * wm ELSE h END AS h, CASE WHEN inside AND wm > 1 AND {on} THEN c - greatest(0, c - l) * wm ELSE l END AS l")
+    return f"""{positions_sql('gap', '7gap', 'gaps', "greatest(1, CASE WHEN scenario IN ('gap_risk', 'expiry_gamma_squeeze') THEN n - 1 ELSE fin - start END)")}, {positions_sql('hit', '7out', 'outliers', 'n')}, {noise},
+   f0 AS (SELECT b.symbol, q.scenario, q.run_id, b.ts, b.rn, b.open, b.high, b.low, b.close, b.pc, q.* EXCLUDE (symbol, scenario, run_id), gap.at AS gap_at, hit.at AS out_at, {drift_sql('(b.rn - 1)')} AS f, {drift_sql('(b.rn - 2)')} AS fp
+     FROM (SELECT symbol, ts, rn, open, high, low, close, lag(close) OVER ({OVER}) AS pc FROM bars) b JOIN runs q USING (symbol) JOIN gap USING (symbol, scenario, run_id) JOIN hit USING (symbol, scenario, run_id)),
+   f1 AS (SELECT *, open * f AS o, high * f AS h, low * f AS l, close * f AS c, pc * fp AS prev, scenario IN ('covid_nifty_mar2020', 'yes_bank_2020') AS gap_first,
+     rn - 1 >= CASE WHEN scenario = 'expiry_gamma_squeeze' THEN 0 ELSE start END AND rn - 1 < CASE WHEN scenario = 'flash_crash_2010' THEN least(start + 3, n) WHEN scenario = 'trend_reversal' THEN least(least(start + ud, n) + dur, n) WHEN scenario = 'expiry_gamma_squeeze' THEN n ELSE fin END AS inside,
+     CASE WHEN scenario = 'liquidity_drought' THEN {spread} WHEN scenario IN ('pump_dump', 'slow_bleed', 'gap_risk', 'outlier_injection') THEN 1.0 ELSE vm END AS wm FROM f0),
+   f2 AS (SELECT * REPLACE ({wick('NOT gap_first')}) FROM f1),
+   f3 AS (SELECT *, CASE WHEN rn > 1 AND list_contains(gap_at, rn - 1 - CASE WHEN scenario IN ('gap_risk', 'expiry_gamma_squeeze') THEN 0 ELSE start END) THEN
+     greatest(1e-6, prev * (1 + {sign("CASE WHEN scenario IN ('gap_risk', 'expiry_gamma_squeeze') THEN 'both' ELSE 'down' END", draw('7gs'))} * (gap_lo + {draw('7gp')} * (gap_hi - gap_lo)) / 100)) END AS jump FROM f2),
+   f4 AS (SELECT * REPLACE (coalesce(jump, o) AS o, CASE WHEN jump IS NULL THEN h ELSE greatest(jump, h * jump / o) END AS h, CASE WHEN jump IS NULL THEN l ELSE least(jump, l * jump / o) END AS l) FROM f3),
+   f5 AS (SELECT * REPLACE ({wick('gap_first')}) FROM f4),
+   f6 AS (SELECT f5.*, coalesce(noise.m, 1.0)
+     * CASE WHEN scenario IN ('liquidity_drought', 'vol_spike') AND rn - 1 >= start AND rn - 1 < fin OR scenario = 'gap_risk' THEN exp({NORM('7chop', *IDS, 'rn')} * CASE scenario WHEN 'gap_risk' THEN (gap_lo + gap_hi) / 2 * 0.25 * severity WHEN 'vol_spike' THEN (vm - 1) * 1.5 * severity ELSE ({spread} - 1) * 0.4 * severity END / 100) ELSE 1.0 END
+     * CASE WHEN list_contains(out_at, rn - 1) THEN greatest(0.001, 1 + {sign('direction', draw('7os'))} * (out_lo + {draw('7op')} * (out_hi - out_lo)) / 100) ELSE 1.0 END
+     * CASE WHEN scenario = 'flash_crash_2010' AND rn - 1 = start THEN greatest(0.001, 1 - shock / 100) ELSE 1.0 END AS mm FROM f5 LEFT JOIN noise USING (symbol, scenario, run_id, rn)),
+   f7 AS (SELECT symbol, scenario, run_id, ts, rn, greatest(o * mm, 1e-6) AS o, greatest(h * mm, 1e-6) AS h, greatest(l * mm, 1e-6) AS l, greatest(c * mm, 1e-6) AS c FROM f6),
+   shocked AS (SELECT symbol, scenario, run_id, ts, rn, o AS open, greatest(o, h, c) AS high, least(o, l, c) AS low, c AS close FROM f7)"""
+
+
+REVERTING = f"""z AS MATERIALIZED (SELECT b.symbol, scenario, run_id, rn, shock, start, {NORM('7chop', *IDS, 'rn')} * shock / 100 AS z FROM (SELECT symbol, rn FROM bars) b JOIN runs USING (symbol) WHERE scenario IN ('whipsaw_chop', 'range_bound') AND rn - 1 >= start AND rn - 1 < fin),
+   a(symbol, scenario, run_id, rn, r) AS (SELECT symbol, scenario, run_id, rn, z FROM z WHERE rn - 1 = start UNION ALL SELECT z.symbol, z.scenario, z.run_id, z.rn, z.z - 0.5 * a.r FROM a JOIN z ON z.symbol = a.symbol AND z.scenario = a.scenario AND z.run_id = a.run_id AND z.rn = a.rn + 1),
+   sd AS (SELECT symbol, scenario, run_id, stddev_pop(r) AS sd FROM a GROUP BY 1, 2, 3),
+   noise AS MATERIALIZED (SELECT symbol, scenario, run_id, rn, exp(CASE WHEN sd > 1e-12 THEN r * (shock / 100) / sd ELSE r END) AS m FROM a JOIN sd USING (symbol, scenario, run_id) JOIN z USING (symbol, scenario, run_id, rn))"""
+SHOCKED = f"WITH RECURSIVE {bars_cte()}, {runs_cte(2)}, {scenario_sql(REVERTING)}"
+DRAWN = ["gap_risk", "outlier_injection", "flash_crash_2010", "expiry_gamma_squeeze", "demonetization_2016", "yes_bank_2020", "covid_nifty_mar2020"]
+
+
+@query("scenario_gaps_outliers", f"{SHOCKED} SELECT symbol, scenario, run_id, rn, ts, {r('open', 'high', 'low', 'close')} FROM shocked WHERE scenario IN ({', '.join(repr(n) for n in DRAWN)})")
 def _(s, d):
     b = event_bars(s, d)
-    return X.apply_scenario(b, X.plan_runs(b, s, 2, names=["gap_risk", "outlier_injection", "flash_crash_2010", "expiry_gamma_squeeze", "demonetization_2016", "yes_bank_2020", "covid_nifty_mar2020"]))
+    return fin(X.apply_scenario(b, X.plan_runs(b, s, 2, names=DRAWN)), "symbol", "scenario", "run_id", "rn", "ts", "open", "high", "low", "close")
 
 
-@query("scenario_envelope", f"WITH {bars_cte()}, {dim_values()} SELECT scenario, 2 * (SELECT count(*) FROM bars) AS rows, 0::BIGINT AS broken FROM dim")
+@query("scenario_envelope", f"{SHOCKED} SELECT scenario, count(*) AS rows, count(*) FILTER (high < greatest(open, close) OR low > least(open, close) OR low < 1e-6) AS broken, {', '.join(rx(e, n, 4) for e, n in (('avg(open)', 'mean_open'), ('avg(close)', 'mean_close'), ('avg(high - low)', 'mean_range'), ('max(high)', 'top'), ('min(low)', 'bottom')))} FROM shocked GROUP BY scenario")
 def _(s, d):
     """All 17 scenarios keep every bar and a valid high/low envelope."""
     b = event_bars(s, d)
     x = X.apply_scenario(b, X.plan_runs(b, s, 2))
     bad = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("low") < 1e-6)
-    return x.groupBy("scenario").agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("broken"))
+    return fin(x.groupBy("scenario").agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("broken"), F.avg("open").alias("mean_open"), F.avg("close").alias("mean_close"),
+                                         F.avg(F.col("high") - F.col("low")).alias("mean_range"), F.max("high").alias("top"), F.min("low").alias("bottom")), digits=4)
 
 
 @query("repair_ohlc", "SELECT event_id, greatest(value - 20, 1e-6) AS open, greatest(greatest(value - 20, 1e-6), greatest(value - 25, 1e-6), greatest(value - 22, 1e-6)) AS high, "
@@ -223,14 +271,17 @@ def _(s, d):
     return R.regime_distribution(p, K)
 
 
-@query("crisis_overlay", f"""WITH {re.sub(r'\bbars\b', 'hist', boot_cte(10, 60))}, bars AS MATERIALIZED (SELECT symbol || '#' || path_id AS symbol, TIMESTAMP '1970-01-01' + to_days(step) AS ts, step::BIGINT AS rn, 60::BIGINT AS n, open, high, low, close FROM paths), {runs_cte(2)},
-   x AS (SELECT b.symbol, rn, greatest(open * f, 1e-6) AS open, greatest(close * f, 1e-6) AS close FROM (SELECT b.*, {drift_sql('(rn - 1)')} AS f FROM (SELECT symbol, rn, open, close FROM bars) b JOIN runs USING (symbol) WHERE scenario = 'covid_crash' AND run_id = 1) b),
-   y AS (SELECT *, close / lag(close) OVER w - 1 AS rt, close / max(close) OVER w - 1 AS dw FROM x WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
-   pruns AS (SELECT split_part(symbol, '#', 1) AS symbol, round(last(close ORDER BY rn) / first(open ORDER BY rn) * 100 - 100, 4) AS return_pct, round(min(dw) * 100, 4) AS max_dd_pct, round(avg(rt) / stddev_pop(rt) * sqrt(252), 4) AS sharpe FROM y GROUP BY y.symbol)
-   SELECT symbol, {SUMMARY} FROM pruns GROUP BY symbol""")
+CRISES = ["gfc_2008", "covid_crash", "luna_collapse"]
+
+
+@query("crisis_overlay", f"""WITH {re.sub(r'\bbars\b', 'hist', boot_cte(10, 60))}, bars AS MATERIALIZED (SELECT symbol, path_id, TIMESTAMP '1970-01-01' + to_days(step) AS ts, step::BIGINT AS rn, 60::BIGINT AS n, open, high, low, close FROM paths), {runs_cte(1, key=('symbol', 'path_id'), jitter=True)},
+   x AS (SELECT symbol, path_id, scenario, rn, greatest(open * f, 1e-6) AS open, greatest(close * f, 1e-6) AS close FROM (SELECT b.*, scenario, {drift_sql('(rn - 1)')} AS f FROM (SELECT symbol, path_id, rn, open, close FROM bars) b JOIN runs USING (symbol, path_id) WHERE scenario IN ({', '.join(repr(n) for n in CRISES)})) b),
+   y AS (SELECT *, close / lag(close) OVER w - 1 AS rt, close / max(close) OVER w - 1 AS dw FROM x WINDOW w AS (PARTITION BY symbol, path_id, scenario ORDER BY rn)),
+   pruns AS (SELECT symbol, path_id, scenario, round(last(close ORDER BY rn) / first(open ORDER BY rn) * 100 - 100, 4) AS return_pct, round(min(dw) * 100, 4) AS max_dd_pct, round(avg(rt) / stddev_pop(rt) * sqrt(252), 4) AS sharpe FROM y GROUP BY symbol, path_id, scenario)
+   SELECT symbol, scenario, {SUMMARY} FROM pruns GROUP BY symbol, scenario""")
 def _(s, d):
-    o = X.crisis_overlay(boot(s, d, 10, 60), s, "covid_crash")
-    return C.path_summary(C.path_performance(o, K), K)
+    k = ["symbol", "scenario"]
+    return C.path_summary(C.path_performance(X.crisis_overlay(boot(s, d, 10, 60), s, CRISES), k), k)
 
 
 # ------------------------------------------------------------------ trade resampling
@@ -254,6 +305,13 @@ def _(s, d):
     return C.resample_trades(stage(P.round_trips(signals(s, d), K)), K, 30)
 
 
+@query("resample_report", f"""WITH RECURSIVE {RES}, k AS (SELECT symbol, count(*) AS trades FROM trades GROUP BY 1), m AS (SELECT symbol, count(*) AS runs FROM mc GROUP BY 1)
+   SELECT symbol, coalesce(trades, 0) AS trades, coalesce(runs, 0) AS runs, CASE WHEN trades IS NULL THEN 'no trades' WHEN trades < 3 THEN 'fewer than 3 trades' END AS note FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN k USING (symbol) LEFT JOIN m USING (symbol)""")
+def _(s, d):
+    t = stage(P.round_trips(signals(s, d), K))
+    return C.resample_report(raw_bars(s, d), t, C.resample_trades(t, K, 30), K)
+
+
 @query("compare_methods", f"""WITH RECURSIVE {RES}, {PATHRUNS[len(bars_cte()) + 2:]}, q AS (SELECT 'bootstrap' AS method, symbol, path_id, return_pct, max_dd_pct, sharpe FROM pruns UNION ALL SELECT 'trades' AS method, symbol, run_id, return_pct, max_dd_pct, sharpe FROM mc)
    SELECT symbol, method, {SUMMARY} FROM q GROUP BY symbol, method""")
 def _(s, d):

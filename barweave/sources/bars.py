@@ -178,3 +178,30 @@ def append_outcomes(df: DataFrame, path: str) -> None:
 def write_leaderboard(df: DataFrame, path: str, fmt: str = "csv") -> None:
     w = df.write.mode("overwrite")
     w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path)
+
+
+# The results table's columns and the metrics they hold.
+RESULT_FIELDS = {"total_return": "total_return_usd", "total_return_pct": "total_return_pct", "sharpe_ratio": "sharpe_ratio", "sortino_ratio": "sortino_ratio",
+                 "max_drawdown": "max_drawdown_pct", "profit_factor": "profit_factor", "win_rate": "win_rate", "num_trades": "num_trades",
+                 "trades_per_day": "trades_per_day", "avg_trade_duration": "avg_trade_duration", "best_trade": "best_trade", "worst_trade": "worst_trade"}
+TRADE_FIELDS = ("entry_time", "entry_price", "exit_time", "exit_price", "quantity", "pnl", "pnl_pct", "fees")
+ENDLESS = 9999.0          # an infinite profit factor
+
+
+def result_rows(metrics: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of the results table: its own columns (null for metrics that are absent) and all metrics as JSON text."""
+    names = [c for c in metrics.columns if c not in key]
+    finite = {c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)) for c in names if isinstance(metrics.schema[c].dataType, T.DoubleType)}
+    own = {o: F.col(m) if m in names else F.lit(None).cast("double") for o, m in RESULT_FIELDS.items()}
+    own["profit_factor"] = F.when(own["profit_factor"] == float("inf"), ENDLESS).otherwise(own["profit_factor"])
+    return metrics.select(*key, *[c.alias(o) for o, c in own.items()], F.to_json(F.struct(*[finite.get(c, F.col(c)).alias(c) for c in names])).alias("results_json"))
+
+
+def write_results(metrics: DataFrame, trades: DataFrame, key: Sequence[str], path: str, batch: str) -> None:
+    """Store a batch of runs below ``path/results`` and ``path/trades``.
+
+    A batch is a partition that is replaced as a whole, so a repeated job leaves no rows twice.
+    """
+    tables = {"results": result_rows(metrics, key), "trades": trades.select(*key, "trade_no", *TRADE_FIELDS)}
+    for name, rows in tables.items():
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
