@@ -136,12 +136,12 @@ IDS = ("symbol", "scenario", "run_id")
 
 
 def positions_sql(name: str, seed: str, count: str, size: str) -> str:
-    """CTEs with the list ``<name>.at`` of distinct positions, drawn one after the other."""
+    """CTEs with the list ``<name>.places`` of distinct positions, drawn one after the other."""
     step = f"floor({u01(seed + 'd', *IDS, 'j + 1')} * (size - j))::BIGINT"
     return f"""{name}_n AS (SELECT symbol, scenario, run_id, CASE WHEN {count} > 0 THEN greatest(1, round_even({count} * severity, 0)) ELSE 0 END::BIGINT AS k, ({size})::BIGINT AS size FROM runs),
    {name}_r(symbol, scenario, run_id, k, size, j, taken) AS (SELECT *, 0::BIGINT, []::BIGINT[] FROM {name}_n UNION ALL
-     SELECT symbol, scenario, run_id, k, size, j + 1, list_append(taken, list_reduce(list_prepend({step}, list_sort(taken)), lambda at, t: CASE WHEN t <= at THEN at + 1 ELSE at END)) FROM {name}_r WHERE j < least(k, size)),
-   {name} AS MATERIALIZED (SELECT symbol, scenario, run_id, arg_max(taken, j) AS at FROM {name}_r GROUP BY 1, 2, 3)"""
+     SELECT symbol, scenario, run_id, k, size, j + 1, list_append(taken, list_reduce(list_prepend({step}, list_sort(taken)), lambda p, t: CASE WHEN t <= p THEN p + 1 ELSE p END)) FROM {name}_r WHERE j < least(k, size)),
+   {name} AS MATERIALIZED (SELECT symbol, scenario, run_id, arg_max(taken, j) AS places FROM {name}_r GROUP BY 1, 2, 3)"""
 
 
 def scenario_sql(noise: str) -> str:
@@ -151,7 +151,7 @@ def scenario_sql(noise: str) -> str:
     spread = "greatest(1.0, spread_mult * severity)"
     wick = lambda on: (f"CASE WHEN inside AND wm > 1 AND {on} THEN c + greatest(0, h - c) * wm ELSE h END AS h, CASE WHEN inside AND wm > 1 AND {on} THEN c - greatest(0, c - l) * wm ELSE l END AS l")
     return f"""{positions_sql('gap', '7gap', 'gaps', "greatest(1, CASE WHEN scenario IN ('gap_risk', 'expiry_gamma_squeeze') THEN n - 1 ELSE fin - start END)")}, {positions_sql('hit', '7out', 'outliers', 'n')}, {noise},
-   f0 AS (SELECT b.symbol, q.scenario, q.run_id, b.ts, b.rn, b.open, b.high, b.low, b.close, b.pc, q.* EXCLUDE (symbol, scenario, run_id), gap.at AS gap_at, hit.at AS out_at, {drift_sql('(b.rn - 1)')} AS f, {drift_sql('(b.rn - 2)')} AS fp
+   f0 AS (SELECT b.symbol, q.scenario, q.run_id, b.ts, b.rn, b.open, b.high, b.low, b.close, b.pc, q.* EXCLUDE (symbol, scenario, run_id), gap.places AS gap_at, hit.places AS out_at, {drift_sql('(b.rn - 1)')} AS f, {drift_sql('(b.rn - 2)')} AS fp
      FROM (SELECT symbol, ts, rn, open, high, low, close, lag(close) OVER ({OVER}) AS pc FROM bars) b JOIN runs q USING (symbol) JOIN gap USING (symbol, scenario, run_id) JOIN hit USING (symbol, scenario, run_id)),
    f1 AS (SELECT *, open * f AS o, high * f AS h, low * f AS l, close * f AS c, pc * fp AS prev, scenario IN ('covid_nifty_mar2020', 'yes_bank_2020') AS gap_first,
      rn - 1 >= CASE WHEN scenario = 'expiry_gamma_squeeze' THEN 0 ELSE start END AND rn - 1 < CASE WHEN scenario = 'flash_crash_2010' THEN least(start + 3, n) WHEN scenario = 'trend_reversal' THEN least(least(start + ud, n) + dur, n) WHEN scenario = 'expiry_gamma_squeeze' THEN n ELSE fin END AS inside,
