@@ -8,7 +8,7 @@ from check_oracle import compare, duck, rows_of
 
 SF = "/root/testdata/sf0.001"
 PICK = ["make_bars", "upsert_bars", "clean_bars", "quality_report", "eda_stats", "ind_macd", "ind_adx", "preset_sma_cross", "preset_st_rsi", "signals_sl_tp", "dca_signals", "pla_signals", "trade_stats",
-        "performance", "classify_regimes", "regime_drawdown", "assign_folds", "scenario_drift", "block_bootstrap", "sweep", "composite_score", "sweep_preset", "path_regimes", "plateau", "stream_bars", "stream_upsert", "append_outcomes"]
+        "performance", "classify_regimes", "regime_drawdown", "assign_folds", "scenario_drift", "block_bootstrap", "sweep", "composite_score", "sweep_preset", "path_regimes", "plateau", "stream_bars", "stream_upsert", "append_outcomes", "scenario_gaps_outliers", "effective_pct"]
 
 
 @pytest.fixture(scope="module")
