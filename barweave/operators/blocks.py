@@ -42,23 +42,17 @@ def index_rows(df: DataFrame, key: Sequence[str], order: Sequence, bucket: Seque
     earlier buckets, so the largest sort group is one bucket rather than one key.
     """
     names = [f"_bk{i}" for i in range(len(bucket))]
-    d = df.withColumns(dict(zip(names, bucket)))
-    counts = d.groupBy(*key, *names).agg(F.count(F.lit(1)).alias("_c"))
+    # equal structs may hold nulls; one column is the key of count, window and join, so rows are shuffled once
+    group = F.struct(*key, *[c.alias(n) for n, c in zip(names, bucket)])
+    d = df.withColumn("_g", group)
+    counts = d.groupBy("_g").agg(F.count(F.lit(1)).alias("_c")).select("_g", "_c", *[F.col("_g")[c].alias(c) for c in [*key, *names]])
     before = span(key).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    cols = [*key, *names, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")]
-    if total:
-        cols.append(F.sum("_c").over(span(key)).alias(total))
-    on = [d[c].eqNullSafe(F.col(f"_o_{c}")) for c in [*key, *names]]
-    offs = counts.select(*cols)
-    offs = offs.select(*[F.col(c).alias(f"_o_{c}") for c in [*key, *names]], "_off",
-                       *([total] if total else []))
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    pos = F.row_number().over(span(key, *names).orderBy(*order))
-    return (d.withColumn("_p", pos).join(offs, cond)
-             .withColumn(out, (F.col("_p") + F.col("_off")).cast("long"))
-             .drop("_p", "_off", *names, *[f"_o_{c}" for c in [*key, *names]]))
+    offs = counts.select(F.col("_g").alias("_o"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+                         *([F.sum("_c").over(span(key)).alias(total)] if total else []))
+    pos = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
+    return (d.withColumn("_p", pos).join(offs, F.col("_g") == F.col("_o"))
+             .select(*[F.col("_g")[c].alias(c) if c in key else c for c in df.columns], *([total] if total else []),
+                     (F.col("_p") + F.col("_off")).cast("long").alias(out)))
 
 
 def block_of(rn: Column, size: int) -> Column:

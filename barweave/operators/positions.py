@@ -12,6 +12,7 @@ from ..sources.bars import seconds
 from .blocks import BLK, BLOCK, block_of, block_window, index_rows, running, span
 
 CHUNK = 32           # rows folded into one map by running_affine
+PART = 64            # rows that a fold lists before it joins the lists
 
 # Indian transaction-cost rates (2024) per market and side.
 STT_RATES = {"equity_delivery_buy": 0.001, "equity_delivery_sell": 0.001, "equity_intraday_sell": 0.00025,
@@ -226,31 +227,109 @@ def running_affine(df: DataFrame, key: Sequence[str], a: str, bs: Sequence[str],
     return rows.withColumns({f"{b}_y": F.col(a) * F.col(f"{b}_before") + F.col(b) for b in bs}).select(*df.columns, *[f"{b}_{x}" for b in bs for x in ("y", "before")])
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once (inside a fold Spark does not share common expressions)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _move(r: Column) -> Column:
+    return F.when(r["side"] == "BUY", r["qty"]).otherwise(-r["qty"])
+
+
+def _held(h: Column, move: Column) -> Column:
+    """Holding after a move, never below zero; null as long as no quantity is known."""
+    return F.when(move.isNull(), h).otherwise(F.greatest(F.lit(0.0), F.coalesce(h, F.lit(0.0)) + move))
+
+
+def _kept(h: Column, held: Column, buy: Column) -> Column:
+    """Share of the book that a fill leaves: ``h`` before it, ``held`` after it."""
+    a = F.when(held <= 1e-10, 0.0).when(buy, 1.0).otherwise(F.when(h != 0, held / h))
+    return F.coalesce(a, F.lit(0.0))
+
+
+def _fold_fills(rows: Column, head: Column, fee: float, met: bool = False) -> Column:
+    """State after ``rows`` from ``head`` = (h, p, c, f): holding, share kept, book cost, unspent entry fees.
+
+    With ``met`` also the state each row meets; rows are taken in parts, so that no list is copied once per row.
+    """
+    names = ["h", "p", "c", "f"]
+
+    def step(acc: Column, r: Column) -> Column:
+        r = r["row"]
+        buy = r["side"] == "BUY"
+        cost = F.when(buy, r["price"] * r["qty"]).otherwise(0.0)
+        seen = [F.concat(acc["met"], F.array(F.struct(*[acc[n].alias(n) for n in names if n != "p"]))).alias("met")] if met else []
+        return _let(_held(acc["h"], _move(r)), lambda held: _let(_kept(acc["h"], held, buy), lambda a: F.struct(
+            held.alias("h"), (acc["p"] * a).alias("p"), (acc["c"] * a + cost).alias("c"), (acc["f"] * a + cost * fee).alias("f"), *seen)))
+
+    if not met:
+        return F.aggregate(rows, head, step)
+    none = F.array().cast("array<struct<h:double,c:double,f:double>>")
+    last = F.floor((F.size(rows) - 1) / PART).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * PART + 1, F.lit(PART)))
+
+    def part_step(acc: Column, part: Column) -> Column:
+        state = F.struct(*[acc[n].alias(n) for n in names], none.alias("met"))
+        return _let(F.aggregate(part, state, step), lambda z: F.struct(*[z[n].alias(n) for n in names], F.concat(acc["met"], F.array(z["met"])).alias("met")))
+
+    start = F.struct(*[head[n].alias(n) for n in names], F.array().cast("array<array<struct<h:double,c:double,f:double>>>").alias("met"))
+    return F.aggregate(parts, start, part_step)
+
+
+def _chunk_heads(chunks: DataFrame, key: Sequence[str], fee: float) -> DataFrame:
+    """The state (``_h``, ``_c``, ``_f``) each chunk starts from; ``chunks`` are all those of their keys, staged."""
+    def moved(acc: Column, r: Column) -> Column:
+        q = _move(r["row"])
+        return _let(acc["s"] + F.coalesce(q, F.lit(0.0)), lambda s: F.struct(s.alias("s"), F.least(acc["m"], s).alias("m"), (acc["n"] + q.isNotNull().cast("int")).alias("n")))
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("m"), F.lit(0).alias("n"))
+    ends = chunks.select(*key, BLK, F.aggregate("_rows", zero, moved).alias("_e"))
+    earlier = span(key).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"_sum": F.coalesce(F.sum("_e.s").over(earlier), F.lit(0.0)), "_known": F.sum("_e.n").over(earlier)})
+    low = F.least(F.lit(0.0), F.min(F.col("_sum") + F.col("_e.m")).over(earlier))
+    held = ends.select(*key, BLK, F.when(F.col("_known") > 0, F.col("_sum") - low).alias("_h"))
+    head = F.struct(F.col("_h").alias("h"), F.lit(1.0).alias("p"), F.lit(0.0).alias("c"), F.lit(0.0).alias("f"))
+    maps = chunks.join(held, [*key, BLK]).select(*key, (F.col(BLK) + 1).alias("rn"), "_h", _fold_fills(F.col("_rows"), head, fee).alias("_e"))
+    y = running_affine(maps.select(*key, "rn", "_h", F.col("_e.p").alias("p"), F.col("_e.c").alias("c"), F.col("_e.f").alias("f")), key, "p", ["c", "f"])
+    return stage(y.select(*key, (F.col("rn") - 1).alias(BLK), "_h", F.col("c_before").alias("_c"), F.col("f_before").alias("_f")))
+
+
 def wacb_ledger(fills: DataFrame, key: Sequence[str], fee: float = 0.0, size: int = BLOCK) -> DataFrame:
     """Weighted-average-cost ledger of a numbered fills table (``rn, ts, side, price, qty``).
 
-    Holdings are a running sum floored at zero (a prefix minimum); book cost and unspent
-    entry fees then follow ``y = a*y + b`` with ``a`` = share of the holding kept.  Sells are
-    capped at what is held; each sell realises profit against the running average.
+    Sells are capped at what is held; each sell realises profit against the running average.  The fills of
+    a key travel once, into chunks of ``size`` rows, and are folded there.  A key of one chunk is done with
+    that.  Of longer keys each chunk is summed up first: holdings are a running sum floored at zero (a prefix
+    minimum), book cost and unspent entry fees then follow ``y = a*y + b`` with ``a`` = share of the holding
+    kept, so the state at the head of every chunk comes from those summaries.
     """
     key = list(key)
+    d = fills.withColumn(BLK, block_of(F.col("rn"), size))
+    for c in [*key, "rn"]:
+        d = d.filter(F.col(c).isNotNull())
+    row = F.struct(F.col("rn").alias("at"), F.struct(*[c for c in fills.columns if c not in key]).alias("row"))
+    chunks = stage(d.repartition(*key, BLK).groupBy(*key, BLK).agg(F.sort_array(F.collect_list(row)).alias("_rows")))
+    whole = (F.col(BLK) == 0) & (F.size("_rows") < size)
+    zero = {"_h": F.lit(None).cast("double"), "_c": F.lit(0.0), "_f": F.lit(0.0)}
+    ready, rest = chunks.filter(whole).withColumns(zero), chunks.filter(~whole)
+    if not rest.isEmpty():
+        ready = ready.unionByName(rest.join(_chunk_heads(rest, key, fee), [*key, BLK]))
+    head = F.struct(F.col("_h").alias("h"), F.lit(1.0).alias("p"), F.col("_c").alias("c"), F.col("_f").alias("f"))
+    met = F.flatten(_fold_fills(F.col("_rows"), head, fee, met=True)["met"])
+    y = ready.select(*key, F.explode(F.arrays_zip(F.col("_rows").alias("r"), met.alias("m"))).alias("z"))
+    y = y.select(*key, "z.r.row.*", F.col("z.m.h").alias("_h"), F.col("z.m.c").alias("_c"), F.col("z.m.f").alias("_f")).select(*fills.columns, "_h", "_c", "_f")
     buy = F.col("side") == "BUY"
-    s = floored_sum(fills.withColumn("_d", F.when(buy, F.col("qty")).otherwise(-F.col("qty"))), key, size)
-    s = s.withColumnsRenamed({"_after": "held", "_before": "held_before"}).withColumn("sold", F.when(buy, 0.0).otherwise(F.least(F.col("qty"), F.col("held_before"))))
-    a = F.when(F.col("held") <= 1e-10, 0.0).when(buy, 1.0).otherwise(F.col("held") / F.nullif(F.col("held_before"), F.lit(0.0)))
-    value = F.col("price") * F.col("qty")
-    s = s.withColumns({"_a": F.coalesce(a, F.lit(0.0)), "_cost": F.when(buy, value).otherwise(0.0),
-                       "_fee": F.when(buy, value * fee).otherwise(0.0)})
-    y = running_affine(s, key, "_a", ["_cost", "_fee"])
+    y = y.withColumns({"held_before": F.coalesce("_h", F.lit(0.0)), "held": _held(F.col("_h"), F.when(buy, F.col("qty")).otherwise(-F.col("qty")))})
+    y = y.withColumn("sold", F.when(buy, 0.0).otherwise(F.least(F.col("qty"), F.col("held_before"))))
     share = F.col("sold") / F.nullif(F.col("held_before"), F.lit(0.0))
-    avg_before = F.col("_cost_before") / F.nullif(F.col("held_before"), F.lit(0.0))
-    fees = F.col("price") * F.col("sold") * fee + F.col("_fee_before") * share
+    avg_before = F.col("_c") / F.nullif(F.col("held_before"), F.lit(0.0))
+    fees = F.col("price") * F.col("sold") * fee + F.col("_f") * share
     pnl = F.when(F.col("sold") > 0, (F.col("price") - avg_before) * F.col("sold") - fees)
-    return y.withColumns({"avg_cost": F.col("_cost_y") / F.when(F.col("held") > 1e-10, F.col("held")),
+    cost = F.col("_c") * _kept(F.col("_h"), F.col("held"), buy) + F.when(buy, F.col("price") * F.col("qty")).otherwise(0.0)
+    return y.withColumns({"avg_cost": cost / F.when(F.col("held") > 1e-10, F.col("held")),
                           "entry_avg": F.when(F.col("sold") > 0, avg_before), "realised_pnl": pnl,
                           "pnl_pct": pnl / F.nullif(avg_before * F.col("sold"), F.lit(0.0)),
-                          "trade_fees": F.when(F.col("sold") > 0, fees)}).drop(
-        "_d", "_a", "_cost", "_fee", "_cost_y", "_fee_y", "_cost_before", "_fee_before")
+                          "trade_fees": F.when(F.col("sold") > 0, fees)}).drop("_h", "_c", "_f")
 
 
 # ------------------------------------------------------------------ reports

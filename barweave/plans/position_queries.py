@@ -324,7 +324,7 @@ LEDGER = """WITH RECURSIVE f AS MATERIALIZED (SELECT CAST(l_suppkey AS VARCHAR)
 
 @query("wacb_ledger", LEDGER + f"SELECT account, rn, {rx('held', 'held', 4)}, {rx('sold', 'sold', 4)}, {rx('pnl', 'realised_pnl', 3)}, {rx('CASE WHEN held > 1e-10 THEN cost / held END', 'avg_cost', 3)} FROM st WHERE rn > 0")
 def _(s, d):
-    w = P.wacb_ledger(fills(s, d), ["account"], fee=0.001)
+    w = P.wacb_ledger(fills(s, d).select("account", "rn", "side", "price", "qty"), ["account"], fee=0.001)
     return w.select("account", "rn", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("held", 4), ("sold", 4), ("realised_pnl", 3), ("avg_cost", 3))])
 
 

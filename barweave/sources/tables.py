@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.blocks import index_rows
+from ..session import stage
 from .bars import make_bars, number_bars
 
 FILL_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+WHOLE = 20_000       # fills of one account that a task sorts at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,13 +41,20 @@ def raw_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as fills: account = supplier, returns are sells."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_suppkey").cast("string").alias("account"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", "l_partkey",
-                     "l_quantity", "l_extendedprice", F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
-                     (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"))
-
-
-def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fills numbered per account.  Buckets follow the order: the day, then ranges of order keys."""
-    return index_rows(raw_fills(spark, sf_dir), ["account"], FILL_ORDER, [F.to_date("ts"), F.floor(F.col("l_orderkey") / 1_000_000)])
+                     "l_quantity", "l_extendedprice", F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"))
+
+
+def fills(spark: SparkSession, sf_dir: str, whole: int = WHOLE) -> DataFrame:
+    """Fills numbered per account.  An account of up to ``whole`` fills is sorted at once; the others are cut into
+    buckets that follow the order: the day, then ranges of order keys (what comes later that day is the last bucket)."""
+    f = raw_fills(spark, sf_dir)
+    many = f.groupBy("account").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > whole)
+    many = F.broadcast(stage(many.select(F.col("account").alias("_a"), F.lit(True).alias("_many"))))      # one row per ``whole`` fills at most
+    f = f.join(many, F.col("account").eqNullSafe(F.col("_a")), "left").drop("_a")
+    day = F.to_date("ts")
+    keys = F.when(F.col("ts") == day, F.floor(F.col("l_orderkey") / 1_000_000)).otherwise(2**62)
+    f = index_rows(f, ["account"], FILL_ORDER, [F.when(F.col("_many"), day), F.when(F.col("_many"), keys)]).drop("_many")
+    return f.withColumns({"price": F.col("l_extendedprice") / F.col("l_quantity"), "qty": F.col("l_quantity")})
 
 
 def cost_legs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,17 @@ def test_index_rows_keeps_null_keys(spark):
     assert sorted((r.k or "", r.rn) for r in got) == [("", 1), ("", 2), ("a", 1)]
 
 
+def test_index_rows_shuffles_its_rows_once(spark):
+    d = stage(spark.range(50).selectExpr("cast(id % 3 as string) k", "id v", "id * 2 payload"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index_rows(d, ["k"], ["v"], [F.floor(F.col("v") / 10)])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("Exchange hashpartitioning") == 4          # rows once; counts by bucket, by key, and back by bucket
+
+
 @pytest.mark.parametrize("halo,size", [(3, 10), (25, 10), (0, 64)])
 def test_halo_rows_come_back_once(walk, halo, size):
     pdf, df = walk

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,7 @@ from barweave.operators import signals as G
 from barweave.operators.indicators import compute
 from barweave.operators.presets import PRESETS, preset_flags, preset_signals
 from barweave.session import stage
+from barweave.sources import tables as T
 
 K = ["symbol"]
 
@@ -88,6 +91,47 @@ def test_ledger_partial_and_capped_sells(spark, size):
     assert r[5].realised_pnl == pytest.approx(100 - 0.6 - 0.5) and r[5].held == 0
 
 
+def test_ledger_moves_its_rows_once(spark, monkeypatch):
+    """Short accounts: one shuffle of the fills, one staged table, no join; longer ones equal a walk row by row."""
+    staged = []
+    monkeypatch.setattr(P, "stage", lambda d: staged.append(stage(d)) or staged[-1])
+    rng = np.random.default_rng(4)
+    rows = [("BUY" if rng.random() < 0.5 else "SELL", int(rng.integers(1, 9)), float(rng.integers(90, 110))) for _ in range(400)]
+    src = fills(spark, rows)
+    one = P.wacb_ledger(src, ["account"], fee=0.001, size=4096)
+    assert len(staged) == 1 and "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    held, cost, want = 0.0, 0.0, []
+    for side, q, px in rows:
+        sold, pnl = (0.0, None) if side == "BUY" else (min(q, held), None)
+        if side == "BUY":
+            held, cost = held + q, cost + px * q
+        elif sold > 0:
+            pnl = (px - cost / held) * sold - px * sold * 0.001 - cost * 0.001 * sold / held
+            held, cost = held - sold, cost * (1 - sold / held)
+        want.append((held, sold, pnl))
+    for r in (one, *[P.wacb_ledger(src, ["account"], fee=0.001, size=n) for n in (7, 100, 400)]):
+        got = [(x.held, x.sold, x.realised_pnl) for x in r.orderBy("rn").collect()]
+        for g, w in zip(got, want, strict=True):
+            assert g[:2] == w[:2] and g[2] == (w[2] and pytest.approx(w[2]))
+
+
+def test_ledger_leaves_out_unknown_accounts_and_waits_for_a_quantity(spark):
+    d = spark.createDataFrame([(None, 1, "BUY", 1.0, 1.0), ("a", 1, "SELL", None, 5.0), ("a", 2, "BUY", 2.0, 10.0), ("a", 3, "SELL", None, 12.0)], "account string, rn long, side string, qty double, price double")
+    for size in (1, 2, 4096):
+        assert [(r.account, r.held, r.sold) for r in P.wacb_ledger(d, ["account"], size=size).orderBy("rn").collect()] == [("a", None, 0.0), ("a", 2.0, 0.0), ("a", 2.0, 2.0)]
+
+
+def test_fills_of_long_accounts_are_numbered_in_order(spark, tmp_path):
+    """Buckets of a long account follow the order, also within a day and for unknown times and orders."""
+    at = [None, datetime(2024, 1, 1), datetime(2024, 1, 1, 9), datetime(2024, 1, 1, 17), datetime(2024, 1, 2)]
+    rows = [(o, 1, a, i, 1.0 + i, 10.0, "R" if i % 3 else "N", ts) for a in (1, None) for i, (ts, o) in enumerate((t, o) for t in at for o in (None, 5, 2_500_000))]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for whole in (3, 100):
+        got = T.fills(spark, str(tmp_path), whole).orderBy("account", "rn").collect()
+        assert [(r.rn, r.l_linenumber) for r in got] == [(i + 1, i) for i in range(15)] * 2
+
+
 def test_cost_identities(spark):
     d = spark.createDataFrame([(100_000.0, s, m) for s in ("BUY", "SELL") for m in P.EXCHANGE_RATES] + [(-5.0, "BUY", "futures")], "turnover double, side string, market_type string")
     for r in P.indian_cost(d).collect():
