@@ -104,8 +104,8 @@ def _(s, d):
 @query("stream_ledger", LEDGER.replace("0.001", "(1.0 / 700)") + f""", moves AS (SELECT st.account, st.rn, st.held, st.sold, st.pnl, CASE WHEN side = 'BUY' THEN -price * qty * (1 + 1.0 / 700) ELSE price * sold * (1 - 1.0 / 700) END AS paid FROM st JOIN f ON f.account = st.account AND f.rn = st.rn)
    SELECT account, rn AS seq, {rx('held', 'held', 4)}, {rx('sold', 'sold', 4)}, {rx('pnl', 'realised_pnl', 3)}, {rx('sum(paid) OVER (PARTITION BY account ORDER BY rn)', 'cash', 0)} FROM moves""")
 def _(s, d):
-    f = stage(fills(s, d).select("account", F.col("rn").alias("seq"), "ts", "side", "price", "qty"))
-    out = run(s, S.stream_ledger(replay(s, f, order="seq", key="account").drop("ts"), 1 / 700))
+    f = stage(fills(s, d).select("account", F.col("rn").alias("seq"), "side", "price", "qty"))
+    out = run(s, S.stream_ledger(replay(s, f, order="seq", key="account"), 1 / 700))
     return out.select("account", "seq", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("held", 4), ("sold", 4), ("realised_pnl", 3), ("cash", 0))])
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,54 +86,68 @@ def stream_run_stats(src: DataFrame, key: Sequence[str], value: str = "return_pc
     return d.withColumns({n: F.kll_sketch_get_quantile_double("_s", F.lit(q)) for n, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))}).drop("_s")
 
 
-def _released(pdfs: Iterator[pd.DataFrame], at: str, held: list, seen: int, delay: int, cols: Sequence[str]) -> tuple[list, list, list, int]:
-    """(rows to apply in order, late rows, rows still held, largest position seen) of one key.
+# Rows that wait in state, packed: one binary value instead of lists of values.  ``key`` numbers the keys of a state.
+LATCH_ROW = np.dtype([("key", "<i4"), ("at", "<i8"), ("entry", "?"), ("exit", "?")])
+LEDGER_ROW = np.dtype([("key", "<i4"), ("at", "<i8"), ("buy", "?"), ("price", "<f8"), ("qty", "<f8")])
+LEDGER_HEAD = np.dtype([("qty", "<f8"), ("cost", "<f8"), ("fees", "<f8"), ("cash", "<f8"), ("seen", "<i8"), ("rejects", "<i8")])
 
-    Rows are tuples led by their position.  The key's own watermark is its largest position less
-    ``delay``: rows up to it leave, later ones wait, and new rows up to the watermark of the
-    batches before are late, as rows after them may have been applied.
+
+def _released(new: np.ndarray, held: bytes, seen: np.ndarray, delay: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(rows to apply, late rows, rows still held), both by key and position; ``seen``, the keys' largest positions, is brought up to date.
+
+    A key's own watermark is its largest position less ``delay``: rows up to it leave, later ones wait, and
+    new rows up to the watermark of the batches before are late, as rows after them may have been applied.
+    Rows wait in order of arrival and are sorted when they leave; equal positions keep that order.
     """
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    position = pdf[at].astype("datetime64[us]").astype("int64") if at == "ts" else pdf[at].astype("int64")
-    fresh = [tuple(r) for r in zip(position.tolist(), *[pdf[c].tolist() for c in cols])]
-    late = sorted((r for r in fresh if r[0] <= seen - delay), key=lambda r: r[0])
-    known = sorted([*held, *(r for r in fresh if r[0] > seen - delay)], key=lambda r: r[0])
-    seen = max([seen, *(r[0] for r in fresh)])
-    return [r for r in known if r[0] <= seen - delay], late, [r for r in known if r[0] > seen - delay], seen
+    late = new["at"] <= seen[new["key"]] - delay
+    known = np.concatenate([np.frombuffer(held, new.dtype), new[~late]])
+    np.maximum.at(seen, new["key"], new["at"])
+    due = known["at"] <= seen[known["key"]] - delay
+    ordered = lambda r: r[np.lexsort((r["at"], r["key"]))]
+    return ordered(known[due]), ordered(new[late]), known[~due].tobytes()
+
 
+def _records(pdfs: Iterator[pd.DataFrame], kind: np.dtype, **values: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
+    out = []
+    for pdf in pdfs:
+        out.append(np.zeros(len(pdf), kind))
+        for name, f in values.items():
+            out[-1][name] = f(pdf)
+    return np.concatenate(out)
 
-def _columns(rows: list, width: int) -> list[list]:
-    return [list(c) for c in zip(*rows)] or [[] for _ in range(width)]
+
+def _counted(applied: int, late: np.ndarray, rejects: np.ndarray) -> pd.arrays.IntegerArray:
+    """``rejects`` of the output: null in applied rows, then each key's running count of late ones, which is brought up to date."""
+    first = np.searchsorted(late["key"], late["key"])
+    counts = rejects[late["key"]] + np.arange(len(late)) - first + 1
+    np.add.at(rejects, late["key"], 1)
+    return pd.arrays.IntegerArray(np.r_[np.zeros(applied, "int64"), counts], np.arange(applied + len(late)) < applied)
 
 
 LATCH_OUT = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("signal", T.StringType()),
                           T.StructField("rejects", T.LongType())])
-LATCH_STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("inside", "seen", "rejects")] + [T.StructField("at", T.ArrayType(T.LongType()))]
-                           + [T.StructField(n, T.ArrayType(T.BooleanType())) for n in ("entry", "exit")])
+LATCH_STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("inside", "seen", "rejects")] + [T.StructField("held", T.BinaryType())])
 
 
 def _latch_step(delay: int):
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        inside, seen, rejects, *held = state.get if state.exists else (0, -2**62, 0, [], [], [])
-        due, late, wait, seen = _released(pdfs, "ts", list(zip(*held)), seen, delay, ["entry", "exit"])
-        out = []
-        for us, e, x in due:
+        inside, seen, rejects, held = state.get if state.exists else (0, -2**62, 0, b"")
+        new = _records(pdfs, LATCH_ROW, at=lambda d: d["ts"].to_numpy().astype("datetime64[us]").astype("int64"), entry=lambda d: d["entry"].to_numpy() == True, exit=lambda d: d["exit"].to_numpy() == True)  # noqa: E712
+        seen, rejects = np.array([seen]), np.array([rejects])
+        due, late, held = _released(new, held, seen, delay)
+        signals = []
+        for e, x in zip(due["entry"].tolist(), due["exit"].tolist()):
             if not inside and e:
                 inside, sig = 1, "BUY"
             elif inside and x:
                 inside, sig = 0, "SELL"
             else:
                 sig = "HOLD"
-            out.append((key[0], us, sig, None))
-        for us, *_ in late:
-            rejects += 1
-            out.append((key[0], us, None, rejects))
-        at, entry, leave = _columns(wait, 3)
-        state.update((int(inside), seen, rejects, at, [bool(v) for v in entry], [bool(v) for v in leave]))
-        pdf = pd.DataFrame(out, columns=LATCH_OUT.names)
-        pdf["ts"] = pd.to_datetime(pdf["ts"].astype("int64"), unit="us")
-        pdf["rejects"] = pdf["rejects"].astype("Int64")
-        yield pdf
+            signals.append(sig)
+        counted = _counted(len(due), late, rejects)
+        state.update((int(inside), int(seen[0]), int(rejects[0]), held))
+        if len(counted):
+            yield pd.DataFrame({"symbol": key[0], "ts": pd.to_datetime(np.r_[due["at"], late["at"]], unit="us"), "signal": np.array(signals + [None] * len(late), object), "rejects": counted})
     return step
 
 
@@ -150,19 +165,27 @@ def stream_latch(src: DataFrame, delay_seconds: int = 3600) -> DataFrame:
 LEDGER_OUT = T.StructType([T.StructField("account", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("held", T.DoubleType()),
                            T.StructField("sold", T.DoubleType()), T.StructField("realised_pnl", T.DoubleType()), T.StructField("cash", T.DoubleType()),
                            T.StructField("rejects", T.LongType())])
-LEDGER_STATE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("qty", "cost", "fees", "cash")] + [T.StructField(n, T.LongType()) for n in ("seen", "rejects")]
-                            + [T.StructField("at", T.ArrayType(T.LongType())), T.StructField("sides", T.ArrayType(T.StringType()))]
-                            + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("prices", "qtys")])
+LEDGER_STATE = T.StructType([T.StructField("accounts", T.ArrayType(T.StringType())), T.StructField("heads", T.BinaryType()), T.StructField("held", T.BinaryType())])
 
 
 def _ledger_step(fee: float, delay: int):
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        qty, cost, fees, cash, seen, rejects, *held = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, -2**62, 0, [], [], [], [])
-        due, late, wait, seen = _released(pdfs, "seq", list(zip(*held)), seen, delay, ["side", "price", "qty"])
-        rows = []
-        for seq, side, px, q in due:
-            sold, pnl = 0.0, None
-            if side == "BUY":
+        accounts, heads, held = state.get if state.exists else ([], b"", b"")
+        number = {a: i for i, a in enumerate(accounts)}
+        numbered = lambda d: [number.setdefault(a, len(number)) for a in d["account"].tolist()]
+        new = _records(pdfs, LEDGER_ROW, key=numbered, at=lambda d: d["seq"].to_numpy(), buy=lambda d: d["buy"].to_numpy(), price=lambda d: d["price"].to_numpy(), qty=lambda d: d["qty"].to_numpy())
+        start = np.zeros(len(number) - len(accounts), LEDGER_HEAD)
+        start["seen"] = -2**62
+        books, accounts = np.concatenate([np.frombuffer(heads, LEDGER_HEAD), start]), list(number)
+        due, late, held = _released(new, held, books["seen"], delay)
+        rows, at = [], None
+        for k, buy, px, q in zip(*[due[c].tolist() for c in ("key", "buy", "price", "qty")]):
+            if k != at:
+                if at is not None:
+                    books[["qty", "cost", "fees", "cash"]][at] = (qty, cost, fees, cash)
+                at, (qty, cost, fees, cash, _, _) = k, books[k].tolist()
+            sold, pnl = 0.0, np.nan
+            if buy:
                 qty, cost, fees, cash = qty + q, cost + px * q, fees + px * q * fee, cash - px * q * (1 + fee)
             elif qty > 0:
                 sold = min(q, qty)
@@ -173,26 +196,32 @@ def _ledger_step(fee: float, delay: int):
                 qty, cost, fees = qty - sold, cost * (1 - share), fees * (1 - share)
                 if qty <= 1e-10:
                     qty, cost, fees = 0.0, 0.0, 0.0
-            rows.append((key[0], seq, qty, sold, pnl, cash, None))
-        for seq, *_ in late:
-            rejects += 1
-            rows.append((key[0], seq, None, None, None, None, rejects))
-        at, sides, prices, qtys = _columns(wait, 4)
-        state.update((float(qty), float(cost), float(fees), float(cash), seen, rejects, at, sides, [float(v) for v in prices], [float(v) for v in qtys]))
-        pdf = pd.DataFrame(rows, columns=LEDGER_OUT.names)
-        pdf["rejects"] = pdf["rejects"].astype("Int64")
-        yield pdf
+            rows.append((qty, sold, pnl, cash))
+        if at is not None:
+            books[["qty", "cost", "fees", "cash"]][at] = (qty, cost, fees, cash)
+        counted = _counted(len(due), late, books["rejects"])
+        state.update((accounts, books.tobytes(), held))
+        if len(counted):
+            amounts = np.array(rows + [(np.nan,) * 4] * len(late))
+            yield pd.DataFrame({"account": np.array(accounts, object)[np.r_[due["key"], late["key"]]], "seq": np.r_[due["at"], late["at"]],
+                                **{c: amounts[:, i] for i, c in enumerate(("held", "sold", "realised_pnl", "cash"))}, "rejects": counted})
     return step
 
 
-def stream_ledger(src: DataFrame, fee: float = 0.0, delay: int = 1000) -> DataFrame:
+def stream_ledger(src: DataFrame, fee: float = 0.0, delay: int = 1000, groups: int = 4096) -> DataFrame:
     """Live weighted-average-cost ledger per account over ``account, seq, side, price, qty``.
 
     Rows wait in state until the account's largest ``seq`` is ``delay`` ahead, then they are applied
     in order.  A row later than that comes out with null amounts and the account's count of such
     rows in ``rejects`` (null in applied rows).
+
+    Accounts are dealt by hash over ``groups`` states, as a call for each account costs more than its
+    rows; a micro-batch rewrites the states that it brings rows for.  Take more groups where a state,
+    some 30 bytes a waiting row, would grow past a few megabytes.
     """
-    return src.groupBy("account").applyInPandasWithState(_ledger_step(fee, delay), LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
+    buy = F.coalesce(F.col("side") == "BUY", F.lit(False)).alias("buy")
+    dealt = src.select("account", "seq", buy, "price", "qty", F.pmod(F.xxhash64("account"), F.lit(groups)).alias("_group"))
+    return dealt.groupBy("_group").applyInPandasWithState(_ledger_step(fee, delay), LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_upsert(src: DataFrame, path: str, checkpoint: str, nk: Sequence[str] = ("symbol", "ts", "source"), bucket: str = "ts"):

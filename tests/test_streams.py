@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from barweave.plans.stream_queries import scratch
@@ -40,6 +41,28 @@ def test_ledger_waits_for_late_rows_and_counts_rejects(spark):
     assert [(r.seq, r.held, r.rejects) for r in got if r.rejects] == [(3, None, 1)]
 
 
+def test_ledger_accounts_share_states(spark):
+    """Accounts of one state keep their own books, order, delay and rejects; a state's rows are one call, not one for each account."""
+    part = lambda *seqs: [(a, q, s, p, n) for a in ("a", "b", None) for q, s, p, n in seqs]
+    src = batches(spark, "account string, seq long, side string, price double, qty double",
+                  part((2, "SELL", 12.0, 1.0)) + [("c", 7, "BUY", 3.0, 4.0)], part((1, "BUY", 10.0, 2.0), (1, "BUY", 10.0, None))[::-1], part((50, "BUY", 1.0, 1.0)),
+                  part((3, "BUY", 5.0, 1.0), (2, "SELL", 5.0, 1.0))[:5], part((99, "BUY", 1.0, 1.0)))
+    for groups in (1, 4096):
+        got = drained(spark, S.stream_ledger(src, delay=10, groups=groups))
+        assert not [r for r in got if r.account == "c"]
+        for a in ("a", "b", None):
+            assert [r.seq for r in got if r.account == a and r.rejects is None] == [1, 1, 2, 50]
+        late = sorted((r.account or "", r.rejects, r.seq, r.held) for r in got if r.rejects)
+        assert late == [("", 1, 3, None), ("a", 1, 2, None), ("a", 2, 3, None), ("b", 1, 2, None), ("b", 2, 3, None)]
+    calls = []
+    step = S._ledger_step(0.0, 10)
+    state = type("State", (), {"exists": False, "update": lambda self, v: calls.append(v)})()
+    pdf = pd.DataFrame({"account": ["a", "b", "a"], "seq": [2, 5, 1], "buy": [False, True, True], "price": [12.0, 1.0, 10.0], "qty": [1.0, 2.0, 2.0]})
+    assert list(step((0,), iter([pdf]), state)) == [] and len(calls) == 1
+    accounts, heads, held = calls[0]
+    assert accounts == ["a", "b"] and len(held) == 3 * S.LEDGER_ROW.itemsize and len(heads) == 2 * S.LEDGER_HEAD.itemsize
+
+
 def test_closing_marker_brings_out_the_last_windows(spark):
     """Parts out of order within the delay; without the marker the windows after the watermark stay in state."""
     at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
