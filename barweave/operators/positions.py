@@ -11,8 +11,7 @@ from ..session import stage
 from ..sources.bars import seconds
 from .blocks import BLK, BLOCK, block_of, block_window, index_rows, running, span
 
-CHUNK = 32           # rows folded into one map by running_affine
-PART = 64            # rows that a fold lists before it joins the lists
+CHUNK = 32           # rows folded into one map by running_affine, and listed at once by the ledger's fold
 
 # Indian transaction-cost rates (2024) per market and side.
 STT_RATES = {"equity_delivery_buy": 0.001, "equity_delivery_sell": 0.001, "equity_intraday_sell": 0.00025,
@@ -250,30 +249,31 @@ def _kept(h: Column, held: Column, buy: Column) -> Column:
 def _fold_fills(rows: Column, head: Column, fee: float, met: bool = False) -> Column:
     """State after ``rows`` from ``head`` = (h, p, c, f): holding, share kept, book cost, unspent entry fees.
 
-    With ``met`` also the state each row meets; rows are taken in parts, so that no list is copied once per row.
+    With ``met`` also lists of the states that rows meet, one list for each ``CHUNK`` rows, so that no list is copied
+    once per row.  After a fill of unknown cost the amounts are null to the end of its ``CHUNK`` rows; the next
+    ones go on from what is left of the cost known before these.
     """
-    names = ["h", "p", "c", "f"]
+    names, book = ["h", "p", "c", "f"], "struct<h:double,c:double,f:double>"
 
     def step(acc: Column, r: Column) -> Column:
         r = r["row"]
         buy = r["side"] == "BUY"
         cost = F.when(buy, r["price"] * r["qty"]).otherwise(0.0)
-        seen = [F.concat(acc["met"], F.array(F.struct(*[acc[n].alias(n) for n in names if n != "p"]))).alias("met")] if met else []
+        seen = [F.concat(acc["met"], F.array(F.struct(*[acc[n].alias(n) for n in ("h", "c", "f")]))).alias("met")] if met else []
         return _let(_held(acc["h"], _move(r)), lambda held: _let(_kept(acc["h"], held, buy), lambda a: F.struct(
             held.alias("h"), (acc["p"] * a).alias("p"), (acc["c"] * a + cost).alias("c"), (acc["f"] * a + cost * fee).alias("f"), *seen)))
 
-    if not met:
-        return F.aggregate(rows, head, step)
-    none = F.array().cast("array<struct<h:double,c:double,f:double>>")
-    last = F.floor((F.size(rows) - 1) / PART).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * PART + 1, F.lit(PART)))
-
     def part_step(acc: Column, part: Column) -> Column:
-        state = F.struct(*[acc[n].alias(n) for n in names], none.alias("met"))
-        return _let(F.aggregate(part, state, step), lambda z: F.struct(*[z[n].alias(n) for n in names], F.concat(acc["met"], F.array(z["met"])).alias("met")))
-
-    start = F.struct(*[head[n].alias(n) for n in names], F.array().cast("array<array<struct<h:double,c:double,f:double>>>").alias("met"))
-    return F.aggregate(parts, start, part_step)
+        none = [F.array().cast(f"array<{book}>").alias("met")] if met else []
+        start = F.struct(acc["h"].alias("h"), F.lit(1.0).alias("p"), acc["c"].alias("c"), acc["f"].alias("f"), *none)
+        left = lambda z, n: F.coalesce(z[n], acc[n] * z["p"]).alias(n)
+        return _let(F.aggregate(part, start, step), lambda z: F.struct(z["h"].alias("h"), (acc["p"] * z["p"]).alias("p"), left(z, "c"), left(z, "f"),
+                                                                       *([F.concat(acc["met"], F.array(z["met"])).alias("met")] if met else [])))
+
+    last = F.floor((F.size(rows) - 1) / CHUNK).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)))
+    none = [F.array().cast(f"array<array<{book}>>").alias("met")] if met else []
+    return F.aggregate(parts, F.struct(*[head[n].alias(n) for n in names], *none), part_step)
 
 
 def _chunk_heads(chunks: DataFrame, key: Sequence[str], fee: float) -> DataFrame:

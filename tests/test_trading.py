@@ -121,6 +121,16 @@ def test_ledger_leaves_out_unknown_accounts_and_waits_for_a_quantity(spark):
         assert [(r.account, r.held, r.sold) for r in P.wacb_ledger(d, ["account"], size=size).orderBy("rn").collect()] == [("a", None, 0.0), ("a", 2.0, 0.0), ("a", 2.0, 2.0)]
 
 
+def test_ledger_goes_on_after_an_unknown_cost(spark):
+    """Amounts are unknown to the end of the 32 fills of which one has no price; then those known before them count."""
+    rows = [("BUY", 1.0, 10.0)] * 32 + [("BUY", 1.0, 50.0), ("BUY", 1.0, None), ("SELL", 17.0, 20.0)] + [("BUY", 1.0, 10.0)] * 29 + [("SELL", 2.0, 12.0)]
+    src = spark.createDataFrame([("a", i, *r) for i, r in enumerate(rows, 1)], "account string, rn long, side string, qty double, price double")
+    for size in (32, 64, 4096):
+        r = P.wacb_ledger(src, ["account"], size=size).orderBy("rn").collect()
+        assert r[32].avg_cost == pytest.approx(370 / 33) and [x.avg_cost for x in r[33:64]] == [None] * 31 and r[34].realised_pnl is None
+        assert r[64].realised_pnl == pytest.approx(2 * 12 - 2 * 160 / 46) and r[64].held == 44
+
+
 def test_fills_of_long_accounts_are_numbered_in_order(spark, tmp_path):
     """Buckets of a long account follow the order, also within a day and for unknown times and orders."""
     at = [None, datetime(2024, 1, 1), datetime(2024, 1, 1, 9), datetime(2024, 1, 1, 17), datetime(2024, 1, 2)]
